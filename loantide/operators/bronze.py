@@ -41,35 +41,34 @@ def to_bronze(
     )
 
 
-def one_version(df: DataFrame, keys: Sequence[str], rank: Sequence) -> DataFrame:
-    """One row per key and start of validity: the first in ``rank`` order."""
-    w = Window.partitionBy(*keys, "valid_from").orderBy(*rank)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def scd2_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: str = "checksum") -> DataFrame:
     """The history after a batch (SCD2, JON9).
 
     Keys that the batch does not name pass through untouched. For the others all versions are
-    put in order: repeats of the same content collapse into the earliest, and each version ends
-    where the next begins. Several versions of a key in one batch, a repeated batch and a late
-    older cut-off all come out right. A window holds the versions of one key, at most one per
-    cut-off date.
+    put in order: a batch row that repeats the content before it is dropped, one that changes
+    an existing start date replaces it, and each version ends where the next begins. Several
+    versions of a key in one batch, a repeated batch and a late older cut-off all come out
+    right. A window holds the versions of one key: at most one per cut-off date on each side.
     """
     keys = list(keys)
     columns = old.columns
     batch_keys = new.select(*keys).distinct()
     untouched = old.join(batch_keys, keys, "left_anti").select(*columns)
     touched = old.join(batch_keys, keys, "left_semi").select(*columns)
-    versions = touched.withColumn("_new", F.lit(0)).unionByName(new.select(*columns).withColumn("_new", F.lit(1)))
-    versions = one_version(versions, keys, [F.desc("_new"), F.col(hash_col)]).drop("_new")
-    w = Window.partitionBy(*keys).orderBy("valid_from")
-    changed = versions.withColumn("_prev", F.lag(hash_col).over(w)).where(~F.col(hash_col).eqNullSafe(F.col("_prev")))
+    # row_number = 1 is cut down before the shuffle, so repeats of one key do not pile up
+    one_each = Window.partitionBy(*keys, "valid_from").orderBy(hash_col)
+    batch = new.select(*columns).withColumn("_rn", F.row_number().over(one_each)).where("_rn = 1").drop("_rn")
+    versions = touched.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
+
+    w = Window.partitionBy(*keys).orderBy("valid_from", "_new")
+    same_as_before = F.col(hash_col).eqNullSafe(F.lag(hash_col).over(w))
+    replaced = (F.lead("valid_from").over(w) == F.col("valid_from")) & (F.lead(hash_col).over(w) != F.col(hash_col))
+    kept = versions.withColumn(
+        "_keep", F.when(F.col("_new") == 1, ~same_as_before).otherwise(~F.coalesce(replaced, F.lit(False)))
+    ).where("_keep")
     ends = F.lead("valid_from").over(w)
-    rebuilt = (
-        changed.drop("_prev", "valid_to", "iscurrent")
-        .withColumn("valid_to", ends)
-        .withColumn("iscurrent", F.when(F.col("valid_to").isNull(), 1).otherwise(0))
+    rebuilt = kept.drop("valid_to", "iscurrent").withColumn("valid_to", ends).withColumn(
+        "iscurrent", F.when(F.col("valid_to").isNull(), 1).otherwise(0)
     )
     return untouched.unionByName(rebuilt.select(*columns))
 

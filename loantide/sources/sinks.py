@@ -38,6 +38,7 @@ def merge_bronze(batch: DataFrame, path: str, keys: Sequence[str], mode: str = "
     overwrite what it is reading. Losing executors in between repeats tasks, not results.
     """
     spark = batch.sparkSession
+    keys = list(dict.fromkeys(["dl_code", *keys]))  # a loan id alone may occur in several deals
     old = read_bronze(spark, path)
     if old is None:
         write_bronze(load_bronze(None, batch, keys), path)
