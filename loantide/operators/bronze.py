@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from loantide.functions.text import key_hash, row_hash
 
 VALIDITY = ("valid_from", "valid_to", "iscurrent")
-HISTORY = (*VALIDITY, "checksum", "part")
+HISTORY = (*VALIDITY, "last_seen", "checksum", "part")
 
 
 def part_label(dl_code, date):
@@ -23,7 +23,8 @@ def to_bronze(
     """Add cut-off year and month, validity, checksum and partition label (SCD1).
 
     The checksum covers every attribute unless ``hash_cols`` says otherwise; the cut-off date
-    is no attribute. Validity starts at the cut-off date unless a time is given.
+    is no attribute. Validity starts at the cut-off date unless a time is given; ``last_seen`` is
+    the latest time at which the same content was delivered.
     """
     skip = {"dl_code", "pcd", "filename", *keys}
     attributes = [c for c in df.columns if c not in skip] if hash_cols is None else list(hash_cols)
@@ -34,6 +35,7 @@ def to_bronze(
         F.year(date).alias("pcd_year"),
         F.month(date).alias("pcd_month"),
         start.alias("valid_from"),
+        start.alias("last_seen"),
         F.lit(None).cast("timestamp").alias("valid_to"),
         F.lit(1).alias("iscurrent"),
         key_hash(F.col("dl_code"), *[F.col(c) for c in keys], *[F.col(c) for c in attributes]).alias("checksum"),
@@ -44,11 +46,12 @@ def to_bronze(
 def scd2_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: str = "checksum") -> DataFrame:
     """The history after a batch (SCD2, JON9).
 
-    Keys that the batch does not name pass through untouched. For the others all versions are
-    put in order: a batch row that repeats the content before it is dropped, one that changes
-    an existing start date replaces it, and each version ends where the next begins. Several
-    versions of a key in one batch, a repeated batch and a late older cut-off all come out
-    right. A window holds the versions of one key: at most one per cut-off date on each side.
+    Keys that the batch does not name pass through untouched. For the others the observations are
+    put in order: the first and last sighting of each old version, and the batch. A run of equal
+    content is one version, which ends where the next begins. A batch row at the time of an old
+    one replaces it. Several versions of a key in one batch, a repeated batch and a late older
+    cut-off all come out right: content seen after a late row takes over again at its last
+    sighting. A window holds one key: at most two rows per version and one per batch cut-off.
     """
     keys = list(keys)
     columns = old.columns
@@ -58,16 +61,26 @@ def scd2_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: st
     # row_number = 1 is cut down before the shuffle, so repeats of one key do not pile up
     one_each = Window.partitionBy(*keys, "valid_from").orderBy(hash_col)
     batch = new.select(*columns).withColumn("_rn", F.row_number().over(one_each)).where("_rn = 1").drop("_rn")
-    versions = touched.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)))
-
-    w = Window.partitionBy(*keys).orderBy("valid_from", "_new")
-    same_as_before = F.col(hash_col).eqNullSafe(F.lag(hash_col).over(w))
-    replaced = (F.lead("valid_from").over(w) == F.col("valid_from")) & (F.lead(hash_col).over(w) != F.col(hash_col))
-    kept = versions.withColumn(
-        "_keep", F.when(F.col("_new") == 1, ~same_as_before).otherwise(~F.coalesce(replaced, F.lit(False)))
-    ).where("_keep")
-    ends = F.lead("valid_from").over(w)
-    rebuilt = kept.drop("valid_to", "iscurrent").withColumn("valid_to", ends).withColumn(
+    seen = touched.withColumn("_at", F.explode(F.array_distinct(F.array("valid_from", "last_seen")))).select(
+        "*", (F.col("_at") == F.col("valid_from")).alias("_start"), F.lit(0).alias("_new")
+    ).unionByName(batch.select("*", F.col("valid_from").alias("_at"), F.lit(False).alias("_start"), F.lit(1).alias("_new")))
+
+    w = Window.partitionBy(*keys).orderBy("_at", "_new")
+    replaced = (
+        (F.lead("_at").over(w) == F.col("_at")) & (F.lead("_new").over(w) == 1) & (F.lead(hash_col).over(w) != F.col(hash_col))
+    )
+    kept = seen.withColumn("_replaced", F.coalesce(replaced, F.lit(False))).where("NOT _replaced")
+    begins = F.col("_start") | ~F.col(hash_col).eqNullSafe(F.lag(hash_col).over(w))
+    runs = kept.withColumn("_begins", begins).withColumn(
+        "_run", F.sum(F.col("_begins").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    last = F.max("_at").over(Window.partitionBy(*keys, "_run"))
+    starts = (
+        runs.withColumn("_last", last).where("_begins").drop(*VALIDITY, "last_seen")
+        .withColumnRenamed("_at", "valid_from").withColumnRenamed("_last", "last_seen")
+    )
+    ends = F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from", "_new"))
+    rebuilt = starts.withColumn("valid_to", ends).withColumn(
         "iscurrent", F.when(F.col("valid_to").isNull(), 1).otherwise(0)
     )
     return untouched.unionByName(rebuilt.select(*columns))
@@ -98,7 +111,7 @@ def as_of(df: DataFrame, ts: str) -> DataFrame:
 
 def read_current(df: DataFrame) -> DataFrame:
     """Current rows without the history columns (SRC10)."""
-    return df.where("iscurrent = 1").drop("valid_from", "valid_to", "checksum", "iscurrent")
+    return df.where("iscurrent = 1").drop(*VALIDITY, "last_seen", "checksum")
 
 
 def facility_bronze_columns(df: DataFrame, ingested_at: str) -> DataFrame:

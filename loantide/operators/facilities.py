@@ -48,11 +48,13 @@ def dc_silver(bronze: DataFrame) -> DataFrame:
 
 def _averages() -> list[Column]:
     status = F.col("junior_note_watch_status")
+    # means of rounded figures often end in a 5: the decimal keeps the order of summing out of the result
+    mean = lambda c, digits: F.round(F.avg(c).cast("decimal(30,9)"), digits).cast("double").alias(f"avg_{c}")
     return [
         F.count(F.lit(1)).alias("facility_count"),
-        F.round(F.avg("dscr"), 3).alias("avg_dscr"),
-        F.round(F.avg("ltv_pct"), 2).alias("avg_ltv_pct"),
-        F.round(F.avg("occupancy_pct"), 2).alias("avg_occupancy_pct"),
+        mean("dscr", 3),
+        mean("ltv_pct", 2),
+        mean("occupancy_pct", 2),
         F.count_if(status == "breach").alias("breach_count"),
         F.count_if(status == "watch").alias("watch_count"),
     ]

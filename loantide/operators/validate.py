@@ -21,7 +21,8 @@ NOT_OF_TYPE = {"number": "not_a_number", "integer": "not_an_integer", "datetime"
 CORRUPT = "_corrupt_record"
 # Columns added by the readers; they are not tape fields.
 SYSTEM_COLUMNS = frozenset(
-    ["filename", "dl_code", "pcd", "pcd_year", "pcd_month", "valid_from", "valid_to", "iscurrent", "checksum", "part", CORRUPT]
+    ["filename", "dl_code", "pcd", "pcd_year", "pcd_month", "valid_from", "valid_to", "iscurrent", "last_seen", "checksum", "part",
+     CORRUPT]
 )
 ERRORS = "qc_errors"
 

@@ -7,19 +7,22 @@ from pyspark.sql import DataFrame
 from loantide.operators.bronze import read_current, to_bronze
 from loantide.operators.silver import clean, project_topics
 from loantide.operators.validate import split_clean_dirty, validate
+from loantide.session import scratch_path
 from loantide.sources.sinks import merge_bronze, write_quarantine, write_silver
 from loantide.sources.tapes import read_bronze
 from loantide.templates.classes import Template
 
 
 def load_tape(tape: DataFrame, template: Template, target: str, as_of: str) -> None:
-    """One lineage from the tape to the quarantine, bronze and silver tables below ``target``.
+    """From the tape to the quarantine, bronze and silver tables below ``target``.
 
-    The bronze table is written once and read back, so the silver topics do not repeat
-    the parsing and validation.
+    The annotated tape is written once and split by what was written, and the silver topics
+    read the bronze table, so parsing and validation happen once.
     """
     spark = tape.sparkSession
-    good, bad = split_clean_dirty(validate(tape, template.rules, as_of))
+    annotated = scratch_path(spark, "annotated")
+    validate(tape, template.rules, as_of).write.parquet(annotated)
+    good, bad = split_clean_dirty(spark.read.parquet(annotated))
     write_quarantine(good, bad, f"{target}/quarantine")
     keys = [template.loan_key] if template.loan_key else list(template.keys)
     bronze_path = f"{target}/bronze"

@@ -417,10 +417,6 @@ def deal_documents(s, f):
     return table(s, f, "supplier").select("s_suppkey", F.concat(head, body.substr(F.lit(1), F.length(body))).alias("xml"))
 
 
-def _fix_position(df):
-    return df
-
-
 add("src7_parse_deals", lambda s, f: deals.with_deal_dates(deals.parse_deals(deal_documents(s, f), "xml", _XML_FIELDS)), """
 SELECT s_suppkey, 'D' || CAST(s_suppkey AS VARCHAR) AS dl_code, s_name AS DealName, 'NL' || CAST(s_suppkey AS VARCHAR) || ';XS' || CAST(s_suppkey AS VARCHAR) AS ISIN,
        CASE WHEN s_suppkey % 3 <> 0 THEN 'SME' END AS AssetClass, '2020-0' || CAST(s_suppkey % 9 + 1 AS VARCHAR) || '-28T00:00:00' AS PoolCutOffDate,
@@ -567,7 +563,8 @@ def _fsilver(s, f):
 add("val8_scd5_facility_bronze", lambda s, f: D.dc_bronze(facilities(s, f), "2020-07-01T00:00:00").select("facility_id", "_ingested_at", "_row_hash", "_is_valid_numeric"),
     FAC_SQL + f"""SELECT facility_id, '2020-07-01T00:00:00' AS _ingested_at, sha256({" || '|' || ".join(_FSORT)}) AS _row_hash, {_FVALID} AS _is_valid_numeric FROM fac""")
 add("fn9_fn10_facility_silver", _fsilver, FAC_SQL + _FSILVER + " SELECT * FROM silver")
-_AVG = """count(*) AS facility_count, round(avg(dscr), 3) AS avg_dscr, round(avg(ltv_pct), 2) AS avg_ltv_pct, round(avg(occupancy_pct), 2) AS avg_occupancy_pct,
+_AVG = """count(*) AS facility_count, CAST(round(CAST(avg(dscr) AS DECIMAL(30, 9)), 3) AS DOUBLE) AS avg_dscr,
+ CAST(round(CAST(avg(ltv_pct) AS DECIMAL(30, 9)), 2) AS DOUBLE) AS avg_ltv_pct, CAST(round(CAST(avg(occupancy_pct) AS DECIMAL(30, 9)), 2) AS DOUBLE) AS avg_occupancy_pct,
  count(*) FILTER (WHERE junior_note_watch_status = 'breach') AS breach_count, count(*) FILTER (WHERE junior_note_watch_status = 'watch') AS watch_count"""
 add("agg21_sponsor_rollup", lambda s, f: D.sponsor_rollup(_fsilver(s, f)), FAC_SQL + _FSILVER + f" SELECT sponsor, {_AVG} FROM silver GROUP BY 1")
 add("agg22_portfolio_dashboard", lambda s, f: D.portfolio_dashboard(_fsilver(s, f), "2020-07-01"), FAC_SQL + _FSILVER + f" SELECT {_AVG}, '2020-07-01' AS as_of FROM silver")
@@ -727,16 +724,18 @@ def _loan_math(s, f):
     )
 
 
-add("fn02_to_fn08_loan_math", _loan_math, PANEL_SQL + f"""SELECT loan_id, CAST(reporting_date AS VARCHAR) AS reporting_date,
-  round(CASE WHEN interest_only_flag = 'Y' THEN original_balance * {_R} ELSE original_balance * {_R} * {_POW.format('legal_maturity_months')} / ({_POW.format('legal_maturity_months')} - 1) END, 3) AS payment,
-  round(CASE WHEN interest_only_flag = 'Y' THEN original_balance ELSE original_balance * ({_POW.format('legal_maturity_months')} - {_POW.format('seasoning_months')}) / ({_POW.format('legal_maturity_months')} - 1) END, 3) AS annuity_balance,
-  round(CASE WHEN arrears_bucket IN ('Redeemed', 'Charged-Off') THEN 0 WHEN arrears_bucket = 'Performing' AND interest_only_flag = 'N'
-        THEN greatest(current_balance * (1 + {_R}) - scheduled_monthly_payment, 0) ELSE current_balance END, 3) AS next_balance,
-  round(CASE WHEN indexed_market_value = 0 THEN 0 ELSE current_balance / indexed_market_value * 100 END, 3) AS ltv,
-  round(original_balance / borrower_annual_income, 3) AS lti, round(scheduled_monthly_payment * 12 / borrower_annual_income * 100, 3) AS dsti,
-  round(original_balance / (oltomv_original / 100.0::DOUBLE), 3) AS market_value,
-  round(current_original_market_value * pow(1.03::DOUBLE, seasoning_months / 12.0::DOUBLE), 3) AS drifted, round(arrears_amount, 3) AS arrears,
-  round(original_balance / nullif(current_balance, 0), 3) AS ratio FROM panel""", 3)
+_MATH = ["payment", "annuity_balance", "next_balance", "ltv", "lti", "dsti", "market_value", "drifted", "arrears", "ratio"]
+add("fn02_to_fn08_loan_math", lambda s, f: _loan_math(s, f).groupBy("reporting_date").agg(*[F.sum(c).alias(c) for c in _MATH]), PANEL_SQL + f""", x AS (SELECT loan_id, CAST(reporting_date AS VARCHAR) AS reporting_date,
+  CASE WHEN interest_only_flag = 'Y' THEN original_balance * {_R} ELSE original_balance * {_R} * {_POW.format('legal_maturity_months')} / ({_POW.format('legal_maturity_months')} - 1) END AS payment,
+  CASE WHEN interest_only_flag = 'Y' THEN original_balance ELSE original_balance * ({_POW.format('legal_maturity_months')} - {_POW.format('seasoning_months')}) / ({_POW.format('legal_maturity_months')} - 1) END AS annuity_balance,
+  CASE WHEN arrears_bucket IN ('Redeemed', 'Charged-Off') THEN 0 WHEN arrears_bucket = 'Performing' AND interest_only_flag = 'N'
+        THEN greatest(current_balance * (1 + {_R}) - scheduled_monthly_payment, 0) ELSE current_balance END AS next_balance,
+  CASE WHEN indexed_market_value = 0 THEN 0 ELSE current_balance / indexed_market_value * 100 END AS ltv,
+  original_balance / borrower_annual_income AS lti, scheduled_monthly_payment * 12 / borrower_annual_income * 100 AS dsti,
+  original_balance / (oltomv_original / 100.0::DOUBLE) AS market_value,
+  current_original_market_value * pow(1.03::DOUBLE, seasoning_months / 12.0::DOUBLE) AS drifted, arrears_amount AS arrears,
+  original_balance / nullif(current_balance, 0) AS ratio FROM panel)
+SELECT reporting_date, {", ".join(f"round(sum({c}), 2) AS {c}" for c in _MATH)} FROM x GROUP BY 1""", 2)
 add("fn11_states", lambda s, f: _count(panel(s, f).select("arrears_bucket", states.days_past_due(F.col("arrears_bucket")).alias("dpd"), states.performing_status(F.col("arrears_bucket")).alias("status"),
         states.default_flag(F.col("arrears_bucket")).alias("default_flag"), states.foreclosure_flag(F.col("arrears_bucket")).alias("foreclosure_flag")), "arrears_bucket", "dpd", "status", "default_flag", "foreclosure_flag"),
     PANEL_SQL + "SELECT arrears_bucket, CAST(days_past_due AS BIGINT) AS dpd, performing_status AS status, default_crr_flag AS default_flag, foreclosure_flag, count(*) AS n FROM panel GROUP BY ALL")
