@@ -46,13 +46,13 @@ def day_difference(end: Column, start: Column) -> Column:
 
 
 def coerce_date(text: Column) -> Column:
-    """Date from ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD``; null for anything else."""
-    padded = (
-        F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01")))
-        .when(text.rlike(r"^\d{4}-\d{1,2}$"), F.concat(text, F.lit("-01")))
-        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), text)
-    )
-    return padded.try_cast("date")
+    """Date from ``YYYY``, ``YYYY-MM`` or ``YYYY-MM-DD``; null for anything else.
+
+    The cast itself reads the three forms; the conditions keep out the others that it reads.
+    """
+    plain = ~F.contains(text, F.lit("T")) & ~F.contains(text, F.lit(" ")) & ~text.startswith("-")
+    full = (F.substring(text, 5, 1) == "-") & (F.length(text) <= 10)
+    return F.when(plain & ((F.length(text) == 4) | full), text.try_cast("date"))
 
 
 def coerce_number(text: Column) -> Column:
@@ -61,7 +61,8 @@ def coerce_number(text: Column) -> Column:
 
 def coerce_integer(text: Column) -> Column:
     trimmed = F.trim(text)
-    return F.when(trimmed.rlike(r"^[+-]?\d+$"), trimmed.try_cast("int"))
+    # the cast would also read "1.5"
+    return F.when(~F.contains(trimmed, F.lit(".")), trimmed.try_cast("int"))
 
 
 GRAINS = ("raw", "date", "week", "month", "quarter", "year", "day_of_month", "quarter_of_year")

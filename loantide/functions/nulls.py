@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The no-data markers of the tapes.
-NO_DATA_PATTERN = "^ND[0-9]?$"
+NO_DATA_CODES = ("ND", *(f"ND{i}" for i in range(10)))
 NO_DATA_PREFIX = "ND"
 CRE_NO_DATA = ("", "ND", "ND1", "ND2", "ND3", "ND4", "ND5", "NA")
 
@@ -15,7 +15,7 @@ def is_no_data(col: Column, mode: str = "pattern") -> Column:
     if mode == "prefix":
         return col.startswith(NO_DATA_PREFIX)
     if mode == "pattern":
-        return col.rlike(NO_DATA_PATTERN)
+        return col.isin(*NO_DATA_CODES)
     raise ValueError(f"unknown no-data mode {mode!r}")
 
 

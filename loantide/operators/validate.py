@@ -24,7 +24,7 @@ SYSTEM_COLUMNS = frozenset(
     ["filename", "dl_code", "pcd", "pcd_year", "pcd_month", "valid_from", "valid_to", "iscurrent", "last_seen", "checksum", "part",
      CORRUPT]
 )
-ERRORS = "qc_errors"
+ERRORS, OK = "qc_errors", "qc_ok"
 
 
 def _limit(value, as_of: str, type_: str) -> Column:
@@ -36,10 +36,8 @@ def _limit(value, as_of: str, type_: str) -> Column:
     return F.lit(value).cast("date")
 
 
-def _reasons(rule: Rule, raw: Column, as_of: str, nd_mode: str, on_fail: str) -> list[tuple[str, Column]]:
+def _reasons(rule: Rule, text: Column, value: Column, as_of: str, on_fail: str) -> list[tuple[str, Column]]:
     """(reason, condition) pairs of one field."""
-    text = null_blank(raw, nd_mode)
-    value = COERCIONS[rule.type](text)
     # with on_fail="null" a value that cannot be read counts as missing
     missing = value.isNull() if on_fail == "null" else text.isNull()
     out = []
@@ -68,40 +66,49 @@ def validate(
     on_fail: str = "error",
     system: Iterable[str] = SYSTEM_COLUMNS,
 ) -> DataFrame:
-    """Add ``qc_errors``: an array of (field, reason) with every broken rule of the row.
+    """Add ``qc_ok`` and ``qc_errors``: an array of (field, reason) with every broken rule of the row.
 
-    One pass without a shuffle: the rules become conditions inside one array expression.
+    No shuffle and no Python. Missing codes are blanked and values are read once per field, in
+    projections of their own; the broken rules are gathered as one text, which compiles to code,
+    and only that short text is turned into an array.
     A field without a rule is an error on every row; a rule without a field is not.
     """
     known = set(system)
-    entry = lambda f, r: F.struct(F.lit(f).alias("field"), F.lit(r).alias("reason"))
-    found = []
-    for name in df.columns:
-        if name in known:
-            continue
-        if name not in rules:
-            found.append(entry(name, "unknown_field"))
-            continue
-        found += [
-            F.when(cond, entry(name, reason)) for reason, cond in _reasons(rules[name], F.col(name), as_of, nd_mode, on_fail)
-        ]
+    fields = [c for c in df.columns if c not in known]
+    ruled = [c for c in fields if c in rules]
+    texts = df.select("*", *[null_blank(F.col(c), nd_mode).alias(f"_t_{c}") for c in ruled])
+    typed = [c for c in ruled if rules[c].type != "string"]
+    values = texts.select("*", *[COERCIONS[rules[c].type](F.col(f"_t_{c}")).alias(f"_v_{c}") for c in typed])
+    found = [F.lit(f"{c}:unknown_field") for c in fields if c not in rules]
+    for c in ruled:
+        text = F.col(f"_t_{c}")
+        value = F.col(f"_v_{c}") if rules[c].type != "string" else COERCIONS["string"](text)
+        found += [F.when(cond, F.lit(f"{c}:{reason}")) for reason, cond in _reasons(rules[c], text, value, as_of, on_fail)]
     if CORRUPT in df.columns:
-        found.append(F.when(F.col(CORRUPT).isNotNull(), entry("file", "unreadable_row")))
-    errors = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<field:string,reason:string>>")
-    return df.withColumn(ERRORS, errors)
+        found.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("file:unreadable_row")))
+    coded = values.select(*df.columns, (F.concat_ws(";", *found) if found else F.lit("")).alias("_codes"))
+    pair = lambda x: F.struct(F.substring_index(x, ":", 1).alias("field"), F.substring_index(x, ":", -1).alias("reason"))
+    none = F.array().cast("array<struct<field:string,reason:string>>")
+    errors = F.when(F.col("_codes") != "", F.transform(F.split("_codes", ";"), pair)).otherwise(none)
+    return coded.select(*df.columns, (F.col("_codes") == "").alias(OK), errors.alias(ERRORS))
 
 
 def split_clean_dirty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows without errors, and the rest with the reasons as JSON text (SNK4)."""
-    clean = df.where(F.size(ERRORS) == 0).drop(ERRORS)
-    dirty = df.where(F.size(ERRORS) > 0).withColumn(ERRORS, F.to_json(ERRORS))
+    """Rows without errors, and the rest with the reasons as JSON text (SNK4).
+
+    Both sides evaluate the rules; write the annotated rows first when they feed several outputs.
+    """
+    clean = df.where(OK).drop(OK, ERRORS)
+    dirty = df.where(~F.col(OK)).withColumn(ERRORS, F.to_json(ERRORS)).drop(OK)
     return clean, dirty
 
 
 def error_counts(df: DataFrame) -> DataFrame:
     """Rows per field and reason."""
     return (
-        df.select(F.explode(ERRORS).alias("e"))
+        # outer: a plain explode would infer a filter that evaluates every rule a second time
+        df.select(F.explode_outer(ERRORS).alias("e"))
+        .where("e IS NOT NULL")
         .groupBy("e.field", "e.reason")
         .agg(F.count(F.lit(1)).alias("n"))
     )

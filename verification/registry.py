@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["portfolio_queries", "history_queries", "sequence_queries", "tape_queries"]
+MODULES = ["portfolio_queries", "history_queries", "sequence_queries", "tape_queries", "model_queries"]
 
 
 def _collect(attr: str) -> dict:
