@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from loantide.functions.nulls import fill_missing
 from loantide.operators.history import DATE
 from loantide.operators.metrics import calibration_error, capture_rate, error_metrics, rank_metrics
-from loantide.session import scratch_path
+from loantide.session import written
 
 NULL_LABEL = "__NULL__"
 # Numeric and categorical model features.
@@ -133,13 +133,6 @@ def top_features(model, names: Sequence[str], df: DataFrame, k: int = 20) -> Dat
     )
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written once to the shared folder and read back: several jobs follow."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def evaluate(scored: DataFrame) -> DataFrame:
     """Rank, error, calibration and capture figures of one scored table, as one row."""
     scored = written(scored.select("label", "score"), "scored")

@@ -167,33 +167,22 @@ def epc_profile(df: DataFrame, cutoff: str | None = "first") -> DataFrame:
     return _with_share(grouped, pool).withColumn("label_rank", F.array_position(labels, F.col("epc_label")))
 
 
+def exits_of(outcomes: DataFrame) -> DataFrame:
+    """Where the starting pool ended up, from one row per loan."""
+    flags = ("start_loans", "still_performing", "still_defaulted", "ever_redeemed", "ever_charged_off")
+    counts = outcomes.agg(*[F.count_if(n).alias(n) for n in flags])
+    return counts.withColumn("total_accounted", sum((F.col(n) for n in flags[2:]), F.col("still_performing")))
+
+
 def exit_accounting(df: DataFrame, first: str, last: str) -> DataFrame:
     """Where the starting pool ended up (AGG9)."""
-    at = lambda d: F.col(DATE) == F.lit(d).cast("date")
-    status = F.col("performing_status")
-    flags = {
-        "start_loans": at(first),
-        "still_performing": at(last) & (status == "Non-defaulted"),
-        "still_defaulted": at(last) & (status == DEFAULTED),
-        "ever_redeemed": status == REDEEMED,
-        "ever_charged_off": status == CHARGED_OFF,
-    }
-    per_loan = df.groupBy(KEY).agg(*[F.max(c).alias(n) for n, c in flags.items()])
-    counts = per_loan.agg(*[F.count_if(n).alias(n) for n in flags])
-    accounted = sum((F.col(n) for n in list(flags)[2:]), F.col("still_performing"))
-    return counts.withColumn("total_accounted", accounted)
+    return exits_of(loan_outcomes(df, first, last))
 
 
-def headline_rates(df: DataFrame, first: str, last: str) -> DataFrame:
-    """Cumulative rates on the starting pool and the peak defaulted share (AGG10)."""
+def rates_of(exits: DataFrame, peak: Column) -> DataFrame:
+    """Cumulative rates from the exit counts and the peak defaulted share."""
     start = F.nullif(F.col("start_loans"), F.lit(0))
-    peak = (
-        df.groupBy(DATE)
-        .agg(_pct(F.col("arrears_bucket") == DEFAULTED).alias("p"))
-        .agg(F.max("p"))
-        .scalar()
-    )
-    return exit_accounting(df, first, last).select(
+    return exits.select(
         (100.0 * F.col("ever_redeemed") / start).alias("prepayment_pct"),
         (100.0 * F.col("ever_charged_off") / start).alias("charge_off_pct"),
         (100.0 * F.col("still_defaulted") / start).alias("end_default_pct"),
@@ -202,6 +191,12 @@ def headline_rates(df: DataFrame, first: str, last: str) -> DataFrame:
     )
 
 
+def headline_rates(df: DataFrame, first: str, last: str) -> DataFrame:
+    """Cumulative rates on the starting pool and the peak defaulted share (AGG10)."""
+    by_date = df.groupBy(DATE).agg(_pct(F.col("arrears_bucket") == DEFAULTED).alias("p"))
+    return rates_of(exit_accounting(df, first, last), by_date.agg(F.max("p")).scalar())
+
+
 def delinquency_rates(df: DataFrame) -> DataFrame:
     """Delinquency shares of the active pool by cut-off (AGG11)."""
     state = F.col("arrears_bucket")
@@ -244,13 +239,22 @@ def pool_dynamics(df: DataFrame) -> DataFrame:
     )
 
 
+_OUTCOMES = {"ever_defaulted_pct": "ever_defaulted", "ever_charged_off_pct": "ever_charged_off", "ever_redeemed_pct": "ever_redeemed"}
+
+
+def vintages_of(outcomes: DataFrame) -> DataFrame:
+    """Outcome shares per vintage, from one row per loan."""
+    return outcomes.groupBy("origination_year").agg(
+        F.count(F.lit(1)).alias("cohort"), *[_pct(F.col(c)).alias(n) for n, c in _OUTCOMES.items()]
+    )
+
+
 def vintage_outcomes(df: DataFrame) -> DataFrame:
     """Share of each vintage that ever defaulted, was charged off or redeemed (AGG14)."""
     status = F.col("performing_status")
-    outcomes = {"ever_defaulted_pct": DEFAULTED, "ever_charged_off_pct": CHARGED_OFF, "ever_redeemed_pct": REDEEMED}
-    per_loan = df.groupBy("origination_year", KEY).agg(*[F.max(status == s).alias(n) for n, s in outcomes.items()])
-    return per_loan.groupBy("origination_year").agg(
-        F.count(F.lit(1)).alias("cohort"), *[_pct(F.col(n)).alias(n) for n in outcomes]
+    outcomes = {"ever_defaulted": DEFAULTED, "ever_charged_off": CHARGED_OFF, "ever_redeemed": REDEEMED}
+    return vintages_of(
+        df.groupBy("origination_year", KEY).agg(*[F.max(status == s).alias(n) for n, s in outcomes.items()])
     )
 
 
@@ -268,24 +272,10 @@ def hhi(df: DataFrame, dim: str, cutoff: str | None = "first") -> DataFrame:
     )
 
 
-def lgd(df: DataFrame) -> DataFrame:
-    """Loss proxy of charged-off loans: the largest balance seen while defaulted (AGG16, JON5).
-
-    One conditional aggregation per loan takes the place of a self-join.
-    """
-    status = F.col("performing_status")
-    per_loan = (
-        df.groupBy(KEY)
-        .agg(
-            F.max(status == CHARGED_OFF).alias("charged_off"),
-            F.max("nhg_flag").alias("nhg_flag"),
-            F.max(F.when(status == DEFAULTED, F.col("current_balance"))).alias("at_default"),
-            F.max("original_balance").alias("original"),
-        )
-        .where("charged_off")
-    )
+def losses_of(outcomes: DataFrame) -> DataFrame:
+    """Loss figures of the charged-off loans, from one row per loan."""
     covered = F.sum(F.when(F.col("nhg_flag") == "Y", F.col("at_default")).otherwise(0.0)) / 1e6
-    return per_loan.agg(
+    return outcomes.where("ever_charged_off").agg(
         F.count(F.lit(1)).alias("n_charged_off"),
         (F.sum("at_default") / 1e6).alias("loss_m"),
         F.avg("at_default").alias("mean_loss"),
@@ -295,6 +285,16 @@ def lgd(df: DataFrame) -> DataFrame:
     ).withColumn("net_loss_m", F.col("loss_m") - F.col("guaranteed_m"))
 
 
+def lgd(df: DataFrame) -> DataFrame:
+    """Loss proxy of charged-off loans: the largest balance seen while defaulted (AGG16, JON5).
+
+    One conditional aggregation per loan takes the place of a self-join; columns that the
+    losses do not need are pruned from it.
+    """
+    any_day = "1970-01-01"
+    return losses_of(loan_outcomes(df, any_day, any_day))
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once (AGG17)."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -361,3 +361,62 @@ def top_k_share(df: DataFrame, k: int, cutoff: str | None = "first") -> DataFram
 def top_share(df: DataFrame, frac: float = 0.01, cutoff: str | None = "first") -> DataFrame:
     """Balance held by the largest ``frac`` of loans (WIN9)."""
     return top_fraction_sum(at_cutoff(df, cutoff), "current_balance", frac)
+
+
+def loan_outcomes(df: DataFrame, first: str, last: str) -> DataFrame:
+    """One row per loan with what the exit, vintage and loss sections need: one shuffle for all of them."""
+    at = lambda d: F.col(DATE) == F.lit(d).cast("date")
+    status = F.col("performing_status")
+    return df.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.max(at(first)).alias("start_loans"),
+        F.max(at(last) & (status == "Non-defaulted")).alias("still_performing"),
+        F.max(at(last) & (status == DEFAULTED)).alias("still_defaulted"),
+        F.max(status == REDEEMED).alias("ever_redeemed"),
+        F.max(status == CHARGED_OFF).alias("ever_charged_off"),
+        F.max(status == DEFAULTED).alias("ever_defaulted"),
+        F.max("origination_year").alias("origination_year"),
+        F.max("nhg_flag").alias("nhg_flag"),
+        F.max(F.when(status == DEFAULTED, F.col("current_balance"))).alias("at_default"),
+        F.max("original_balance").alias("original"),
+    )
+
+
+def cutoff_measures(df: DataFrame) -> DataFrame:
+    """One row per cut-off with the figures of every section that groups by date: one scan for all of them.
+
+    Columns that count the active pool only start with ``a_``.
+    """
+    state, status, bal = F.col("arrears_bucket"), F.col("performing_status"), F.col("current_balance")
+    live = is_active(state)
+    n_live = F.nullif(F.count_if(live), F.lit(0))
+    share = lambda c: 100.0 * F.count_if(live & c) / n_live
+    yes = lambda c: F.col(c) == "Y"
+    kept = F.when(live, bal)
+    weighted = lambda c: F.sum(kept * F.col(c)) / F.nullif(F.sum(kept), F.lit(0.0))
+    return df.groupBy(DATE).agg(
+        F.count(F.lit(1)).alias("n_loans"),
+        F.count_if(state == PERFORMING).alias("performing"),
+        *[F.count_if(status == s).alias(n) for n, s in (("defaulted", DEFAULTED), ("redeemed", REDEEMED), ("charged_off", CHARGED_OFF))],
+        *[_pct(state == s).alias(f"{_state_name(s)}_pct") for s in ARREARS_STATES],
+        F.sum("original_balance").alias("original_balance"),
+        F.sum(bal).alias("current_balance"),
+        F.sum("original_market_value_at_origination").alias("original_value"),
+        F.count_if(live).alias("n_active"),
+        share(state.isin(*DELINQUENT_STATES)).alias("a_delinquent_pct"),
+        share(state.isin(*DELINQUENT_STATES[1:])).alias("a_dpd30_pct"),
+        share(state.isin(*DELINQUENT_STATES[3:])).alias("a_dpd90_pct"),
+        share(state == DEFAULTED).alias("a_defaulted_pct"),
+        share(yes("foreclosure_flag")).alias("a_foreclosure_pct"),
+        share(yes("nhg_flag")).alias("a_nhg_pct"),
+        F.count_if(live & yes("nhg_flag") & (F.col("original_balance") > NHG_CAP)).alias("a_nhg_cap_breaches"),
+        share(F.col("cltomv_current") > 100).alias("a_underwater_pct"),
+        share(yes("forbearance_flag")).alias("a_forbearance_pct"),
+        share(yes("restructuring_flag")).alias("a_restructuring_pct"),
+        share(yes("default_crr_flag")).alias("a_default_flag_pct"),
+        (F.sum(kept) / 1e9).alias("a_balance_bn"),
+        (F.sum(kept) / F.nullif(F.sum(F.when(live, F.col("original_balance"))), F.lit(0.0))).alias("a_pool_factor"),
+        weighted("current_interest_rate_pct").alias("a_wa_rate"),
+        weighted("seasoning_months").alias("a_wa_seasoning"),
+        weighted("remaining_term_months").alias("a_wa_remaining_term"),
+    )

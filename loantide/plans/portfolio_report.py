@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loantide.operators import history as H, portfolio as P
+from loantide.operators.history import DATE
+from loantide.session import written
 
 # The columns of the snapshot sections.
 SNAPSHOT_DIMENSIONS = (
@@ -16,29 +18,55 @@ SNAPSHOT_MEASURES = ("borrower_annual_income", "original_balance", "current_inte
 CONCENTRATION_DIMENSIONS = ("province", "economic_region_nuts3", "origination_year")
 
 
+# Columns of the sections that group by date, as named in the shared table.
+_COMPOSITION = ("n_loans", "performing", "defaulted", "redeemed", "charged_off")
+_ACTIVE = {
+    "13_delinquency_rates": ("n_active", "delinquent_pct", "dpd30_pct", "dpd90_pct", "defaulted_pct", "foreclosure_pct"),
+    "14_compliance": ("nhg_pct", "nhg_cap_breaches", "underwater_pct", "forbearance_pct", "restructuring_pct", "default_flag_pct"),
+    "15_pool_dynamics": ("balance_bn", "pool_factor", "wa_rate", "wa_seasoning", "wa_remaining_term"),
+}
+
+
 def portfolio_report(panel: DataFrame, first: str, last: str) -> dict[str, DataFrame]:
-    """Every section as a table. Sections with the same shape share one scan."""
+    """Every section as a table. The panel is read a handful of times, not once per section.
+
+    Two shared tables are written to the shared folder when the report is built: one row per
+    cut-off and one row per loan. The sections that follow from them read those.
+    """
+    by_date = written(P.cutoff_measures(panel), "report-dates")
+    loans = written(P.loan_outcomes(panel, first, last), "report-loans")
+    on = lambda d, c: F.sum(F.when(F.col(DATE) == F.lit(d).cast("date"), F.col(c))) / 1e9
+    n_loans = loans.agg(F.count(F.lit(1))).scalar()
+    overview = by_date.agg(
+        F.sum("n_loans").alias("n_rows"), F.count(F.lit(1)).alias("n_cutoffs"), F.min(DATE).alias("first_date"), F.max(DATE).alias("last_date"),
+        on(first, "original_balance").alias("original_balance_bn"), on(first, "current_balance").alias("current_balance_first_bn"),
+        on(last, "current_balance").alias("current_balance_last_bn"), on(first, "original_value").alias("original_value_bn"),
+    ).withColumn("n_loans", n_loans)
+    change = F.col("n_loans") - F.lag("n_loans").over(Window.partitionBy(F.lit(0)).orderBy(DATE))
+    shares = [c for c in by_date.columns if c.endswith("_pct") and not c.startswith("a_")]
+    exits = P.exits_of(loans)
     out = {
-        "01_pool_overview": P.pool_overview(panel, first, last),
-        "02_monthly_composition": P.monthly_composition(panel),
+        "01_pool_overview": overview,
+        "02_monthly_composition": by_date.select(DATE, *_COMPOSITION, change.alias("change")),
         "03_to_06_distributions": P.distributions(panel, SNAPSHOT_DIMENSIONS, first),
         "03_to_06_quantiles": P.quantile_table(panel, SNAPSHOT_MEASURES, first),
         "07_risk_markers": P.risk_markers(panel, first),
-        "08_arrears_trajectory": P.arrears_trajectory(panel),
+        "08_arrears_trajectory": by_date.select(DATE, *shares),
         "09_vintage_profile": P.vintage_profile(panel, first),
         "10_energy_profile": P.epc_profile(panel, first),
-        "11_exit_accounting": P.exit_accounting(panel, first, last),
-        "12_headline_rates": P.headline_rates(panel, first, last),
-        "13_delinquency_rates": P.delinquency_rates(panel),
-        "14_compliance": P.compliance(panel),
-        "15_pool_dynamics": P.pool_dynamics(panel),
+        "11_exit_accounting": exits,
+        "12_headline_rates": P.rates_of(exits, by_date.agg(F.max("defaulted_pct")).scalar()),
+        **{
+            name: by_date.where("n_active > 0").select(DATE, *[F.col(c if c == "n_active" else f"a_{c}").alias(c) for c in cols])
+            for name, cols in _ACTIVE.items()
+        },
         "16_roll_rates": H.roll_rates(panel),
-        "17_vintage_outcomes": P.vintage_outcomes(panel),
+        "17_vintage_outcomes": P.vintages_of(loans),
         "18_top_regions": P.top_exposure(panel, "economic_region_nuts3", 10, first),
         "18_top_10": P.top_k_share(panel, 10, first),
         "18_top_100": P.top_k_share(panel, 100, first),
         "18_top_1_pct": P.top_share(panel, 0.01, first),
-        "19_loss_given_default": P.lgd(panel),
+        "19_loss_given_default": P.losses_of(loans),
     }
     for dim in CONCENTRATION_DIMENSIONS:
         out[f"18_concentration_{dim}"] = P.hhi(panel, dim, first)

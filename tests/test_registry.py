@@ -28,3 +28,26 @@ def test_query_equals_sql(spark, name):
     columns = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are absent")
+def test_report_sections_equal_the_single_operators(spark):
+    from loantide.operators import portfolio as P
+    from loantide.plans.portfolio_report import portfolio_report
+    from loantide.session import written
+    from verification.bindings import FIRST, LAST, panel
+    from verification.shape import plain
+
+    p = written(panel(spark, SF), "panel")
+    report = portfolio_report(p, FIRST, LAST)
+    single = {
+        "01_pool_overview": P.pool_overview(p, FIRST, LAST), "02_monthly_composition": P.monthly_composition(p),
+        "08_arrears_trajectory": P.arrears_trajectory(p), "11_exit_accounting": P.exit_accounting(p, FIRST, LAST),
+        "12_headline_rates": P.headline_rates(p, FIRST, LAST), "13_delinquency_rates": P.delinquency_rates(p),
+        "14_compliance": P.compliance(p), "15_pool_dynamics": P.pool_dynamics(p),
+        "17_vintage_outcomes": P.vintage_outcomes(p), "19_loss_given_default": P.lgd(p),
+    }
+    for name, df in single.items():
+        a, b = plain(report[name]), plain(df)
+        assert sorted(a.columns) == sorted(b.columns), name
+        assert rows_of(a.columns, [tuple(r) for r in a.collect()]) == rows_of(b.columns, [tuple(r) for r in b.collect()]), name
