@@ -274,14 +274,14 @@ def hhi(df: DataFrame, dim: str, cutoff: str | None = "first") -> DataFrame:
 
 def losses_of(outcomes: DataFrame) -> DataFrame:
     """Loss figures of the charged-off loans, from one row per loan."""
-    covered = F.sum(F.when(F.col("nhg_flag") == "Y", F.col("at_default")).otherwise(0.0)) / 1e6
+    covered = F.sum(F.when(F.col("guaranteed"), F.col("at_default")).otherwise(0.0)) / 1e6
     return outcomes.where("ever_charged_off").agg(
         F.count(F.lit(1)).alias("n_charged_off"),
         (F.sum("at_default") / 1e6).alias("loss_m"),
         F.avg("at_default").alias("mean_loss"),
         (F.avg(F.col("at_default") / F.col("original")) * 100).alias("mean_lgd_pct"),
         covered.alias("guaranteed_m"),
-        F.count_if(F.col("nhg_flag") == "Y").alias("n_guaranteed"),
+        F.count_if("guaranteed").alias("n_guaranteed"),
     ).withColumn("net_loss_m", F.col("loss_m") - F.col("guaranteed_m"))
 
 
@@ -376,7 +376,8 @@ def loan_outcomes(df: DataFrame, first: str, last: str) -> DataFrame:
         F.max(status == CHARGED_OFF).alias("ever_charged_off"),
         F.max(status == DEFAULTED).alias("ever_defaulted"),
         F.max("origination_year").alias("origination_year"),
-        F.max("nhg_flag").alias("nhg_flag"),
+        # a boolean, since a maximum of text would turn the hash aggregation into a sort
+        F.max(F.col("nhg_flag") == "Y").alias("guaranteed"),
         F.max(F.when(status == DEFAULTED, F.col("current_balance"))).alias("at_default"),
         F.max("original_balance").alias("original"),
     )
