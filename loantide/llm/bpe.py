@@ -24,43 +24,7 @@ from pyspark.sql import DataFrame
 
 from loantide.llm.common import map_arrow, whole_texts
 
-CACHE_ENTRIES = 400_000  # pre-tokens a worker remembers; then it starts anew
-
-
-class RankQueue:
-    """Positions by merge rank; the lowest rank comes first, then the smallest position."""
-
-    def __init__(self, ranks: int):
-        self.words = [0] * (ranks // 64 + 1)
-        self.summary = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            w = rank >> 6
-            self.words[w] |= 1 << (rank & 63)
-            self.summary |= 1 << w
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """Rank and position; (-1, -1) if nothing waits."""
-        if not self.summary:
-            return -1, -1
-        w = (self.summary & -self.summary).bit_length() - 1
-        word = self.words[w]
-        rank = (w << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            word &= word - 1
-            self.words[w] = word
-            if not word:
-                self.summary &= self.summary - 1
-        return rank, position
+CACHE_ENTRIES = 800_000  # pre-tokens a worker remembers; then it starts anew
 
 
 class Encoder:
@@ -70,48 +34,68 @@ class Encoder:
         self.ranks, self.tokens = ranks, {i: b for b, i in ranks.items()}
         self.find = regex.compile(pattern).findall
         self.longest = max(map(len, ranks))
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.bits = [0] * (max(ranks.values()) // 64 + 1)  # empty between pre-tokens
         self.names = {i: str(i) for i in self.tokens}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token."""
-        ranks = self.ranks
-        if piece in ranks:
-            return (ranks[piece],)
-        n, queue, longest = len(piece), self.queue, self.longest
-        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [-1] * n
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
-            if r is not None:
-                waits[i] = r
-                queue.push(r, i)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
+        """The ids of one pre-token.
+
+        A token begins at i and ends at ``end[i]``, where the next begins. ``waits[i]`` is the rank of the pair that
+        begins at i, -1 if it has none. The queue: ``buckets`` of positions by rank, ``bits`` with a bit per bucket
+        in use, 64 to a word, and ``summary`` with a bit per word in use.
+        """
+        get, longest = self.ranks.get, self.longest
+        whole = get(piece)
+        if whole is not None:
+            return (whole,)
+        n, bits, buckets, summary = len(piece), self.bits, {}, 0
+        end, before = list(range(1, n + 2)), list(range(-1, n))
+        waits = [-1 if r is None else r for r in [get(piece[i : i + 2]) for i in range(n - 1)]]
+        waits.append(-1)
+        for i, r in enumerate(waits):
+            if r >= 0:
+                if r in buckets:
+                    buckets[r].append(i)  # positions grow: still a heap
+                else:
+                    buckets[r] = [i]
+                    bits[r >> 6] |= 1 << (r & 63)
+                    summary |= 1 << (r >> 6)
+        while summary:
+            w = (summary & -summary).bit_length() - 1
+            word = bits[w]
+            rank = (w << 6) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket) if len(bucket) > 1 else bucket.pop()
+            if not bucket:
+                del buckets[rank]
+                bits[w] = word = word & (word - 1)
+                if not word:
+                    summary &= summary - 1
             if waits[i] != rank:
                 continue  # stale
-            j = after[i]
-            end[i], waits[j] = end[j], -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-            for left in (before[i], i):
+            j = end[i]
+            k = end[i] = end[j]
+            before[k], waits[j] = i, -1
+            p = before[i]
+            for left, to in ((p, k), (i, end[k] if k < n else 0)):
                 if left < 0:
                     continue
-                right = after[left]
-                r = ranks.get(piece[left : end[right]]) if right < n and end[right] - left <= longest else None
+                r = get(piece[left:to]) if left < to <= left + longest else None
                 if r is None:
                     waits[left] = -1
                 elif waits[left] != r:
                     waits[left] = r
-                    queue.push(r, left)
-        out, i = [], 0
+                    if r in buckets:
+                        heappush(buckets[r], left)
+                    else:
+                        buckets[r] = [left]
+                        bits[r >> 6] |= 1 << (r & 63)
+                        summary |= 1 << (r >> 6)
+        out, i, ranks = [], 0, self.ranks
         while i < n:
             out.append(ranks[piece[i : end[i]]])
-            i = after[i]
+            i = end[i]
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loantide.llm import bpe, lines, packing, pii, quality, secrets, simhash, topk
+from loantide.llm import bpe, lines, lm, packing, pii, quality, secrets, simhash, topk
 from loantide.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs, report=True)
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
@@ -43,5 +47,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scans, op4_exact_top_k, op5_byte_bpe, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scores, op3_secret_scans, op4_exact_top_k, op5_byte_bpe, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {}
