@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loantide.llm import bpe, lines, lm, packing, pii, quality, secrets, simhash, topk
+from loantide.llm import bpe, lines, lm, packing, passages, pii, quality, secrets, simhash, topk
 from loantide.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_fuzzy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.fuzzy_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scores, op3_secret_scans, op4_exact_top_k, op5_byte_bpe, op6_pii, op7_best_fit_packing, op9_quality_rules, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scores, op3_secret_scans, op4_exact_top_k, op5_byte_bpe, op6_pii, op7_best_fit_packing, op8_fuzzy_passages, op9_quality_rules, op10_simhash)}
 ORACLE: dict[str, str] = {}
