@@ -130,5 +130,13 @@ def keep_documents(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame
     order = plan_order(sampled, rules(F.col("text"), F.col("n_words")), sample_rows)
     t = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn("__words", words(F.col("__text")))
     # the word windows are the dearest, so only what passes the cascade pays for them
-    t = with_repeat_words(t.where(cascade(rules(F.col("__text"), F.size("__words")), order)), "__words", "__repeats")
-    return t.where(100 * F.col("__repeats") <= 50 * F.size("__words")).select(*docs.columns)
+    t = _only(t, cascade(rules(F.col("__text"), F.size("__words")), order))
+    t = with_repeat_words(t, "__words", "__repeats")
+    return _only(t, 100 * F.col("__repeats") <= 50 * F.size("__words")).select(*docs.columns)
+
+
+def _only(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet the condition. A filter would be pushed below the columns that it reads and compute them once per
+    mention, inside of lambdas even once per element; an exploded flag is not."""
+    flag = F.when(condition, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return df.select("*", F.explode(flag).alias("__pass")).drop("__pass")
