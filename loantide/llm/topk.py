@@ -2,8 +2,7 @@
 
 The components of the vectors are divided into ``PARTS`` parts; each (query block, candidate block, part) is a
 source that knows its part's scores only. Phase 1: each source sends its k best part scores per query and its
-smallest; with the smallest in place of what is not seen, sums are lower bounds, and the k-th best of them, t, is a
-safe cutoff. Phase 2: each source sends every part score of at least t / PARTS: a candidate that no source sends is
+smallest; the k-th best whole score of these candidates, t, is a safe cutoff. Phase 2: each source sends every part score of at least t / PARTS: a candidate that no source sends is
 below t. Bounds of the sums prune again. Phase 3: the scores of what is left are computed exactly.
 
 Equal vectors form one class. A class keeps its k + 1 smallest ids, which is exact: ties go to the smaller id, so no
@@ -91,16 +90,36 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, parts: int = PARTS
                 out.append(pd.DataFrame({"q": np.repeat(some["id"].to_numpy(), m), "c": ids[best].ravel(), "part": int(q["part"].iloc[0]), "s": np.take_along_axis(s, best, 1).ravel(), "low": np.repeat(s.min(axis=1), m)}))
         return pd.concat(out)
 
+    def exact_scores(pairs: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": [], "c": [], "score": []}).astype("int64")]
+        q, c = vecs[vecs["is_q"]], vecs[~vecs["is_q"]]
+        if len(pairs) and len(q) and len(c):
+            a, b = _pair(q["vec"], c["vec"])
+            i = pd.Index(q["id"]).get_indexer(pairs["q"])
+            j = pd.Index(c["id"]).get_indexer(pairs["c"])
+            s = np.concatenate([np.einsum("ij,ij->i", a[i[n : n + 65536]], b[j[n : n + 65536]]) for n in range(0, len(i), 65536)]).astype(np.int64)
+            all_pairs = pd.DataFrame({"q": pairs["q"].to_numpy(), "c": pairs["c"].to_numpy(), "score": s}).sort_values(["q", "score", "c"], ascending=[True, False, True])
+            out.append(all_pairs.groupby("q").head(k))
+        return pd.concat(out)
+
+    block = lambda name, many: F.pmod(F.xxhash64(name), F.lit(many)).cast("int")
+    q_whole = queries.select("id", "vec", F.lit(True).alias("is_q"), block("id", n_q).alias("qb")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
+    c_whole = candidates.select("id", "vec", F.lit(False).alias("is_q"), block("id", n_c).alias("cb")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    vecs = q_whole.unionByName(c_whole)
+
+    def resolve(pairs: DataFrame) -> DataFrame:
+        """Exact scores of pairs, the k best of each query and candidate block."""
+        p = pairs.withColumn("qb", block("q", n_q)).withColumn("cb", block("c", n_c))
+        return p.groupBy("qb", "cb").cogroup(vecs.groupBy("qb", "cb")).applyInPandas(exact_scores, "q long, c long, score long")
+
     q_rows = piece(dealt(queries, "q", n_q, n_c, "qb", "cb"))
     local = q_rows.groupBy(*keys).cogroup(c_rows.groupBy(*keys)).applyInPandas(phase1, "q long, c long, part int, s long, low long")
     local = written(local, "local")
     lows = written(local.groupBy("q", "part").agg(F.min("low").alias("low")), "lows")
-    all_low = lows.groupBy("q").agg(F.sum("low").alias("all_low"))
-    # a lower bound of each sum: what is not seen counts as the smallest of its source
-    above = local.join(lows.withColumnRenamed("low", "part_low"), ["q", "part"]).groupBy("q", "c").agg(F.sum(F.col("s") - F.col("part_low")).alias("above"))
-    bound = above.join(all_low, "q").select("q", "c", (F.col("above") + F.col("all_low")).alias("bound"))
-    kth = F.row_number().over(W.partitionBy("q").orderBy(F.desc("bound")))
-    cut = bound.withColumn("n", kth).where(F.col("n") <= k).groupBy("q").agg(F.when(F.count("c") >= k, F.min("bound")).otherwise(F.lit(-(1 << 62))).alias("t"))
+    # the k-th best exact score among what the sources sent is a safe cutoff
+    kth = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score")))
+    first = resolve(local.select("q", "c").distinct()).withColumn("n", kth).where(F.col("n") <= k)
+    cut = first.groupBy("q").agg(F.when(F.count("c") >= k, F.min("score")).otherwise(F.lit(-(1 << 62))).alias("t"))
     cut = written(cut.select(F.col("q").alias("id"), "t"), "cutoffs")
 
     def phase2(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -123,24 +142,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int, parts: int = PARTS
     cut2 = bounds.withColumn("n", kth2).where(F.col("n") == k).select("q", F.col("lower").alias("t2"))
     left = bounds.join(cut2, "q", "left").where(F.col("t2").isNull() | (F.col("upper") >= F.col("t2"))).select("q", "c")
 
-    def phase3(pairs: pd.DataFrame, vecs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"q": [], "c": [], "score": []}).astype("int64")]
-        q, c = vecs[vecs["is_q"]], vecs[~vecs["is_q"]]
-        if len(pairs) and len(q) and len(c):
-            a, b = _pair(q["vec"], c["vec"])
-            i = pd.Index(q["id"]).get_indexer(pairs["q"])
-            j = pd.Index(c["id"]).get_indexer(pairs["c"])
-            s = np.concatenate([np.einsum("ij,ij->i", a[i[n : n + 65536]], b[j[n : n + 65536]]) for n in range(0, len(i), 65536)]).astype(np.int64)
-            all_pairs = pd.DataFrame({"q": pairs["q"].to_numpy(), "c": pairs["c"].to_numpy(), "score": s}).sort_values(["q", "score", "c"], ascending=[True, False, True])
-            out.append(all_pairs.groupby("q").head(k))
-        return pd.concat(out)
-
-    block = lambda name, many: F.pmod(F.xxhash64(name), F.lit(many)).cast("int")
-    pairs = left.withColumn("qb", block("q", n_q)).withColumn("cb", block("c", n_c))
-    q_whole = queries.select("id", "vec", F.lit(True).alias("is_q"), block("id", n_q).alias("qb")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"))
-    c_whole = candidates.select("id", "vec", F.lit(False).alias("is_q"), block("id", n_c).alias("cb")).select("*", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    vecs = q_whole.unionByName(c_whole)
-    exact = pairs.groupBy("qb", "cb").cogroup(vecs.groupBy("qb", "cb")).applyInPandas(phase3, "q long, c long, score long")
+    exact = resolve(left)
     best = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "c"))
     return exact.withColumn("n", best).where(F.col("n") <= k).drop("n")
 
