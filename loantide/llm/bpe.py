@@ -36,7 +36,7 @@ class Encoder:
         self.longest = max(map(len, ranks))
         self.bits = [0] * (max(ranks.values()) // 64 + 1)  # empty between pre-tokens
         self.names = {i: str(i) for i in self.tokens}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self)
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token.
@@ -99,17 +99,26 @@ class Encoder:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        known, pieces = self.known, self.find(text)
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        for p in set(pieces).difference(known):
-            known[p] = self.piece(p.encode("utf-8", "surrogatepass"))
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        return list(chain.from_iterable(map(self.known.__getitem__, self.find(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class _Known(dict):
+    """Ids of the pre-tokens met so far."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        self[piece] = ids = self.encoder.piece(piece.encode("utf-8", "surrogatepass"))
+        return ids
+
+
 @functools.cache
 def encoder(path: str, pattern: str) -> Encoder:
     with open(path, "rb") as f:
