@@ -18,10 +18,11 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     if both_ways:
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = seen.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(low, "low")  # one row per node, written: a hot node's edges can then be split
         # larger neighbours of ``node`` are the edges where it is the smaller end
         hung = edges.select(F.col("v").alias("node"), F.col("u").alias("other")).join(low, "node").select(F.col("other").alias("u"), F.col("m").alias("v"))
         return hung.where("u > v").distinct()
-    low = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    low = written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")), "low")
     moved = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).join(low, "node").where("other <> m").select(F.col("other").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct()
 
