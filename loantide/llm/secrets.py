@@ -41,7 +41,9 @@ def _f(c: Column) -> Column:
 def window_entropy(candidate: Column, width: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits per character, of any ``width`` consecutive characters."""
     index = F.transform(F.filter(F.split(candidate, "", -1), lambda c: c != ""), lambda c: F.position(c, F.lit(ALPHABET)))
-    moves = F.transform(index, lambda c, i: F.struct(c.alias("new"), F.when(i >= width, F.get(index, i - width)).otherwise(F.lit(0)).alias("old"), i.alias("i")))
+    # beside each character the one that leaves the window (0 while it fills), so that no lambda reads a whole array
+    leaving = F.slice(F.concat(F.array_repeat(F.lit(0), width), index), 1, F.length(candidate))
+    moves = F.transform(F.arrays_zip(index.alias("new"), leaving.alias("old")), lambda x, i: F.struct(x["new"].alias("new"), x["old"].alias("old"), i.alias("i")))
     zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
 
     def step(acc: Column, x: Column) -> Column:
