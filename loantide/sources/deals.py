@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 DEAL_PATH = "/*/*[2]/*[1]/*[2]/*[1]"
 DROPPED_TAGS = ("Country", "DealVisibleToOrg", "DealVisibleToUser")
 DROPPED_SUBMISSION_TAGS = ("MetricData", "IsProvisional", "IsRestructured")
-LIST_TAG, SUBMISSIONS_TAG, KEY_TAG, KEY = "ISIN", "Submissions", "Deeploans_code", "dl_code"
+LIST_TAG, SUBMISSIONS_TAG, KEY_TAG, KEY = "ISIN", "Submissions", "DealCode", "dl_code"
 
 
 def normalise_deal(df: DataFrame, key_tag: str = KEY_TAG) -> DataFrame:

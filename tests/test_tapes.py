@@ -95,7 +95,7 @@ def test_stream_reads_each_file_once_and_equals_batch(spark, folder):
     assert got == read(spark, folder)
 
 
-DOC = ("<root{ns}><head/><body><list><meta/><deals><deal><Deeploans_code>D1</Deeploans_code><DealName></DealName>"
+DOC = ("<root{ns}><head/><body><list><meta/><deals><deal><DealCode>D1</DealCode><DealName></DealName>"
        "<ISIN><string>A</string><string>B</string></ISIN><Country>NL</Country><Submissions><Submission>"
        "<PoolCutOffDate>2020-11-30T00:00:00</PoolCutOffDate><MetricData>x</MetricData></Submission></Submissions></deal></deals></list></body></root>")
 
@@ -103,7 +103,7 @@ DOC = ("<root{ns}><head/><body><list><meta/><deals><deal><Deeploans_code>D1</Dee
 @pytest.mark.parametrize("ns", ["", " xmlns='urn:d'"])
 def test_deal_documents(spark, tmp_path, ns):
     (tmp_path / "d.xml").write_text(DOC.format(ns=ns))
-    by_position = deals.read_deals(spark, str(tmp_path), ["Deeploans_code", "DealName", "ISIN", "Country"])
+    by_position = deals.read_deals(spark, str(tmp_path), ["DealCode", "DealName", "ISIN", "Country"])
     by_tag = deals.read_deals_by_tag(spark, str(tmp_path), "deal")
     for df in (by_position, by_tag):
         r = df.first().asDict()

@@ -402,7 +402,7 @@ def _ragged(mode):
 add("src5_ragged_pad", _ragged("pad"), "SELECT 'b' AS AS3, CASE WHEN l_partkey % 3 > 0 THEN 'c' END AS AS4, count(*) AS n FROM lineitem GROUP BY ALL")
 add("src5_ragged_skip", _ragged("skip"), "SELECT 'b' AS AS3, 'c' AS AS4, count(*) AS n FROM lineitem WHERE l_partkey % 3 = 1")
 
-_XML_FIELDS = ["Deeploans_code", "DealName", "ISIN", "Country", "AssetClass", "DealVisibleToOrg"]
+_XML_FIELDS = ["DealCode", "DealName", "ISIN", "Country", "AssetClass", "DealVisibleToOrg"]
 
 
 def deal_documents(s, f):
@@ -410,7 +410,7 @@ def deal_documents(s, f):
     k = F.col("s_suppkey").cast("string")
     head = F.when(F.col("s_suppkey") % 2 == 0, F.lit("<root>")).otherwise(F.lit("<root xmlns='urn:deal'>"))
     body = F.concat(
-        F.lit("<head/><body><list><meta/><deals><deal><Deeploans_code>D"), k, F.lit("</Deeploans_code><DealName>"), F.col("s_name"),
+        F.lit("<head/><body><list><meta/><deals><deal><DealCode>D"), k, F.lit("</DealCode><DealName>"), F.col("s_name"),
         F.lit("</DealName><ISIN><string>NL"), k, F.lit("</string><string>XS"), k, F.lit("</string></ISIN><Country>NL</Country><AssetClass>"),
         F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("SME"), F.lit("</AssetClass><Submissions><Submission><PoolCutOffDate>2020-0"),
         (F.col("s_suppkey") % 9 + 1).cast("string"), F.lit("-28T00:00:00</PoolCutOffDate><MetricData>x</MetricData></Submission></Submissions></deal></deals></list></body></root>"))
@@ -421,7 +421,7 @@ add("src7_parse_deals", lambda s, f: deals.with_deal_dates(deals.parse_deals(dea
 SELECT s_suppkey, 'D' || CAST(s_suppkey AS VARCHAR) AS dl_code, s_name AS DealName, 'NL' || CAST(s_suppkey AS VARCHAR) || ';XS' || CAST(s_suppkey AS VARCHAR) AS ISIN,
        CASE WHEN s_suppkey % 3 <> 0 THEN 'SME' END AS AssetClass, '2020-0' || CAST(s_suppkey % 9 + 1 AS VARCHAR) || '-28T00:00:00' AS PoolCutOffDate,
        '2020-0' || CAST(s_suppkey % 9 + 1 AS VARCHAR) || '-28' AS pcd, CAST(2020 AS BIGINT) AS year, CAST(s_suppkey % 9 + 1 AS BIGINT) AS month FROM supplier""")
-add("src8_normalise_deal", lambda s, f: deals.normalise_deal(tape(s, f).select(F.col("AS2").alias("Deeploans_code"), "AS16")).groupBy("dl_code").agg(F.count("AS16").alias("n")),
+add("src8_normalise_deal", lambda s, f: deals.normalise_deal(tape(s, f).select(F.col("AS2").alias("DealCode"), "AS16")).groupBy("dl_code").agg(F.count("AS16").alias("n")),
     TAPE_SQL + "SELECT AS2 AS dl_code, count(CASE WHEN AS16 <> '' THEN 1 END) AS n FROM tape GROUP BY 1")
 
 
