@@ -43,10 +43,10 @@ def _in(values) -> str:
 # Expected constants, limits and counts of the panel suite.
 @dataclass(frozen=True)
 class PanelExpectation:
+    originator: str
+    servicer: str
     currency: str = "EUR"
     country: str = "NL"
-    originator: str = "ING"
-    servicer: str = "ING"
     n_cutoffs: int = 24
     n_columns: int = 71
     maturities: tuple = (240, 300, 330, 360)
@@ -54,7 +54,7 @@ class PanelExpectation:
     first_non_defaulted: float = 0.90
 
 
-def panel_checks(x: PanelExpectation = PanelExpectation()) -> list[Check]:
+def panel_checks(x: PanelExpectation) -> list[Check]:
     """The panel suite, except A03 and A04, which do not read row values."""
     late = _in(DELINQUENT_STATES)
     active_pair = f"arrears_bucket IN {late} AND prev_bucket IN {late}"
@@ -150,7 +150,7 @@ _LAG_INPUT = [KEY, DATE, "current_balance", "arrears_amount", "performing_status
               "remaining_term_months", "interest_only_flag", "scheduled_monthly_payment"]
 
 
-def run_panel_checks(panel: DataFrame, expect: PanelExpectation = PanelExpectation()) -> DataFrame:
+def run_panel_checks(panel: DataFrame, expect: PanelExpectation) -> DataFrame:
     """(check_id, name, section, violations, status) for the whole suite, in four scans (VAL10)."""
     checks = panel_checks(expect)
     shaped = lambda *shapes: [c for c in checks if c.shape in shapes]
