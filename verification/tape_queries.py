@@ -28,7 +28,6 @@ def add(name, fn, sql=None, digits=6):
 
 
 n = F.count
-ONE = F.lit(1)
 
 
 def _count(df, *by):
@@ -205,7 +204,7 @@ add("rsh2_amortisation_period", lambda s, f: S.amortisation_long(amortisation(s,
     _AMORT_SQL + " SELECT DISTINCT AS3, CAST(d AS VARCHAR) AS DATE_VALUE, b AS DOUBLE_VALUE FROM a")
 add("rsh2_amortisation_all_pairs", lambda s, f: S.amortisation_long(amortisation(s, f), "all"),
     _AMORT_SQL + " SELECT DISTINCT x.AS3, CAST(x.d AS VARCHAR) AS DATE_VALUE, y.b AS DOUBLE_VALUE FROM a x JOIN a y ON x.AS3 = y.AS3")
-add("rsh1_melt", lambda s, f: (lambda m: m.groupBy("FEATURE_NAME").agg(F.count(ONE).alias("n"), F.count_distinct("FEATURE_VALUE").alias("n_values")))(
+add("rsh1_melt", lambda s, f: (lambda m: m.groupBy("FEATURE_NAME").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("FEATURE_VALUE").alias("n_values")))(
         S.melt(S.null_nd(tape(s, f)), ["AS3"], ["AS8", "AS27", "AS37", "AS51"])),
     TAPE_SQL + " UNION ALL ".join(f"SELECT '{c}' AS FEATURE_NAME, count(v) AS n, count(DISTINCT v) AS n_values FROM (SELECT CASE WHEN NOT regexp_matches({c}, '^ND[0-9]?$') THEN {c} END AS v FROM tape) x "
                                    for c in ("AS8", "AS27", "AS37", "AS51")))
@@ -248,7 +247,7 @@ _TOPIC_COLS = {t: [f"AS{i}" for i in range(1, 15) if f"AS{i}" in _TAPE] + [f"AS{
 def _topic_counts(s, f):
     out = None
     for t, df in _topics(s, f, False).items():
-        part = df.agg(F.count(ONE).alias("n")).select(F.lit(t).alias("topic"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n")
+        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("topic"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -268,8 +267,8 @@ def bonds(spark, sf):
     m = F.last_day(F.col("l_shipdate").cast("date"))
     return li.groupBy(F.concat(F.lit("DEAL"), F.pmod("l_suppkey", F.lit(5)).cast("string")).alias("dl_code"), F.date_format(m, "yyyy-MM-dd").alias("BS1")).agg(
         F.lit("Issuer A").alias("BS2"), F.round(F.sum("l_quantity"), 2).cast("string").alias("BS3"),
-        F.when(F.count(ONE) % 2 == 0, "Y").otherwise("N").alias("BS5"), F.min("l_discount").cast("string").alias("BS11"),
-        F.when(F.count(ONE) % 3 == 0, "Y").otherwise("N").alias("BS12"), F.lit("Contact").alias("BS19"),
+        F.when(F.count(F.lit(1)) % 2 == 0, "Y").otherwise("N").alias("BS5"), F.min("l_discount").cast("string").alias("BS11"),
+        F.when(F.count(F.lit(1)) % 3 == 0, "Y").otherwise("N").alias("BS12"), F.lit("Contact").alias("BS19"),
         F.max("l_tax").cast("string").alias("BS30"), F.lit("ND1").alias("BS25"),
     )
 
@@ -508,7 +507,7 @@ def _loaded(s, f):
     target = scratch_path(s, "load")
     load_tape(_fixed_dates(tape(s, f)), SME, target, AS_OF)
     silver = s.read.parquet(f"{target}/silver/loan_info")
-    return silver.groupBy("dl_code").agg(F.count(ONE).alias("n"), F.count_distinct("AS3").alias("n_loans"))
+    return silver.groupBy("dl_code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("AS3").alias("n_loans"))
 
 
 _LOAD_SQL = TAPE_SQL + f""", good AS (SELECT * FROM tape WHERE {_ERR_N} = 0)
@@ -676,7 +675,7 @@ def _industry(s, f):
 def _star(s, f, on_cutoff):
     t = _topics(s, f)
     star = bi.loan_star(t["loan_info"], [t["performance_info"], t["financial_info"], t["interest_rate"], t["obligor_info"]], _industry(s, f), on_cutoff=on_cutoff)
-    return star.groupBy("dl_code", "industry", "AS25").agg(F.count(ONE).alias("n"), F.sum("AS54").alias("amount"), F.sum("AS80").alias("rate"), F.sum("AS115").alias("arrears"))
+    return star.groupBy("dl_code", "industry", "AS25").agg(F.count(F.lit(1)).alias("n"), F.sum("AS54").alias("amount"), F.sum("AS80").alias("rate"), F.sum("AS115").alias("arrears"))
 
 
 _GEN = "dl_code, " + _YM + ", AS1, AS2, AS3, AS4, AS5, AS6, AS7, AS8"
@@ -758,7 +757,7 @@ add("fn18_fn19_text_and_hashes", lambda s, f: table(s, f, "customer").select(
   CAST(1000 + c_custkey % 1000 AS DOUBLE) AS number, md5(c_name || '|' || CAST(c_custkey AS VARCHAR)) AS key_md5, sha256(c_name) AS sha FROM customer""")
 add("fn22_null_handling", lambda s, f: fill_missing(tape(s, f).select(
         first_non_empty(F.col("AS16"), F.col("AS2")).alias("first"), dates.coerce_number(F.col("AS27")).alias("v"), dates.coerce_number(F.col("AS37")).alias("w")), ["v", "w"])
-        .groupBy("first").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count(ONE).alias("n")),
+        .groupBy("first").agg(F.sum("v").alias("v"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")),
     TAPE_SQL + """SELECT coalesce(nullif(AS16, ''), nullif(AS2, '')) AS first, round(sum(coalesce(TRY_CAST(AS27 AS DOUBLE), -999)), 2) AS v,
   round(sum(coalesce(TRY_CAST(AS37 AS DOUBLE), -999)), 2) AS w, count(*) AS n FROM tape GROUP BY 1""", 2)
 
@@ -775,7 +774,7 @@ def _embedded(s, f):
 add("rsh5_explode_embedding", lambda s, f: pack_embedding(explode_embedding(table(s, f, "embeddings"), "embedding", _E)).select(
         "vec_id", "label", F.size("embedding").alias("width"), F.col("embedding")[0].alias("emb_first"), F.col("embedding")[63].alias("emb_last")),
     "SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(len(embedding) AS BIGINT) AS width, round(CAST(embedding[1] AS DOUBLE), 5) AS emb_first, round(CAST(embedding[64] AS DOUBLE), 5) AS emb_last FROM embeddings", 5)
-add("jon3_with_embeddings", lambda s, f: _embedded(s, f).groupBy("c_mktsegment").agg(F.count(ONE).alias("n"), F.sum("emb_0").alias("s0"), F.sum("emb_63").alias("s63")),
+add("jon3_with_embeddings", lambda s, f: _embedded(s, f).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("emb_0").alias("s0"), F.sum("emb_63").alias("s63")),
     """SELECT c_mktsegment, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS s0, round(sum(CAST(embedding[64] AS DOUBLE)), 4) AS s63
 FROM customer JOIN embeddings ON c_custkey = vec_id GROUP BY 1""", 4)
 
