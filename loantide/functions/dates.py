@@ -55,8 +55,17 @@ def coerce_date(text: Column) -> Column:
     return F.when(plain & ((F.length(text) == 4) | full), text.try_cast("date"))
 
 
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def coerce_number(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    """Decimal numbers, also with an exponent; null for anything else, and for numbers beyond a double.
+
+    The cast itself also reads ``5d``, ``1f``, ``0x1p3``, ``NaN`` and ``Infinity``.
+    """
+    trimmed = F.trim(text)
+    value = trimmed.try_cast("double")
+    return F.when(trimmed.rlike(PLAIN_NUMBER) & (F.abs(value) < float("inf")), value)
 
 
 def coerce_integer(text: Column) -> Column:

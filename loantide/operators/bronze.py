@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -55,9 +57,11 @@ def scd2_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], hash_col: st
     """
     keys = list(keys)
     columns = old.columns
-    batch_keys = new.select(*keys).distinct()
-    untouched = old.join(batch_keys, keys, "left_anti").select(*columns)
-    touched = old.join(batch_keys, keys, "left_semi").select(*columns)
+    batch_keys = new.select(*[F.col(k).alias(f"_key_{k}") for k in keys]).distinct()
+    # a missing key equals a missing key, so that a repeated batch changes nothing
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    untouched = old.join(batch_keys, same, "left_anti").select(*columns)
+    touched = old.join(batch_keys, same, "left_semi").select(*columns)
     # row_number = 1 is cut down before the shuffle, so repeats of one key do not pile up
     one_each = Window.partitionBy(*keys, "valid_from").orderBy(hash_col)
     batch = new.select(*columns).withColumn("_rn", F.row_number().over(one_each)).where("_rn = 1").drop("_rn")

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Operators per column type, and the row limits.
+# Operators per column type.
 OPERATORS = {
     "DATE": (":", ">", "<", "<=", ">="),
     "BOOL": (":",),
@@ -17,7 +17,6 @@ OPERATORS = {
     "INTEGER": (":", ">", "<", "<=", ">="),
     "STRING": (":", "~"),
 }
-DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 CONDITION = re.compile(r"^(-?)(\w+)(<=|>=|:|<|>|~)([%\w].*)$")
 
 
@@ -135,10 +134,14 @@ def select_cols(df: DataFrame, table: Table, columns: str) -> DataFrame:
     return df.select(*[f"`{c}`" for c in wanted])
 
 
-def page(df: DataFrame, order_by: Sequence[str], limit: int | None = None, offset: int | None = None) -> DataFrame:
-    """One page in a stated order; the limit has a default and a maximum (FLT2)."""
-    size = min(limit, MAX_LIMIT) if limit else DEFAULT_LIMIT
-    return df.orderBy(*order_by).offset(offset or 0).limit(size)
+def page(df: DataFrame, order_by: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
+    """One page in a stated order, of exactly the size asked for (FLT2).
+
+    The rows up to the page's end are held by one task: for deep reading filter on the order's last values instead.
+    """
+    if limit is None or limit < 0:
+        raise FilterError("a page needs a limit of at least 0")
+    return df.orderBy(*order_by).offset(offset or 0).limit(limit)
 
 
 def rows(df: DataFrame, detailed: bool = True) -> DataFrame:
@@ -146,6 +149,6 @@ def rows(df: DataFrame, detailed: bool = True) -> DataFrame:
     return df if detailed else df.select(F.array(*[F.col(c).cast("string") for c in df.columns]).alias("values"))
 
 
-def quality_summaries(df: DataFrame, order_by: Sequence[str], limit: int | None = None, offset: int | None = None) -> DataFrame:
+def quality_summaries(df: DataFrame, order_by: Sequence[str], limit: int, offset: int = 0) -> DataFrame:
     """Stored quality reports, paged (FLT7)."""
     return page(df, order_by, limit, offset)

@@ -87,9 +87,12 @@ def attach_labels(seq: DataFrame, labels: DataFrame, default: int = 0) -> DataFr
 
 
 def explode_embedding(df: DataFrame, col: str, width: int, prefix: str = "emb_") -> DataFrame:
-    """One column per embedding position (RSH5)."""
+    """One column per embedding position (RSH5); an array of another size is an error, a null array gives nulls."""
     keep = [c for c in df.columns if c != col]
-    return df.select(*keep, *[F.col(col)[i].cast("double").alias(f"{prefix}{i}") for i in range(width)])
+    whole = F.when(F.col(col).isNull() | (F.size(col) == width), F.col(col)).otherwise(
+        F.raise_error(F.concat(F.lit(f"{col} has not {width} positions but "), F.size(col).cast("string")))
+    )
+    return df.select(*keep, *[whole[i].cast("double").alias(f"{prefix}{i}") for i in range(width)])
 
 
 def pack_embedding(df: DataFrame, name: str = "embedding", prefix: str = "emb_") -> DataFrame:

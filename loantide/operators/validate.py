@@ -71,7 +71,8 @@ def validate(
     No shuffle and no Python. Missing codes are blanked and values are read once per field, in
     projections of their own; the broken rules are gathered as one text, which compiles to code,
     and only that short text is turned into an array.
-    A field without a rule is an error on every row; a rule without a field is not.
+    A field without a rule is an error on every row; a rule without a field is not. A class without
+    any rules has nothing to break: its rows pass, unless they cannot be read.
     """
     known = set(system)
     fields = [c for c in df.columns if c not in known]
@@ -79,7 +80,7 @@ def validate(
     texts = df.select("*", *[null_blank(F.col(c), nd_mode).alias(f"_t_{c}") for c in ruled])
     typed = [c for c in ruled if rules[c].type != "string"]
     values = texts.select("*", *[COERCIONS[rules[c].type](F.col(f"_t_{c}")).alias(f"_v_{c}") for c in typed])
-    found = [F.lit(f"{c}:unknown_field") for c in fields if c not in rules]
+    found = [F.lit(f"{c}:unknown_field") for c in fields if rules and c not in rules]
     for c in ruled:
         text = F.col(f"_t_{c}")
         value = F.col(f"_v_{c}") if rules[c].type != "string" else COERCIONS["string"](text)
@@ -93,11 +94,16 @@ def validate(
     return coded.select(*df.columns, (F.col("_codes") == "").alias(OK), errors.alias(ERRORS))
 
 
-def split_clean_dirty(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_clean_dirty(df: DataFrame, keys: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows without errors, and the rest with the reasons as JSON text (SNK4).
 
+    A row that lacks one of ``keys`` can have no history; it is dirty, with the reason ``null_key``.
     Both sides evaluate the rules; write the annotated rows first when they feed several outputs.
     """
+    lacking = [F.when(F.col(k).isNull(), F.struct(F.lit(k).alias("field"), F.lit("null_key").alias("reason"))) for k in keys]
+    if lacking:
+        every = F.concat(ERRORS, F.array_compact(F.array(*lacking)))
+        df = df.withColumn(ERRORS, every).withColumn(OK, F.size(ERRORS) == 0)
     clean = df.where(OK).drop(OK, ERRORS)
     dirty = df.where(~F.col(OK)).withColumn(ERRORS, F.to_json(ERRORS)).drop(OK)
     return clean, dirty

@@ -22,9 +22,9 @@ def load_tape(tape: DataFrame, template: Template, target: str, as_of: str) -> N
     spark = tape.sparkSession
     annotated = scratch_path(spark, "annotated")
     validate(tape, template.rules, as_of).write.parquet(annotated)
-    good, bad = split_clean_dirty(spark.read.parquet(annotated))
-    write_quarantine(good, bad, f"{target}/quarantine")
     keys = [template.loan_key] if template.loan_key else list(template.keys)
+    good, bad = split_clean_dirty(spark.read.parquet(annotated), ["dl_code", *keys])
+    write_quarantine(good, bad, f"{target}/quarantine")
     bronze_path = f"{target}/bronze"
     merge_bronze(to_bronze(good, ["dl_code", *keys]), bronze_path, ["dl_code", *keys])
     current = read_current(read_bronze(spark, bronze_path))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +13,7 @@ from loantide.session import scratch_path
 from loantide.sources.tapes import read_bronze
 
 MAX_RECORDS_PER_FILE = 5_000_000
+MAX_DEALS = 1000  # deals of a batch that prune the scan by name; with more, all partitions are read
 
 
 def _writer(df: DataFrame):
@@ -19,7 +22,7 @@ def _writer(df: DataFrame):
 
 def write_silver(df: DataFrame, path: str, replace: bool = False, by: Sequence[str] = ("pcd_year", "pcd_month")) -> None:
     """Append by year and month; ``replace`` overwrites only the partitions present, so a re-run adds nothing (SNK1)."""
-    w = _writer(df).partitionBy(*by)
+    w = _writer(df.hint("rebalance", *by)).partitionBy(*by)
     if replace:
         w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -28,7 +31,7 @@ def write_silver(df: DataFrame, path: str, replace: bool = False, by: Sequence[s
 
 def write_bronze(df: DataFrame, path: str) -> None:
     """Append by partition label (SNK2)."""
-    _writer(df).partitionBy("part").mode("append").parquet(path)
+    _writer(df.hint("rebalance", "part")).partitionBy("part").mode("append").parquet(path)
 
 
 def merge_bronze(batch: DataFrame, path: str, keys: Sequence[str], mode: str = "merge") -> None:
@@ -47,11 +50,19 @@ def merge_bronze(batch: DataFrame, path: str, keys: Sequence[str], mode: str = "
         fresh = batch.join(old.select("part").distinct(), "part", "left_anti")
         write_bronze(fresh.select(*old.columns), path)
         return
-    same_deals = old.join(batch.select("dl_code").distinct(), "dl_code", "left_semi").select(*old.columns)
+    deals = batch.select("dl_code").distinct()
+    named = [r["dl_code"] for r in deals.limit(MAX_DEALS + 1).collect()]
+    near = old
+    if len(named) <= MAX_DEALS:
+        # the label begins with the deal, so the scan lists only the partitions of these deals; the join below decides
+        near = old.where(reduce(or_, [F.col("part").startswith(f"{d}_") for d in named if d is not None], F.col("part").isNull()))
+    same_deals = near.join(deals, "dl_code", "left_semi").select(*old.columns)
+    # rows without a cut-off share one partition, which is replaced as a whole
+    undated = old.where("part IS NULL").join(deals, "dl_code", "left_anti").select(*old.columns)
     staged = scratch_path(spark, "bronze-stage")
-    _writer(load_bronze(same_deals, batch, keys)).parquet(staged)
+    _writer(load_bronze(same_deals, batch, keys).unionByName(undated)).parquet(staged)
     (
-        _writer(spark.read.parquet(staged))
+        _writer(spark.read.parquet(staged).hint("rebalance", "part"))
         .partitionBy("part")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -65,9 +76,17 @@ def write_deals(df: DataFrame, path: str) -> None:
 
 
 def write_quarantine(clean: DataFrame, dirty: DataFrame, path: str) -> None:
-    """Clean rows and dirty rows with reasons, side by side (SNK4)."""
-    _writer(clean).mode("overwrite").option("header", True).csv(f"{path}/clean")
-    _writer(dirty).mode("overwrite").option("header", True).csv(f"{path}/dirty")
+    """Clean rows and dirty rows with reasons, side by side (SNK4).
+
+    With file keys, only the deals and cut-offs that are present are replaced, so another load keeps what earlier
+    ones found and a repeated one adds nothing. Otherwise the tables are replaced.
+    """
+    for df, side in ((clean, "clean"), (dirty, "dirty")):
+        by = [c for c in ("dl_code", "pcd") if c in df.columns]
+        w = _writer(df.hint("rebalance", *by) if by else df).mode("overwrite").option("header", True)
+        if by:
+            w = w.partitionBy(*by).option("partitionOverwriteMode", "dynamic")
+        w.csv(f"{path}/{side}")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -25,6 +26,20 @@ def header(spark: SparkSession, paths: str | Sequence[str], **options) -> list[s
     return spark.read.options(**options).csv(paths, header=True).columns
 
 
+def headers(spark: SparkSession, paths: str | Sequence[str], include: str | None = None, exclude: str | None = None) -> dict[str, list[str]]:
+    """Header line to the paths of the wanted files that have it; names of files only, as in Spark's own listing.
+
+    Reads the lines once as text; a file's header is its first line that is not blank.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"), F.col("_metadata.file_block_start").alias("start")
+    )
+    lines = _wanted(lines, include, exclude).where((F.col("start") == 0) & (F.trim("value") != ""))
+    first = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    found = first.groupBy(F.translate("line", "\ufeff\u0000\r", "").alias("line")).agg(F.sort_array(F.collect_list("path")).alias("files"))
+    return {r["line"]: r["files"] for r in found.orderBy(F.col("files")[0]).collect()}
+
+
 def _wanted(df: DataFrame, include: str | None, exclude: str | None) -> DataFrame:
     """Rows of files whose name has the key and lacks the excluded tag (SRC3)."""
     name = F.col("filename")
@@ -79,7 +94,8 @@ def read_tape(
 ) -> DataFrame:
     """All tape files as text columns, one lineage, split by Spark (SRC1 to SRC6).
 
-    The header line names the fields; the label line is recognised by the first field's label.
+    Each file's own header line names its fields: files are read in groups of one header, and a field that a file
+    lacks is null there. The label line is recognised by the first field's label.
     ``ragged``: ``pad`` fills short rows with null and cuts long ones, ``skip`` drops both,
     ``mark`` keeps the whole line in ``_corrupt_record`` for validation. Empty lines are skipped.
     """
@@ -87,19 +103,28 @@ def read_tape(
         first_col = first_col or template.first_column
         first_label = first_label or template.first_label
         max_cols = max_cols or template.max_columns
-    names = header(spark, paths, **options)
-    if first_col:
-        # the first header cell may carry a byte-order mark or another name
-        names = [first_col, *names[1:]]
-    # columnPruning off: a row's width counts even when few columns are read
-    raw = (
-        spark.read.schema(_schema(names))
-        .options(header=True, enforceSchema=True, mode="PERMISSIVE", columnPruning=False, **options)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(paths)
-        .withColumn("filename", F.col("_metadata.file_name"))
-    )
-    df = finish_tape(raw, names, first_label, include, exclude, ragged, max_cols, clean)
+    groups = headers(spark, paths, include, exclude)
+    read = lambda line: next(csv.reader([line], delimiter=options.get("sep", ",")))
+    if len(groups) > 1:
+        parts = [(read(line), files) for line, files in groups.items()]
+    else:
+        parts = [(read(line), None) for line in groups] or [(header(spark, paths, **options), None)]
+    # the first header cell may carry a byte-order mark or another name
+    parts = [([first_col, *names[1:]] if first_col else names, files) for names, files in parts]
+    df = None
+    for names, files in parts:
+        # columnPruning off: a row's width counts even when few columns are read
+        raw = (
+            spark.read.schema(_schema(names))
+            .options(header=True, enforceSchema=True, mode="PERMISSIVE", columnPruning=False, **options)
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(paths)
+            .withColumn("filename", F.col("_metadata.file_name"))
+        )
+        if files is not None:
+            raw = raw.where(F.col("_metadata.file_path").isin(files))
+        one = finish_tape(raw, names, first_label, include, exclude, ragged, max_cols, clean)
+        df = one if df is None else df.unionByName(one, allowMissingColumns=True)
     return with_file_keys(df) if file_keys else df
 
 

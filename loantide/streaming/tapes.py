@@ -9,7 +9,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from loantide.operators.bronze import to_bronze
 from loantide.operators.validate import CORRUPT
-from loantide.session import scratch_path
 from loantide.sources.sinks import merge_bronze
 from loantide.sources.tapes import _schema, finish_tape, with_file_keys
 
@@ -39,12 +38,11 @@ def stream_tapes(
     return with_file_keys(df) if file_keys else df
 
 
-def run_once(df: DataFrame, on_batch, checkpoint: str | None = None) -> StreamingQuery:
-    """Process everything that has arrived, batch by batch, and stop."""
-    where = checkpoint or scratch_path(df.sparkSession, "stream-checkpoint")
+def run_once(df: DataFrame, on_batch, checkpoint: str) -> StreamingQuery:
+    """Process everything that has arrived, batch by batch, and stop; ``checkpoint`` must be the same in every run."""
     query = (
         df.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", where)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -52,13 +50,12 @@ def run_once(df: DataFrame, on_batch, checkpoint: str | None = None) -> Streamin
     return query
 
 
-def stream_to_parquet(df: DataFrame, path: str, checkpoint: str | None = None) -> StreamingQuery:
+def stream_to_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append arriving rows to a Parquet table, each file exactly once."""
-    where = checkpoint or scratch_path(df.sparkSession, "stream-checkpoint")
     query = (
         df.writeStream.format("parquet")
         .option("path", path)
-        .option("checkpointLocation", where)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
@@ -67,7 +64,7 @@ def stream_to_parquet(df: DataFrame, path: str, checkpoint: str | None = None) -
 
 
 def stream_bronze(
-    df: DataFrame, path: str, keys: Sequence[str], hash_cols: Sequence[str] | None = None, checkpoint: str | None = None
+    df: DataFrame, path: str, keys: Sequence[str], checkpoint: str, hash_cols: Sequence[str] | None = None
 ) -> StreamingQuery:
     """Merge each arriving batch into the bronze history (STR2).
 

@@ -178,3 +178,48 @@ def test_history_on_disk_and_skip_mode(spark):
 def test_csv_sink_refuses_empty_data(spark):
     with pytest.raises(ValueError):
         sinks.write_csv(spark.range(0), scratch_path(spark, "csv"))
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "A_2020_01_31_x.csv").write_text("AS1,AS2,AS3\nPool Cut-off Date,Pool,Loan\n2020-01-31,p,1\n")
+    (tmp_path / "B_2020_01_31_x.csv").write_text("AS1,AS3,AS2\nPool Cut-off Date,Loan,Pool\n2020-01-31,9,q\n")
+    (tmp_path / "C_2020_01_31_x.csv").write_text("﻿AS1,AS2\r\nPool Cut-off Date,Pool\r\n2020-01-31,r\r\n")
+    (tmp_path / "0_2020_01_31_Labeled0M.csv").write_text("AS1,ZZ\nPool Cut-off Date,Z\n2020-01-31,z\n")
+    df = tapes.read_tape(spark, str(tmp_path), TEMPLATES["sme_assets"], exclude="Labeled0M")
+    assert "ZZ" not in df.columns
+    assert sorted((r["dl_code"], r["AS2"], r["AS3"]) for r in df.collect()) == [("A", "p", "1"), ("B", "q", "9"), ("C", "r", None)]
+
+
+def test_quarantine_keeps_earlier_loads(spark):
+    path = scratch_path(spark, "quarantine")
+    one = lambda deal, v: spark.createDataFrame([(deal, "2020-01-31", v)], "dl_code string, pcd string, AS2 string")
+    for deal, v in (("D1", "a"), ("D2", "b"), ("D1", "c")):
+        sinks.write_quarantine(one(deal, v), one(deal, v + "!"), path)
+    for side, mark in (("clean", ""), ("dirty", "!")):
+        got = spark.read.option("header", True).csv(f"{path}/{side}")
+        assert sorted((r["dl_code"], r["AS2"]) for r in got.collect()) == [("D1", "c" + mark), ("D2", "b" + mark)]
+
+
+def test_rows_without_a_key(spark):
+    row = ("D", "2020-01-31", None, "1")
+    h = B.load_bronze(None, batch(spark, [row, ("D", "2020-01-31", "a", "1")]), ["dl_code", "k"])
+    assert B.scd2_merge(h, batch(spark, [row, ("D", "2020-01-31", "a", "1")]), ["dl_code", "k"]).count() == 2
+    checked = V.validate(spark.createDataFrame([("x", None), ("y", "1")], "AS2 string, AS3 string"), RULES, "2025-01-01")
+    clean, dirty = V.split_clean_dirty(checked, ["AS3"])
+    assert [r["AS2"] for r in clean.collect()] == ["y"] and "null_key" in dirty.first()["qc_errors"]
+
+
+def test_bronze_of_other_deals_and_undated_rows_stays(spark):
+    path = scratch_path(spark, "bronze")
+    for rows in ([("D", "2020-01-31", "a", "1"), ("E", None, "a", "1")], [("D_1", "2020-01-31", "a", "1")], [("D", None, "b", "1")], [("D", "2020-02-29", "a", "2")]):
+        sinks.merge_bronze(batch(spark, rows), path, ["k"])
+    got = sorted((r["dl_code"], r["k"], r["v"]) for r in spark.read.parquet(path).where("iscurrent = 1").collect())
+    assert got == [("D", "a", "2"), ("D", "b", "1"), ("D_1", "a", "1"), ("E", "a", "1")]
+
+
+def test_numbers_and_classes_without_rules(spark):
+    texts = ["5d", "1f", "0x1p3", "NaN", "Infinity", "1e999", "1.5", " -2 ", ".5", "1e3", "7."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(V.coerce_number(F.col("t")).alias("v"))
+    assert [r["v"] for r in df.collect()] == [None] * 6 + [1.5, -2.0, 0.5, 1000.0, 7.0]
+    row = V.validate(spark.createDataFrame([("x",)], "AA1 string"), TEMPLATES["auto_assets"].rules, "2025-01-01").first()
+    assert row["qc_ok"] and row["qc_errors"] == []

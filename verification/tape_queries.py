@@ -308,7 +308,7 @@ def snapshots(spark, sf):
 
 
 def _history_parts(s, f):
-    b = B.to_bronze(snapshots(s, f), ["dl_code", "user_id"], ["event_type"])
+    b = B.to_bronze(snapshots(s, f), ["dl_code", "user_id"], scratch_path(s, "stream-checkpoint"), ["event_type"])
     cut = F.lit("2024-01-15").cast("timestamp")
     return b.where(F.col("valid_from") <= cut), b.where(F.col("valid_from") > cut)
 
@@ -806,7 +806,7 @@ add("str1_stream_tapes", _streamed, "SELECT strftime(ts, '%Y-%m-%d') AS day, eve
 def _streamed_bronze(s, f):
     folder, path = _stream_source(s, f, True), scratch_path(s, "stream-bronze")
     src = stream.stream_tapes(s, folder, [*_EV, "dl_code"], max_files=1, file_keys=False).withColumnRenamed("day", "pcd").drop("filename")
-    stream.stream_bronze(src.withColumn("user_id", F.col("user_id").cast("long")), path, ["dl_code", "user_id"], ["event_type"])
+    stream.stream_bronze(src.withColumn("user_id", F.col("user_id").cast("long")), path, ["dl_code", "user_id"], scratch_path(s, "stream-checkpoint"), ["event_type"])
     return s.read.parquet(path).where("iscurrent = 1").select("user_id", "event_type")
 
 
