@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ from loantide.session import written
 CAPACITY = 2048
 END_ID = 0
 BUCKET_ROWS = 50_000
-CACHE_ENTRIES = 400_000  # words a worker remembers; then it starts anew
+CACHE_ENTRIES = 1_000_000  # words a worker remembers; then it starts anew
+GROUP_CHARS = 1_000_000  # texts whose new words are learned together
 BROADCAST_RANGES = 50_000  # a plan up to this size (about 3 MB) is broadcast; beyond, it is joined by shuffle
 #: Between two characters that no definition of white space covers, before a space: always a pre-token boundary.
 _SAFE = re.compile("(?<=[^\\s᠎])(?= [^\\s᠎])")
@@ -71,29 +73,45 @@ class WordTokenizer:
         for w, ids in zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest])):
             self.words[w] = np.array(ids, "<u4").tobytes()
 
-    def _chunk(self, text: str) -> bytes:
-        found = self.raw.get(text)
-        if found is None:
-            found = np.array(self._ids([text])[0], "<u4").tobytes()
-            if len(text) < 64:
-                self.raw[text] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; all words new to the cache are learned together."""
         if len(self.words) > CACHE_ENTRIES or len(self.raw) > CACHE_ENTRIES:
             self.words.clear()
             self.raw.clear()
-        parts = text.replace("\n", " \n").split(" ")
-        single = not (text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "᠎" in text)
-        if not (single and len(text.split()) == len(parts)):
-            parts = [p if i == 0 else p[1:] for i, p in enumerate(_SAFE.split(text))]
-        words = self.words
-        rest = parts[1:]
-        if new := set(rest).difference(words):
-            self._learn(new)
-        return self._chunk(parts[0]) + b"".join(map(words.__getitem__, rest))
+        parts = [_parts(t) for t in texts]
+        heads = [p.pop(0) for p in parts]
+        found = [list(map(self.words.get, p)) for p in parts]
+        missing = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        self._learn({p[i] for p, m in zip(parts, missing) for i in m})
+        for p, f, m in zip(parts, found, missing):
+            for i in m:
+                f[i] = self.words[p[i]]
+        new = list({h for h in heads if h and h not in self.raw})
+        raw = {"": b""} | {h: np.array(ids, "<u4").tobytes() for h, ids in zip(new, self._ids(new))}
+        out = [(raw.get(h) or self.raw[h] if h else b"") + b"".join(f) for h, f in zip(heads, found)]
+        self.raw.update((h, ids) for h, ids in raw.items() if len(h) < 64)
+        return out
+
+
+def _parts(text: str) -> list[str]:
+    """The text cut before spaces and line breaks that are always boundaries; a space that leads a part is left out."""
+    parts = text.replace("\n", " \n").split(" ")
+    if len(text.split()) == len(parts) and not ("\n\n" in text or text[0] == "\n" or text[-1] == "\n" or " \n" in text or "\n " in text or "᠎" in text):
+        return parts
+    return [p if i == 0 else p[1:] for i, p in enumerate(_SAFE.split(text))]
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``GROUP_CHARS`` characters, or one longer text."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t)
+        if size >= GROUP_CHARS:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 @functools.cache
@@ -108,8 +126,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         t, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc_id, text in zip(b.column("doc_id"), b.column("text")):
-                d, ids = doc_id.as_py(), t.encode(text.as_py()) + end
+            encoded = chain.from_iterable(map(t.encode, _groups(b.column("text").to_pylist())))
+            for d, ids in zip(b.column("doc_id").to_pylist(), encoded):
+                ids += end
                 n = len(ids) // 4
                 cut, start = n % capacity or capacity, 0
                 for k in range(-(-n // capacity)):
