@@ -14,15 +14,16 @@ occur; an empty table gives an empty one; further columns are ignored. Sequence
 from __future__ import annotations
 
 import functools
+import json
 import os
-import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loantide.llm.common import map_arrow, partitions, whole_texts
@@ -31,19 +32,18 @@ from loantide.session import written
 CAPACITY = 2048
 END_ID = 0
 BUCKET_ROWS = 50_000
-CACHE_ENTRIES = 1_000_000  # words a worker remembers; then it starts anew
-GROUP_CHARS = 1_000_000  # texts whose new words are learned together
 BROADCAST_RANGES = 50_000  # a plan up to this size (about 3 MB) is broadcast; beyond, it is joined by shuffle
-#: Between two characters that no definition of white space covers, before a space: always a pre-token boundary.
-_SAFE = re.compile("(?<=[^\\s᠎])(?= [^\\s᠎])")
+#: Fixed value: the words of a byte-level pre-tokenizer, as its library defines them.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class WordTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes, from a tokenizers file and a cache of words.
+class TextTokenizer:
+    """Ids of whole texts as little-endian 32-bit bytes, as the tokenizers library gives them for a tokenizers file.
 
-    A byte-level pre-tokenizer never joins characters across a single space or line break between two others that
-    are not white space, except that the space leads the next word. So texts are cut there, and only words not
-    seen before go through the tokenizer, many joined by line breaks at a time.
+    Where the file is plain byte-level BPE, whose ids rank its merges, the ids come from tiktoken, which needs a fraction
+    of the time. Both agree: merges go by rank in both, and as every token is reached from its own bytes, two neighbours
+    that spell a token are always the pair that its merge names. Other files, and texts whose runs of white space are
+    too long for tiktoken's pattern, go through the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -52,71 +52,46 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.line = self._ids(["\n"])[0][0]
-        #: Words after a space; those that begin with a line break stand for themselves.
-        self.words: dict[str, bytes] = {}
-        #: Chunks as they are.
-        self.raw: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[str]) -> None:
-        plain = [w for w in new if w[0] != "\n" and "\n" not in w]
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self._ids(["\n" + "\n".join(" " + w for w in some)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.line)
-            for w, a, b in zip(some, cuts + 1, [*cuts[1:], len(ids)]):
-                self.words[w] = ids[a:b].tobytes()
-        rest = list(new.difference(plain))
-        for w, ids in zip(rest, self._ids([w if w[0] == "\n" else " " + w for w in rest])):
-            self.words[w] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; all words new to the cache are learned together."""
-        if len(self.words) > CACHE_ENTRIES or len(self.raw) > CACHE_ENTRIES:
-            self.words.clear()
-            self.raw.clear()
-        parts = [_parts(t) for t in texts]
-        heads = [p.pop(0) for p in parts]
-        found = [list(map(self.words.get, p)) for p in parts]
-        missing = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        self._learn({p[i] for p, m in zip(parts, missing) for i in m})
-        for p, f, m in zip(parts, found, missing):
-            for i in m:
-                f[i] = self.words[p[i]]
-        new = list({h for h in heads if h and h not in self.raw})
-        raw = {"": b""} | {h: np.array(ids, "<u4").tobytes() for h, ids in zip(new, self._ids(new))}
-        out = [(raw.get(h) or self.raw[h] if h else b"") + b"".join(f) for h, f in zip(heads, found)]
-        self.raw.update((h, ids) for h, ids in raw.items() if len(h) < 64)
-        return out
-
-
-def _parts(text: str) -> list[str]:
-    """The text cut before spaces and line breaks that are always boundaries; a space that leads a part is left out."""
-    parts = text.replace("\n", " \n").split(" ")
-    if len(text.split()) == len(parts) and not ("\n\n" in text or text[0] == "\n" or text[-1] == "\n" or " \n" in text or "\n " in text or "᠎" in text):
-        return parts
-    return [p if i == 0 else p[1:] for i, p in enumerate(_SAFE.split(text))]
-
-
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of texts of about ``GROUP_CHARS`` characters, or one longer text."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= GROUP_CHARS:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        ranks = self._ranks()
+        self.ranked = ranks and tiktoken.Encoding("packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def _ranks(self) -> dict[bytes, int] | None:
+        """Tokens as bytes with their ids, if the ids alone tell how texts are merged."""
+        whole = json.loads(self.tokenizer.to_str())
+        model, splitter = whole["model"], whole["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        splits = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter["add_prefix_space"]
+        ordinary = all(t["special"] for t in whole["added_tokens"])
+        if not (plain and splits and ordinary and whole["normalizer"] is None and whole["truncation"] is None and whole["padding"] is None):
+            return None
+        byte = {c: b for b, c in enumerate(_byte_chars())}
+        vocab = model["vocab"]
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if any(a >= b for a, b in pairwise(merged)) or not byte.keys() <= vocab.keys():
+            return None
+        if any(not byte.keys() >= set(t) or len(self.tokenizer.model.tokenize(t)) != 1 for t in vocab):
+            return None
+        return {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
+
+    def encode(self, text: str) -> bytes:
+        if self.ranked:
+            try:
+                return self.ranked.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:  # a run of white space beyond the stack of its pattern
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = count(256)
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
 @functools.cache
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str) -> TextTokenizer:
+    return TextTokenizer(path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -126,9 +101,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         t, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
-            encoded = chain.from_iterable(map(t.encode, _groups(b.column("text").to_pylist())))
-            for d, ids in zip(b.column("doc_id").to_pylist(), encoded):
-                ids += end
+            for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
+                ids = t.encode(text.as_py()) + end
                 n = len(ids) // 4
                 cut, start = n % capacity or capacity, 0
                 for k in range(-(-n // capacity)):

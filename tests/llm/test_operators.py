@@ -188,6 +188,25 @@ def test_packing(docs, texts):
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and sum(p[-1]) <= 256
 
 
+def test_packing_ids_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, t = packing.tokenizer(path), Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    assert own.ranked
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcthe \u00e9\n\t'sl01.,!\u4e2d\u3000\u180e\x85\u0301\U0001F600") for _ in range(300)) for _ in range(300)]
+    texts += [f"a{c}b1{c}2.{c}. {c} {c}{c}  {c}\n{c}'s" for c in map(chr, range(0x3100))] + [f"x <|endoftext|> y{' ' * n}z" for n in (0, 1, 200_000)] + ["a" * 5000, "", " "]
+    for x, want in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False)):
+        assert np.frombuffer(own.encode(x), "<u4").tolist() == want.ids
+    # every token is reached from its own bytes, and a file of another kind goes through its library
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.tokenizer(other).ranked is None
+    want = Tokenizer.from_file(other).encode("Some words, here", add_special_tokens=False).ids
+    assert np.frombuffer(packing.tokenizer(other).encode("Some words, here"), "<u4").tolist() == want
+
+
 def test_plan_places_every_count():
     counts = {i: (i * 7919) % 50 for i in range(1, 65)}
     counts = {k: n for k, n in counts.items() if n}
