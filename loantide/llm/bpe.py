@@ -36,12 +36,15 @@ class Encoder:
         self.longest = max(map(len, ranks))
         self.bits = [0] * (max(ranks.values()) // 64 + 1)  # empty between pre-tokens
         self.names = {i: str(i) for i in self.tokens}
+        self.one = [ranks.get(bytes((a,)), -1) for a in range(256)]
+        #: The rank of each pair of bytes, -1 if it is no token, in a row per first byte.
+        self.two = [[ranks.get(bytes((a, b)), -1) for b in range(256)] for a in range(256)]
         self.known = _Known(self)
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token.
 
-        A token begins at i and ends at ``end[i]``, where the next begins. ``waits[i]`` is the rank of the pair that
+        Token ``token[i]`` begins at i and ends at ``end[i]``, where the next begins. ``waits[i]`` is the rank of the pair that
         begins at i, -1 if it has none. The queue: ``buckets`` of positions by rank, ``bits`` with a bit per bucket
         in use, 64 to a word, and ``summary`` with a bit per word in use.
         """
@@ -51,7 +54,9 @@ class Encoder:
             return (whole,)
         n, bits, buckets, summary = len(piece), self.bits, {}, 0
         end, before = list(range(1, n + 2)), list(range(-1, n))
-        waits = [-1 if r is None else r for r in [get(piece[i : i + 2]) for i in range(n - 1)]]
+        two = self.two
+        token = list(map(self.one.__getitem__, piece))
+        waits = [two[a][b] for a, b in zip(piece, piece[1:])]
         waits.append(-1)
         for i, r in enumerate(waits):
             if r >= 0:
@@ -77,24 +82,33 @@ class Encoder:
             j = end[i]
             k = end[i] = end[j]
             before[k], waits[j] = i, -1
+            token[i] = rank
             p = before[i]
-            for left, to in ((p, k), (i, end[k] if k < n else 0)):
-                if left < 0:
-                    continue
-                r = get(piece[left:to]) if left < to <= left + longest else None
-                if r is None:
-                    waits[left] = -1
-                elif waits[left] != r:
-                    waits[left] = r
+            if p >= 0:
+                r = get(piece[p:k], -1) if k - p <= longest else -1
+                if waits[p] != r:
+                    waits[p] = r
                     if r in buckets:
-                        heappush(buckets[r], left)
+                        heappush(buckets[r], p)
+                    elif r >= 0:
+                        buckets[r] = [p]
+                        bits[r >> 6] |= 1 << (r & 63)
+                        summary |= 1 << (r >> 6)
+            waits[i] = -1
+            if k < n:
+                to = end[k]
+                r = get(piece[i:to], -1) if to - i <= longest else -1
+                if r >= 0:
+                    waits[i] = r
+                    if r in buckets:
+                        heappush(buckets[r], i)
                     else:
-                        buckets[r] = [left]
+                        buckets[r] = [i]
                         bits[r >> 6] |= 1 << (r & 63)
                         summary |= 1 << (r >> 6)
-        out, i, ranks = [], 0, self.ranks
+        out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
+            out.append(token[i])
             i = end[i]
         return tuple(out)
 
