@@ -134,7 +134,8 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> D
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> DataFrame:
-    """``doc_id, key, fp, component`` of every row: the smallest doc_id reachable over links of at most ``max_bits``."""
+    """``doc_id, key, fp, c, component_id`` of every row: ``c`` labels its component over links of at most ``max_bits`` by a
+    fingerprint, ``component_id`` by the smallest doc_id in it (null without one; components that repeat an id share it)."""
     rows = written(fingerprints(docs), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     nodes = prints.withColumn("node", F.col("fp"))
@@ -142,15 +143,16 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GRO
     # components are labelled by fingerprints; the smallest doc_id of all their members names them
     named = written(prints.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp")), "named")
     best = written(named.groupBy("c").agg(F.min("least").alias("component_id")), "best")
-    by_print = named.select("fp", "c").join(best, "c").select("fp", "component_id")
-    return rows.join(by_print, "fp").select("doc_id", "key", "fp", "component_id")
+    by_print = named.select("fp", "c").join(best, "c").select("fp", "c", "component_id")
+    return rows.join(by_print, "fp").select("doc_id", "key", "fp", "c", "component_id")
 
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The row with the smallest doc_id of every component, with its columns; of repeated rows one stays."""
     found = near_duplicates(docs, max_bits)
-    # one winner per component by a minimum: no group is gathered
-    winners = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.key").alias("__key"))
+    # one winner per component by a minimum, rows without doc_id last: no group is gathered
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    winners = found.groupBy("c").agg(F.min(place).alias("w")).select(F.col("w.doc_id").alias("__id"), F.col("w.key").alias("__key"))
     t = docs.withColumn("__own", text_key("text"))
     kept = t.join(winners, t["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
     one = W.partitionBy("doc_id", "__own").orderBy(*[c for c in docs.columns if c != "text"])

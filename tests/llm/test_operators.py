@@ -278,6 +278,17 @@ def test_simhash(docs, texts):
     assert stage.columns == docs.columns and stage.count() == len(least)
 
 
+def test_one_of_each_keeps_unrelated_rows_without_or_with_one_id(spark):
+    a, b, c, d = (prose(70 + i, 120) for i in range(4))
+    given = [(None, a), (None, b), (None, b), (None, c), (7, c), (5, a + " end"), (9, d), (9, prose(80, 90))]
+    prints = [brute_print(t) for _, t in given]
+    assert all((prints[x] ^ prints[y]).bit_count() > 4 for x, y in ((0, 1), (0, 3), (1, 3), (6, 7), (0, 6), (1, 6), (3, 6)))
+    near = (prints[0] ^ prints[5]).bit_count() <= 4
+    want = [(None, b), (7, c), (5, a + " end"), (9, d), given[-1], *([] if near else [(None, a)])]
+    got = simhash.one_of_each(spark.createDataFrame(given, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+
+
 def test_link_finds_every_pair(spark):
     r = random.Random(11)
     seeds = [r.getrandbits(64) for _ in range(30)]
