@@ -238,6 +238,28 @@ def test_chains_equal_the_quadratic_optimum():
         assert max([passages.K, *map(score, found)]) == pytest.approx(max(best))
 
 
+def common_seeds(x, y):
+    """Every place of x and y whose selected seeds are equal."""
+    (h, p), (g, q) = (passages.seeds(w, {}) for w in (x, y))
+    return [(int(a), int(b)) for s, a in zip(h, p) for b in q[g == s]]
+
+
+def test_chains_are_cut_at_unrelated_words():
+    r = random.Random(21)
+    fresh = lambda n: [b"%x" % r.getrandbits(60) for _ in range(n)]
+    for gap in (0, 10, 40, 60, 100, 150, 200):
+        one, two = fresh(60), fresh(60)
+        x, y = [[*fresh(30), *one, *fresh(gap), *two, *fresh(30)] for _ in "xy"]
+        want = {(30, 150 + gap, 30, 150 + gap)} if gap <= 10 else {(30, 90, 30, 90), (90 + gap, 150 + gap, 90 + gap, 150 + gap)}
+        assert set(passages.passages_of(x, y, common_seeds(x, y))) == want, gap
+    # a chance common seed before a passage does not sink it
+    for gap in (10, 20, 30, 49):
+        seed, one = fresh(passages.K), fresh(41)
+        x, y = [[*fresh(30), *seed, *fresh(gap), *one, *fresh(30)] for _ in "xy"]
+        at = 30 + passages.K + gap
+        assert any(s <= at and at + 41 <= e for s, e, _, _ in passages.passages_of(x, y, common_seeds(x, y))), gap
+
+
 def test_quality(docs, texts):
     got = quality.judge(docs)
     want = []
