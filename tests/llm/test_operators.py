@@ -260,6 +260,27 @@ def test_chains_are_cut_at_unrelated_words():
         assert any(s <= at and at + 41 <= e for s, e, _, _ in passages.passages_of(x, y, common_seeds(x, y))), gap
 
 
+def test_seeds_find_changed_passages():
+    """Of planted passages with a run of K equal words, all are found that still agree in 0.8, as by comparing place by place."""
+    r = random.Random(22)
+    fresh = lambda n: [b"%x" % r.getrandbits(60) for _ in range(n)]
+    for size in (50, 60):
+        for share in (0.1, 0.15, 0.2):
+            found = wanted = 0
+            for _ in range(100):
+                one = fresh(size)
+                two = [w if i in (0, size - 1) or i not in changed else b"new" + w for changed in [set(r.sample(range(size), round(share * size)))] for i, w in enumerate(one)]
+                same = [a == b for a, b in zip(one, two)]
+                runs = "".join("1" if v else "0" for v in same).split("0")
+                if sum(same) < 0.8 * size or max(map(len, runs)) < passages.K:
+                    continue
+                x, y = [*fresh(40), *one, *fresh(40)], [*fresh(25), *two, *fresh(40)]
+                wanted += 1
+                found += bool(passages.passages_of(x, y, common_seeds(x, y)))
+            print(size, share, found, wanted)
+            assert wanted > 50 and found >= 0.95 * wanted, (size, share, found, wanted)
+
+
 def test_quality(docs, texts):
     got = quality.judge(docs)
     want = []
