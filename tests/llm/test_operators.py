@@ -137,6 +137,20 @@ def test_pii(docs, texts):
     assert r.n_iban == 1 and r.n_ssn == 1 and len(r.scores.split(",")) == len(r.spans.split(","))
 
 
+def test_iban_ends_at_its_country_length(spark):
+    iban = "DE89370400440532013000"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    found = [f"{x}{y}" for x in (iban, spaced) for y in (" Please", " I wrote", " 2 days", " BIC COBADEFF", " please", ".", "", " GB82 WEST 1234 5698 7654 32")]
+    none = [iban + "1", iban + "X", "X" + iban, iban[:-1] + "1 Please", iban[:-2] + " Please"]
+    other = ["XX99 1234 5678 9012 DE89 3704 0044 0532 0130 00"]
+    texts = [*found, *none, *other]
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    spans = {r.doc_id: [x.found for x in r.iban] for r in got.collect()}
+    for i, t in enumerate(texts):
+        want = [] if t in none else [spaced if spaced in t else iban] + ["GB82 WEST 1234 5698 7654 32"] * ("GB82" in t)
+        assert spans[i] == want, t
+
+
 def test_top_k(spark):
     r = random.Random(3)
     vecs = [(i, [r.uniform(-1, 1) for _ in range(8)]) for i in range(120)] + [(i, [0.5] * 8) for i in range(120, 200)]
