@@ -44,14 +44,18 @@ class TextTokenizer:
     of the time. Both agree: merges go by rank in both, and as every token is reached from its own bytes, two neighbours
     that spell a token are always the pair that its merge names. Other files, and texts whose runs of white space are
     too long for tiktoken's pattern, go through the tokenizers library.
+
+    ``ordinary`` takes the strings of special tokens in a text as ordinary text. Otherwise they are their tokens, as the
+    library does by default; texts with one go through it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = self._ranks()
         self.ranked = ranks and tiktoken.Encoding("packing", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
@@ -74,7 +78,7 @@ class TextTokenizer:
         return {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items()}
 
     def encode(self, text: str) -> bytes:
-        if self.ranked:
+        if self.ranked and not any(s in text for s in self.special):
             try:
                 return self.ranked.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype("<u4", copy=False).tobytes()
             except ValueError:  # a run of white space beyond the stack of its pattern
@@ -90,15 +94,15 @@ def _byte_chars() -> list[str]:
 
 
 @functools.cache
-def tokenizer(path: str) -> TextTokenizer:
-    return TextTokenizer(path)
+def tokenizer(path: str, ordinary: bool = True) -> TextTokenizer:
+    return TextTokenizer(path, ordinary)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every row's pieces; only the first may be shorter than ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        t, end = tokenizer(path, ordinary=False), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text")):

@@ -202,6 +202,17 @@ def test_packing(docs, texts):
         assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:])) and sum(p[-1]) <= 256
 
 
+def test_packing_takes_special_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, end = Tokenizer.from_file(path), np.array([packing.END_ID], "<u4").tobytes()
+    texts = ["a b<|endoftext|>c", "<|endoftext|>", "<|endoftext|> x<|endoftext|>\n", "<|endoftext", "plain words"]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    want = {(i, len(x) + 1, zlib.crc32(np.array(x, "<u4").tobytes() + end)) for i, x in enumerate(t.encode(x, add_special_tokens=False).ids for x in texts)}
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in got.collect()} == want
+
+
 def test_packing_ids_equal_the_library():
     from tokenizers import Tokenizer
 
