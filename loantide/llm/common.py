@@ -32,12 +32,17 @@ def words(text: Column) -> Column:
     return F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, "[\\x20\\x09-\\x0D]+", -1))
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package where the driver runs it from a checkout."""
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver runs it from a checkout; on a cluster give it as ``--py-files``."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = df.sparkSession.sparkContext.environment
+    env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loantide.llm import bpe, lines, lm, packing, passages, pii, quality, secrets, simhash, topk
+from loantide.llm import bpe, lexical, lines, lm, oracles, packing, passages, pii, quality, resampling, secrets, simhash, topk, warc
 from loantide.llm.common import table
 
 
@@ -51,5 +51,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scores, op3_secret_scans, op4_exact_top_k, op5_byte_bpe, op6_pii, op7_best_fit_packing, op8_fuzzy_passages, op9_quality_rules, op10_simhash)}
-ORACLE: dict[str, str] = {}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_lm_scores, op3_secret_scans, op4_exact_top_k, op5_byte_bpe, op6_pii, op7_best_fit_packing, op8_fuzzy_passages,
+        op9_quality_rules, op10_simhash, op11_importance_resampling, op12_warc, op13_ranked_search,
+    )
+}
+ORACLE = {"op11_importance_resampling": oracles.OP11, "op12_warc": oracles.OP12, "op13_ranked_search": oracles.OP13}
