@@ -14,8 +14,8 @@ may be local or in any store that pyarrow reads.
 Defined results: a null payload is empty; a null header value is left out and read back as null; control characters in
 header values are percent-encoded; HTTP bodies are kept as stored (no decoding of transfer or content encodings); payloads
 of any length below 2 GB are taken whole; an empty table writes a manifest without files and reads as an empty one.
-``archive_pages``: a null html is the empty payload; repeated rows are records of their own, of which one is the
-response; a null page_id is the smallest; further columns are ignored.
+``archive_pages``: a null html is the empty payload; repeated rows are records of their own, of which one is the response;
+a null page_id is the smallest; an empty table makes an empty archive; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -413,23 +413,41 @@ def write_warc(df: DataFrame, path: str, **options) -> None:
 
 def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """A record per row of ``page_id, url, html``. Of rows with equal payloads of at least ``min_bytes`` bytes the one with
-    the largest page_id is the response and the others revisit it; smaller payloads are all responses."""
+    the largest page_id is the response and the others revisit it; smaller payloads are all responses.
+
+    Payloads are equal if SHA-1 and length are. The pages are read once for the repeated payloads and once for the records.
+    """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    rows = rows.withColumn("hex", F.sha1("html")).withColumn("bytes", F.octet_length("html").cast("long"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
-    # one row per repeated payload; the numbers of rows make the choice unique
-    groups = rows.where(F.col("bytes") >= min_bytes).groupBy("hex", "bytes")
-    best = groups.agg(F.max(F.struct("page_id", "row")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    name = lambda page, row: F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
-    again = F.coalesce(F.col("best.row") != F.col("row"), F.lit(False))
-    out = rows.join(best, ["hex", "bytes"], "left").select(
-        name(F.col("page_id"), F.col("row")).alias("record_id"),
+    rows = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("bytes", F.octet_length("html").cast("long"))
+    # per repeated payload its largest page_id, and how many rows have that one
+    by_page = rows.where(F.col("bytes") >= min_bytes).groupBy("sha", "bytes", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = by_page.groupBy("sha", "bytes").agg(F.max(F.struct("page_id", "n")).alias("best"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    groups = written(groups, "payloads")
+    joined = rows.join(groups, ["sha", "bytes"], "left")
+    largest = F.col("best").isNotNull() & F.col("page_id").eqNullSafe(F.col("best.page_id"))
+    tied = largest & (F.col("best.n") > 1)
+    _write_pages(joined.where(~tied).withColumn("again", F.col("best").isNotNull() & ~largest), path)
+    if groups.where("best.n > 1").isEmpty():
+        return
+    # equal rows with the largest page_id: numbered on disk, the first is the response
+    equal = written(joined.where(tied).withColumn("row", F.monotonically_increasing_id()), "tied")
+    first = equal.groupBy("sha", "bytes").agg(F.min("row").alias("first"))
+    _write_pages(equal.join(first, ["sha", "bytes"]).withColumn("again", F.col("row") != F.col("first")), path)
+
+
+def _write_pages(rows: DataFrame, path: str) -> None:
+    """Record names: of a response that is revisited its page and digest, of other records a random part as well."""
+    name = lambda page, *more: F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), F.hex("sha"), *more, F.lit(">"))
+    again = F.col("again")
+    head = F.col("best").isNotNull() & ~again
+    out = rows.select(
+        F.when(head, name(F.col("page_id"))).otherwise(name(F.col("page_id"), F.lit(":"), F.uuid())).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("warc_type"),
         F.lit(_now()).alias("warc_date"),
         F.col("url").alias("target_uri"),
-        F.when(again, name(F.col("best.page_id"), F.col("best.row"))).alias("refers_to"),
-        F.concat(F.lit("sha1:"), _base32("hex")).alias("payload_digest"),
+        F.when(again, name(F.col("best.page_id"))).alias("refers_to"),
+        F.concat(F.lit("sha1:"), _base32(F.hex("sha"))).alias("payload_digest"),
         F.when(again, F.create_map(F.lit("WARC-Profile"), F.lit(_REVISIT))).alias("headers"),
         F.when(~again, F.encode("html", "UTF-8")).alias("payload"),
         F.col("bytes").alias("payload_length"),
