@@ -19,10 +19,12 @@ COERCIONS = {
 }
 NOT_OF_TYPE = {"number": "not_a_number", "integer": "not_an_integer", "datetime": "not_a_date"}
 CORRUPT = "_corrupt_record"
+FIELDS, FILE_ERROR, SURPLUS = "_fields", "_file_error", "_surplus"  # what the readers say of a row's file
+READER_COLUMNS = (CORRUPT, FIELDS, FILE_ERROR, SURPLUS)
 # Columns added by the readers; they are not tape fields.
 SYSTEM_COLUMNS = frozenset(
-    ["filename", "dl_code", "pcd", "pcd_year", "pcd_month", "valid_from", "valid_to", "iscurrent", "last_seen", "checksum", "part",
-     CORRUPT]
+    ["filename", "dl_code", "pcd", "pcd_year", "pcd_month", "valid_from", "valid_to", "iscurrent", "last_seen", "checksum", "part", "seen",
+     *READER_COLUMNS]
 )
 ERRORS, OK = "qc_errors", "qc_ok"
 
@@ -71,7 +73,8 @@ def validate(
     No shuffle and no Python. Missing codes are blanked and values are read once per field, in
     projections of their own; the broken rules are gathered as one text, which compiles to code,
     and only that short text is turned into an array.
-    A field without a rule is an error on every row; a rule without a field is not. A class without
+    A field without a rule is an error on every row of the files that have it; a rule without a field is not, file by
+    file. A row that stands for a file that could not be read has that reason only. A class without
     any rules has nothing to break: its rows pass, unless they cannot be read.
     """
     known = set(system)
@@ -80,14 +83,21 @@ def validate(
     texts = df.select("*", *[null_blank(F.col(c), nd_mode).alias(f"_t_{c}") for c in ruled])
     typed = [c for c in ruled if rules[c].type != "string"]
     values = texts.select("*", *[COERCIONS[rules[c].type](F.col(f"_t_{c}")).alias(f"_v_{c}") for c in typed])
-    found = [F.lit(f"{c}:unknown_field") for c in fields if rules and c not in rules]
+    # without a list of the file's fields every row has every column
+    has = (lambda c: F.coalesce(F.array_contains(FIELDS, c), F.lit(True))) if FIELDS in df.columns else (lambda c: F.lit(True))
+    found = [F.when(has(c), F.lit(f"{c}:unknown_field")) for c in fields if rules and c not in rules]
     for c in ruled:
         text = F.col(f"_t_{c}")
         value = F.col(f"_v_{c}") if rules[c].type != "string" else COERCIONS["string"](text)
-        found += [F.when(cond, F.lit(f"{c}:{reason}")) for reason, cond in _reasons(rules[c], text, value, as_of, on_fail)]
+        # only a missing value can come from a missing field
+        mine = lambda reason, cond, c=c: has(c) & cond if reason == "null_not_allowed" else cond
+        found += [F.when(mine(reason, cond), F.lit(f"{c}:{reason}")) for reason, cond in _reasons(rules[c], text, value, as_of, on_fail)]
     if CORRUPT in df.columns:
         found.append(F.when(F.col(CORRUPT).isNotNull(), F.lit("file:unreadable_row")))
-    coded = values.select(*df.columns, (F.concat_ws(";", *found) if found else F.lit("")).alias("_codes"))
+    codes = F.concat_ws(";", *found) if found else F.lit("")
+    if FILE_ERROR in df.columns:
+        codes = F.when(F.col(FILE_ERROR).isNotNull(), F.concat(F.lit("file:"), F.col(FILE_ERROR))).otherwise(codes)
+    coded = values.select(*df.columns, codes.alias("_codes"))
     pair = lambda x: F.struct(F.substring_index(x, ":", 1).alias("field"), F.substring_index(x, ":", -1).alias("reason"))
     none = F.array().cast("array<struct<field:string,reason:string>>")
     errors = F.when(F.col("_codes") != "", F.transform(F.split("_codes", ";"), pair)).otherwise(none)
@@ -102,10 +112,12 @@ def split_clean_dirty(df: DataFrame, keys: Iterable[str] = ()) -> tuple[DataFram
     """
     lacking = [F.when(F.col(k).isNull(), F.struct(F.lit(k).alias("field"), F.lit("null_key").alias("reason"))) for k in keys]
     if lacking:
+        if FILE_ERROR in df.columns:  # such a row has its reason already
+            lacking = [F.when(F.col(FILE_ERROR).isNull(), x) for x in lacking]
         every = F.concat(ERRORS, F.array_compact(F.array(*lacking)))
         df = df.withColumn(ERRORS, every).withColumn(OK, F.size(ERRORS) == 0)
-    clean = df.where(OK).drop(OK, ERRORS)
-    dirty = df.where(~F.col(OK)).withColumn(ERRORS, F.to_json(ERRORS)).drop(OK)
+    clean = df.where(OK).drop(OK, ERRORS, FIELDS, FILE_ERROR)
+    dirty = df.where(~F.col(OK)).withColumn(ERRORS, F.to_json(ERRORS)).drop(OK, FIELDS)
     return clean, dirty
 
 

@@ -4,17 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loantide.operators.bronze import load_bronze
-from loantide.session import scratch_path
+from loantide.sources.snapshots import MAX_RECORDS_PER_FILE, read_snapshot, replace_units, units_of, version
 from loantide.sources.tapes import read_bronze
 
-MAX_RECORDS_PER_FILE = 5_000_000
-MAX_DEALS = 1000  # deals of a batch that prune the scan by name; with more, all partitions are read
-
 
 def _writer(df: DataFrame):
     return df.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
@@ -34,40 +31,42 @@ def write_bronze(df: DataFrame, path: str) -> None:
     _writer(df.hint("rebalance", "part")).partitionBy("part").mode("append").parquet(path)
 
 
+BRONZE_UNIT = ("dl_code", "part")
+
+
 def merge_bronze(batch: DataFrame, path: str, keys: Sequence[str], mode: str = "merge") -> None:
-    """Bring a batch into the bronze table at ``path``, rewriting only the partitions of its deals.
+    """Bring a batch into the bronze table at ``path``: only its deals are read and replaced, all at once or not at all.
 
-    The new history is first written to the shared folder, then put in place, since Spark cannot
-    overwrite what it is reading. Losing executors in between repeats tasks, not results.
+    ``merge`` derives the history of the batch's deals anew (of the keys that it names); ``skip`` adds only deals and
+    months that the table lacks. Two writers of one deal cannot overwrite each other: the later one gets an error.
     """
     spark = batch.sparkSession
     keys = list(dict.fromkeys(["dl_code", *keys]))  # a loan id alone may occur in several deals
-    old = read_bronze(spark, path)
-    if old is None:
-        write_bronze(load_bronze(None, batch, keys), path)
-        return
-    if mode == "skip":
-        fresh = batch.join(old.select("part").distinct(), "part", "left_anti")
-        write_bronze(fresh.select(*old.columns), path)
-        return
-    deals = batch.select("dl_code").distinct()
-    named = [r["dl_code"] for r in deals.limit(MAX_DEALS + 1).collect()]
-    near = old
-    if len(named) <= MAX_DEALS:
-        # the label begins with the deal, so the scan lists only the partitions of these deals; the join below decides
-        near = old.where(reduce(or_, [F.col("part").startswith(f"{d}_") for d in named if d is not None], F.col("part").isNull()))
-    same_deals = near.join(deals, "dl_code", "left_semi").select(*old.columns)
-    # rows without a cut-off share one partition, which is replaced as a whole
-    undated = old.where("part IS NULL").join(deals, "dl_code", "left_anti").select(*old.columns)
-    staged = scratch_path(spark, "bronze-stage")
-    _writer(load_bronze(same_deals, batch, keys).unionByName(undated)).parquet(staged)
-    (
-        _writer(spark.read.parquet(staged).hint("rebalance", "part"))
-        .partitionBy("part")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
-    )
+    base = version(spark, path)
+    if not base:
+        old = read_bronze(spark, path)  # of ``write_bronze``: goes into the first version
+        both = load_bronze(None, batch, keys) if old is None else load_bronze(with_columns_of(old, batch), with_columns_of(batch, old), keys, mode)
+        replace_units(both, path, BRONZE_UNIT, BRONZE_UNIT, base=0)
+    elif mode == "skip":
+        there = units_of(spark, path, base)
+        same = reduce(and_, [batch[c].eqNullSafe(there[c]) for c in BRONZE_UNIT])
+        replace_units(batch.join(there, same, "left_anti"), path, BRONZE_UNIT, BRONZE_UNIT, base=base)
+    else:
+        deals = batch.select("dl_code").distinct()
+        old = read_snapshot(spark, path, deals, base)
+        both = load_bronze(with_columns_of(old, batch), with_columns_of(batch, old), keys)
+        replace_units(both, path, BRONZE_UNIT, BRONZE_UNIT, covers=deals, base=base)
+
+
+def with_columns_of(df: DataFrame, other: DataFrame) -> DataFrame:
+    """The same rows with all columns of both, null where ``df`` has none."""
+    lacking = [f for f in other.schema.fields if f.name not in df.columns]
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lacking])
+
+
+def replace_deals(df: DataFrame, path: str, deals: DataFrame, by: Sequence[str] = ("pcd_year",)) -> None:
+    """Put ``df`` in the place of all silver rows of ``deals`` (SNK1); other deals are not read. Files lie by deal and year."""
+    replace_units(df, path, ["dl_code"], ["dl_code", *[c for c in by if c in df.columns]], covers=deals)
 
 
 def write_deals(df: DataFrame, path: str) -> None:
@@ -76,17 +75,24 @@ def write_deals(df: DataFrame, path: str) -> None:
 
 
 def write_quarantine(clean: DataFrame, dirty: DataFrame, path: str) -> None:
-    """Clean rows and dirty rows with reasons, side by side (SNK4).
+    """Clean rows and dirty rows with reasons, in one table and one step (SNK4); ``read_quarantine`` reads a side.
 
-    With file keys, only the deals and cut-offs that are present are replaced, so another load keeps what earlier
-    ones found and a repeated one adds nothing. Otherwise the tables are replaced.
+    A load replaces what earlier loads said of its files (of its deals and cut-offs, without file names): a corrected file
+    leaves no stale dirty row, and other files keep theirs, rows without a deal or cut-off too.
     """
-    for df, side in ((clean, "clean"), (dirty, "dirty")):
-        by = [c for c in ("dl_code", "pcd") if c in df.columns]
-        w = _writer(df.hint("rebalance", *by) if by else df).mode("overwrite").option("header", True)
-        if by:
-            w = w.partitionBy(*by).option("partitionOverwriteMode", "dynamic")
-        w.csv(f"{path}/{side}")
+    side = lambda df, name: df.select(F.lit(name).alias("side"), *df.columns)
+    both = side(clean, "clean").unionByName(side(dirty, "dirty"), allowMissingColumns=True)
+    unit = ["filename"] if "filename" in both.columns else [c for c in ("dl_code", "pcd") if c in both.columns]
+    if unit:
+        replace_units(both, path, unit, ["side"])
+    else:  # nothing tells the rows apart: the table is one unit
+        replace_units(both.withColumn("whole", F.lit(1)), path, ["whole"], ["side"], covers=both.sparkSession.range(1).select(F.lit(1).alias("whole")))
+
+
+def read_quarantine(spark: SparkSession, path: str, side: str) -> DataFrame | None:
+    """The ``clean`` or ``dirty`` rows of all loads."""
+    df = read_snapshot(spark, path)
+    return None if df is None else df.where(F.col("side") == side).drop("side", "whole")
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,11 +1,16 @@
 """Readers, validation, silver and history on small fixtures."""
 
+import gzip
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from loantide.operators import bronze as B, silver as S, validate as V
+from loantide.plans.tape_load import load_tape
 from loantide.session import scratch_path
-from loantide.sources import deals, sinks, tapes
+from loantide.sources import deals, sinks, snapshots, tapes
+from loantide.sources.snapshots import ConcurrentUpdate, read_snapshot, replace_units, vacuum, version
 from loantide.streaming import tapes as stream
 from loantide.templates import TEMPLATES
 from loantide.templates.rules import Rule
@@ -168,11 +173,11 @@ def test_history_on_disk_and_skip_mode(spark):
     path = scratch_path(spark, "bronze")
     for rows in (FIRST, SECOND, LATE, SECOND):
         sinks.merge_bronze(batch(spark, rows), path, ["k"])
-    assert history(spark.read.parquet(path)) == brute_force([(k, d, v) for _, d, k, v in FIRST + SECOND + LATE])
+    assert history(tapes.read_bronze(spark, path)) == brute_force([(k, d, v) for _, d, k, v in FIRST + SECOND + LATE])
     other = scratch_path(spark, "bronze")
     for rows in (FIRST, FIRST + SECOND):
         sinks.merge_bronze(batch(spark, rows), other, ["k"], mode="skip")
-    assert spark.read.parquet(other).count() == 7
+    assert tapes.read_bronze(spark, other).count() == 7
 
 
 def test_csv_sink_refuses_empty_data(spark):
@@ -196,7 +201,7 @@ def test_quarantine_keeps_earlier_loads(spark):
     for deal, v in (("D1", "a"), ("D2", "b"), ("D1", "c")):
         sinks.write_quarantine(one(deal, v), one(deal, v + "!"), path)
     for side, mark in (("clean", ""), ("dirty", "!")):
-        got = spark.read.option("header", True).csv(f"{path}/{side}")
+        got = sinks.read_quarantine(spark, path, side)
         assert sorted((r["dl_code"], r["AS2"]) for r in got.collect()) == [("D1", "c" + mark), ("D2", "b" + mark)]
 
 
@@ -213,7 +218,7 @@ def test_bronze_of_other_deals_and_undated_rows_stays(spark):
     path = scratch_path(spark, "bronze")
     for rows in ([("D", "2020-01-31", "a", "1"), ("E", None, "a", "1")], [("D_1", "2020-01-31", "a", "1")], [("D", None, "b", "1")], [("D", "2020-02-29", "a", "2")]):
         sinks.merge_bronze(batch(spark, rows), path, ["k"])
-    got = sorted((r["dl_code"], r["k"], r["v"]) for r in spark.read.parquet(path).where("iscurrent = 1").collect())
+    got = sorted((r["dl_code"], r["k"], r["v"]) for r in tapes.read_bronze(spark, path).where("iscurrent = 1").collect())
     assert got == [("D", "a", "2"), ("D", "b", "1"), ("D_1", "a", "1"), ("E", "a", "1")]
 
 
@@ -223,3 +228,195 @@ def test_numbers_and_classes_without_rules(spark):
     assert [r["v"] for r in df.collect()] == [None] * 6 + [1.5, -2.0, 0.5, 1000.0, 7.0]
     row = V.validate(spark.createDataFrame([("x",)], "AA1 string"), TEMPLATES["auto_assets"].rules, "2025-01-01").first()
     assert row["qc_ok"] and row["qc_errors"] == []
+
+
+@pytest.mark.parametrize("rows,order", [
+    # A, A, A and a late B between the sightings
+    ([("D", "2020-01-31", "a", "A"), ("D", "2020-03-31", "a", "A"), ("D", "2020-05-31", "a", "A"), ("D", "2020-02-29", "a", "B")], [0, 1, 2, 3]),
+    ([("D", f"2020-0{m}-28", "a", v) for m, v in zip((1, 2, 3, 4, 5), "AABAA")], [4, 0, 2, 3, 1]),
+    ([("D", f"2020-0{m}-28", "a", v) for m, v in zip((1, 2, 3, 4, 5), "ABABA")], [2, 4, 1, 0, 3]),
+    ([("D", f"2020-0{m}-28", "a", v) for m, v in zip((1, 2, 3, 4, 5), "AAAAA")], [3, 1, 4, 2, 0]),
+])
+def test_history_does_not_depend_on_the_order_of_arrival(spark, rows, order):
+    keys, h = ["dl_code", "k"], None
+    for i in order:
+        h = B.load_bronze(h, batch(spark, [rows[i]]), keys)
+    want = brute_force([(k, d, v) for _, d, k, v in rows])
+    assert history(h) == want
+    ends = [str(r["valid_to"])[:10] for r in h.orderBy("valid_from").collect()]
+    assert ends == [d for d, _ in want["a"]][1:] + ["None"]
+    for d in ("2020-01-31", "2020-03-15", "2020-04-15", "2020-05-31"):
+        assert [r["v"] for r in B.as_of(h, d).collect()] == [v for a, v in want["a"] if a <= d][-1:]
+
+
+def test_history_as_known_before_a_correction(spark):
+    keys, h = ["dl_code", "k"], None
+    row = lambda v, day: spark.createDataFrame([("D", "2020-01-31", "a", v, f"{v}.csv")], "dl_code string, pcd string, k string, v string, filename string")
+    for v, day in (("x", "2021-01-01"), ("y", "2021-02-01"), ("y", "2021-03-01"), ("x", "2021-04-01")):
+        h = B.load_bronze(h, B.to_bronze(row(v, day), keys, ["v"], recorded=day), keys)
+    now = h.where("iscurrent = 1").collect()
+    assert [(r["v"], r["filename"], len(r["seen"])) for r in now] == [("x", "x.csv", 1)]
+    for day, v in (("2021-01-15", "x"), ("2021-03-15", "y"), ("2021-05-01", "x")):
+        assert [r["v"] for r in B.as_of(B.as_known(h, keys, day), "2020-06-30").collect()] == [v]
+    assert B.as_known(h, keys, "2020-12-31").count() == 0
+
+
+def test_rows_without_a_key_share_no_window(spark):
+    rows = [("D", "2020-01-31", None, str(i % 3)) for i in range(9)]
+    h = B.load_bronze(None, batch(spark, rows), ["dl_code", "k"])
+    assert sorted((r["v"], r["iscurrent"]) for r in h.collect()) == [("0", 1), ("1", 1), ("2", 1)]
+
+
+def one_tape(spark, folder, name, lines, compress=False):
+    text = "".join(x + "\n" for x in lines).encode()
+    (folder / (name + (".gz" if compress else ""))).write_bytes(gzip.compress(text) if compress else text)
+
+
+def test_unknown_and_missing_fields_count_per_file(spark, tmp_path):
+    one_tape(spark, tmp_path, "D1_2020_01_31_x.csv", ["AS1,AS2", "2020-01-31,p", "2020-01-31,q"])
+    one_tape(spark, tmp_path, "D2_2020_01_31_x.csv", ["AS1,AS2,AS9,AS2", "2020-01-31,p,9,9"])
+    one_tape(spark, tmp_path, "D3_2020_01_31_x.csv", ["AS1", "2020-01-31"])
+    df = tapes.read_tape(spark, str(tmp_path))
+    got = {(r["dl_code"], e["field"], e["reason"]) for r in V.validate(df, RULES, "2025-01-01").collect() for e in r["qc_errors"]}
+    assert got == {("D2", "AS9", "unknown_field"), ("D2", "AS2#4", "unknown_field")}
+
+
+def test_a_file_that_cannot_be_read_is_one_dirty_row(spark, tmp_path):
+    good = ["AS1,AS2"] + [f"2020-01-31,{i}" for i in range(20_000)]
+    one_tape(spark, tmp_path, "D1_2020_01_31_x.csv", good[:3])
+    one_tape(spark, tmp_path, "D2_2020_01_31_x.csv", good, True)
+    whole = (tmp_path / "D2_2020_01_31_x.csv.gz").read_bytes()
+    (tmp_path / "D3_2020_02_29_x.csv.gz").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "D4_2020_01_31_x.csv").write_bytes(b"")
+    (tmp_path / "D5_2020_01_31_x.csv").write_bytes(b" \n\n")
+    df = V.validate(tapes.read_tape(spark, str(tmp_path)), RULES, "2025-01-01")
+    clean, dirty = V.split_clean_dirty(df, ["dl_code", "AS2"])
+    assert {r["dl_code"]: r["n"] for r in clean.groupBy("dl_code").agg(F.count("*").alias("n")).collect()} == {"D1": 2, "D2": 20_000}
+    bad = sorted((r["filename"], r["pcd"], r["qc_errors"]) for r in dirty.collect())
+    reason = lambda x: '[{"field":"file","reason":"%s"}]' % x
+    assert bad == [("D3_2020_02_29_x.csv.gz", "2020-02-29", reason("unreadable_file")), ("D4_2020_01_31_x.csv", "2020-01-31", reason("empty_file")),
+                   ("D5_2020_01_31_x.csv", "2020-01-31", reason("empty_file"))]
+    only = tapes.read_tape(spark, str(tmp_path / "D4_2020_01_31_x.csv"), first_col="AS1")
+    assert [r["_file_error"] for r in only.collect()] == ["empty_file"]
+
+
+class Counted:
+    def __init__(self, data):
+        self.data, self.at, self.asked = data, 0, 0
+
+    def read(self, n):
+        got = self.data[self.at : self.at + n]
+        self.at += len(got)
+        self.asked += len(got)
+        return got
+
+
+def test_headers_read_the_first_block_only():
+    for size in (10, 10_000_000):
+        f = Counted(b"\xef\xbb\xbf\r\n\r\nAS1,AS2\r\n" + b"x" * size)
+        assert tapes._first_line(f, False) == ("AS1,AS2", None) and f.asked <= tapes.BLOCK
+    long = b"A" * (3 * tapes.BLOCK)
+    assert tapes._first_line(Counted(long + b"\nx"), False) == (long.decode(), None)
+
+
+def test_names_with_pattern_characters(spark, tmp_path):
+    for name, head in (("D{1}_2020_01_31_[a].csv", "AS1,AS2"), ("D{2}_2020_01_31_b c%20.csv", "AS2,AS1")):
+        one_tape(spark, tmp_path, name, [head, "1,2"])
+    got = sorted((r["filename"], r["AS1"], r["AS2"]) for r in tapes.read_tape(spark, str(tmp_path)).collect())
+    assert [x[1:] for x in got] == [("1", "2"), ("2", "1")]
+
+
+def test_columns_beyond_the_limit_are_kept_and_reported(spark, tmp_path):
+    one_tape(spark, tmp_path, "D1_2020_01_31_x.csv", ["AS1,AS2,AS3,AS4", "a,b,c,", "a,b,,", "a,b,c,d"])
+    df = tapes.read_tape(spark, str(tmp_path), max_cols=2)
+    assert {r["field"]: r["n"] for r in tapes.surplus_fields(df).collect()} == {"AS3": 2, "AS4": 1}
+    assert "AS3" not in df.columns and df.where("_surplus IS NULL").count() == 1
+
+
+def test_reloads_leave_nothing_behind(spark, tmp_path):
+    target, small = str(tmp_path / "out"), replace(TEMPLATES["sme_assets"], rules=RULES, keys=("AS1",), loan_key="AS2", types={}, topics={"loan_info": (2, 6)}, general=(1, 1))
+
+    def load(**files):
+        folder = tmp_path / f"in{len(list(tmp_path.iterdir()))}"
+        folder.mkdir()
+        for name, rows in files.items():
+            one_tape(spark, folder, f"{name}_x.csv", ["AS1,AS2,AS3", *rows])
+        load_tape(tapes.read_tape(spark, str(folder), first_col="AS1", file_keys=True), small, target, "2025-01-01")
+
+    def sides():
+        return {x: sorted((r["filename"][:2], r["AS2"]) for r in sinks.read_quarantine(spark, f"{target}/quarantine", x).collect()) for x in ("clean", "dirty")}
+
+    silver = lambda: sorted((r["dl_code"], r["AS2"], r["AS3"]) for r in read_snapshot(spark, f"{target}/silver/loan_info").collect())
+    load(D1_2020_01_31=["2020-01-31,a,1", "2020-01-31,b,x"])
+    assert sides() == {"clean": [("D1", "a")], "dirty": [("D1", "b")]}
+    load(D1_2020_01_31=["2020-01-31,a,1", "2020-01-31,b,2"])  # corrected
+    assert sides() == {"clean": [("D1", "a"), ("D1", "b")], "dirty": []}
+    load(f1=["2020-01-31,n,1"])  # no deal, no date: two loads keep both
+    load(f2=["2020-01-31,m,1"])
+    load(D2_2020_01_31=["2020-01-31,c,1"])
+    assert sides() == {"clean": [("D1", "a"), ("D1", "b"), ("D2", "c"), ("f1", "n"), ("f2", "m")], "dirty": []}
+    before = silver()
+    assert [x for x in before if x[0] == "D1"] == [("D1", "a", "1"), ("D1", "b", "2")]
+    load(D1_2020_02_29=["2020-02-29,a,5"])
+    assert [x for x in silver() if x[0] == "D1"] == [("D1", "a", "5"), ("D1", "b", "2")] and [x for x in silver() if x[0] != "D1"] == [x for x in before if x[0] != "D1"]
+
+
+def test_replacement_is_all_or_nothing(spark, tmp_path):
+    path, table = str(tmp_path / "t"), lambda *rows: spark.createDataFrame(rows, "u string, p string, v int")
+    read = lambda: {(r["u"], r["p"], r["v"]) for r in read_snapshot(spark, path).collect()}
+    assert read_snapshot(spark, path) is None
+    replace_units(table(("a", "01", 1), ("a", "02", 2), ("b", "01", 3), (None, "1", 4)), path, ["u"], ["p"])
+    replace_units(table(("a", "03", 5)), path, ["u"], ["p"])
+    assert read() == {("a", "03", 5), ("b", "01", 3), (None, "1", 4)}
+    base = version(spark, path)
+    with pytest.raises(Exception, match="broken"):
+        replace_units(table(("b", "01", 9)).withColumn("v", F.raise_error(F.lit("broken")).cast("int")), path, ["u"], ["p"])
+    assert version(spark, path) == base and read_snapshot(spark, path).where("u = 'b'").first()["v"] == 3
+    replace_units(table(("b", "04", 7)), path, ["u"], ["p"], base=base)
+    with pytest.raises(ConcurrentUpdate):  # derived from what another writer has replaced
+        replace_units(table(("b", "05", 8)), path, ["u"], ["p"], base=base)
+    replace_units(table(("c", "05", 8)), path, ["u"], ["p"], base=base)  # another unit does not matter
+    replace_units(table(("b", "", 0)).limit(0), path, ["u"], ["p"], covers=table(("b", "", 0)))  # emptied
+    assert {r["u"] for r in read_snapshot(spark, path).collect()} == {"a", "c", None}
+    assert [r["v"] for r in read_snapshot(spark, path, table(("a", "", 0)).select("u")).collect()] == [5]
+    assert {r["u"] for r in read_snapshot(spark, path, at=1).collect()} == {"a", "b", None}
+    wider = table(("d", "06", 6)).withColumn("w", F.lit("new"))
+    replace_units(wider, path, ["u"], ["p"])
+    assert sorted((r["v"], r["w"]) for r in read_snapshot(spark, path).where("u IN ('a', 'd')").collect()) == [(5, None), (6, "new")]
+    rows = {tuple(r) for r in read_snapshot(spark, path).collect()}
+    assert vacuum(spark, path) and {tuple(r) for r in read_snapshot(spark, path).collect()} == rows
+
+
+def test_commit_refuses_a_taken_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    replace_units(spark.range(3), path, ["id"])
+    assert not snapshots._commit(spark, path, 1, {}) and read_snapshot(spark, path).count() == 3
+
+
+def test_stream_with_differing_headers_equals_batch(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    heads = {"A": ["AS1,AS2,AS3", "2020-01-31,p,1"], "B": ["AS1,AS3,AS2", "2020-01-31,9,q"], "C": ["AS1,AS2", "2020-01-31,r"], "E": [""]}
+    got, seen = str(tmp_path / "out"), []
+
+    def keep(tape, batch_id):
+        seen.append(batch_id)
+        tape.select("dl_code", *[F.col(c) if c in tape.columns else F.lit(None).cast("string").alias(c) for c in ("AS2", "AS3", "_file_error")]).write.mode("append").parquet(got)
+
+    for deal, lines in heads.items():
+        one_tape(spark, folder, f"{deal}_2020_01_31_x.csv", lines)
+        stream.stream_tape_files(spark, str(folder), keep, str(tmp_path / "cp"), TEMPLATES["sme_assets"], max_files=1)
+    rows = lambda df: sorted((r["dl_code"], r["AS2"] or "", r["AS3"] or "", r["_file_error"] or "") for r in df.collect())
+    assert rows(spark.read.parquet(got)) == rows(tapes.read_tape(spark, str(folder), TEMPLATES["sme_assets"])) and len(seen) == 4
+    assert rows(spark.read.parquet(got)) == [("A", "p", "1", ""), ("B", "q", "9", ""), ("C", "r", "", ""), ("E", "", "", "empty_file")]
+
+
+def test_loads_of_collateral_and_amortisation(spark, tmp_path):
+    coll = spark.createDataFrame([("D1", "2020-01-31", "c1", "l1", "1"), ("D1", "2020-01-31", "c1", "l1", "1")], "dl_code string, pcd string, CS1 string, CS2 string, CS3 string")
+    none = lambda t: replace(t, rules={})
+    load_tape(coll.withColumn("filename", F.lit("f")), none(TEMPLATES["sme_collateral"]), str(tmp_path / "c"), "2025-01-01")
+    assert [(r["CS1"], r["CS2"]) for r in read_snapshot(spark, str(tmp_path / "c/silver/collateral")).collect()] == [("c1", "l1")]
+    amort = spark.createDataFrame([("D1", "2020-01-31", "l1", "10.5", "2021-01-31", "5", "2022-01-31")], "dl_code string, pcd string, AS3 string, AS150 string, AS151 string, AS152 string, AS153 string")
+    load_tape(amort, none(TEMPLATES["sme_amortisation"]), str(tmp_path / "a"), "2025-01-01")
+    got = read_snapshot(spark, str(tmp_path / "a/silver/amortisation"))
+    assert sorted((str(r["DATE_VALUE"]), r["DOUBLE_VALUE"]) for r in got.collect()) == [("2021-01-31", 10.5), ("2022-01-31", 5.0)]

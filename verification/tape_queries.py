@@ -9,8 +9,9 @@ from loantide.functions.nulls import fill_missing, first_non_empty, safe_ratio
 from loantide.operators import bi, bronze as B, catalog as C, cre, facilities as D, silver as S, validate as V
 from loantide.operators.panels import explode_embedding, pack_embedding, with_embeddings
 from loantide.plans.tape_load import load_tape
-from loantide.session import scratch_path
+from loantide.session import scratch_path, written
 from loantide.sources import deals, sinks, tapes
+from loantide.sources.snapshots import read_snapshot
 from loantide.streaming import tapes as stream
 from loantide.templates import TEMPLATES
 from verification.bindings import PANEL_SQL, panel, table
@@ -329,10 +330,48 @@ add("scd2_merge", lambda s, f: _history(s, f).select(*_HCOLS), _HIST_SQL + " SEL
 add("scd2_merge_same_batch_again", lambda s, f: B.scd2_merge(_history(s, f), _history_parts(s, f)[1], ["dl_code", "user_id"]).select(*_HCOLS), _HIST_SQL + " SELECT * FROM h")
 add("scd2_merge_late_batch", lambda s, f: (lambda a, b: B.scd2_merge(B.load_bronze(None, b, ["dl_code", "user_id"]), a, ["dl_code", "user_id"]))(*_history_parts(s, f))
     .where("iscurrent = 1").select("user_id", "event_type"), _HIST_SQL + " SELECT user_id, event_type FROM h WHERE iscurrent = 1")
-add("scd3_load_bronze_skip", lambda s, f: (lambda a, b: _count(B.load_bronze(B.load_bronze(None, a, ["dl_code", "user_id"]), a.unionByName(b).where("user_id % 2 = 0"),
-        ["dl_code", "user_id"], "skip"), "part"))(*_history_parts(s, f)),
-    _HIST_SQL + """, o AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY day) AS p2 FROM s WHERE day <= DATE '2024-01-15')
-SELECT dl_code || '_20241' AS part, count(*) AS n FROM o WHERE p2 IS NULL OR p2 <> event_type GROUP BY 1""")
+add("scd2_merge_late_batch_all_versions", lambda s, f: (lambda a, b: B.scd2_merge(B.load_bronze(None, b, ["dl_code", "user_id"]), a, ["dl_code", "user_id"]))(*_history_parts(s, f))
+    .select(*_HCOLS), _HIST_SQL + " SELECT * FROM h")
+
+
+def _interleaved(s, f):
+    """Three batches in which days alternate, the middle one last: every version is split and joined again."""
+    b = B.to_bronze(snapshots(s, f), ["dl_code", "user_id"], ["event_type"])
+    h = None
+    for i in (2, 0, 1):
+        h = B.load_bronze(h, b.where(F.pmod(F.dayofmonth("valid_from"), F.lit(3)) == i), ["dl_code", "user_id"])
+    return h.select(*_HCOLS)
+
+
+add("scd2_merge_any_order", _interleaved, _HIST_SQL + " SELECT * FROM h")
+
+
+def _corrected(s, f):
+    """Every day delivered twice: first all as one type, later as it was."""
+    keys, b = ["dl_code", "user_id"], snapshots(s, f)
+    first = B.to_bronze(b.withColumn("event_type", F.lit("draft")), keys, ["event_type"], recorded="2024-02-01")
+    h = B.load_bronze(B.load_bronze(None, first, keys), B.to_bronze(b, keys, ["event_type"], recorded="2024-03-01"), keys)
+    then = B.as_known(h, keys, "2024-02-15").select("user_id", F.lit("before").alias("known"), *_HCOLS[2:])
+    return then.unionByName(h.where("valid_to IS NULL OR valid_to > valid_from").select("user_id", F.lit("after").alias("known"), *_HCOLS[2:]))
+
+
+add("scd4_as_known", _corrected, _HIST_SQL + """ SELECT user_id, 'after' AS known, event_type, valid_from, valid_to, iscurrent FROM h UNION ALL
+SELECT user_id, 'before', 'draft', strftime(min(day), '%Y-%m-%d %H:%M:%S'), NULL, CAST(1 AS BIGINT) FROM s GROUP BY user_id""")
+
+
+def _skip_mode(s, f):
+    """All users; the second batch repeats the first deals and months and adds a month."""
+    b = B.to_bronze(snapshots(s, f), ["dl_code", "user_id"], ["event_type"])
+    later = B.to_bronze(snapshots(s, f).withColumn("pcd", F.date_format(F.date_add(F.col("pcd").cast("date"), 31), "yyyy-MM-dd")), ["dl_code", "user_id"], ["event_type"])
+    keys = ["dl_code", "user_id"]
+    return _count(B.load_bronze(B.load_bronze(B.load_bronze(None, b, keys), b, keys, "skip"), later.unionByName(b), keys, "skip"), "part")
+
+
+add("scd3_load_bronze_skip", _skip_mode, _HIST_SQL + """, l AS (SELECT dl_code, CAST(day + INTERVAL 31 DAY AS DATE) AS day FROM s),
+have AS (SELECT DISTINCT dl_code || '_' || CAST(year(day) AS VARCHAR) || CAST(month(day) AS VARCHAR) AS part FROM k),
+fresh AS (SELECT dl_code || '_' || CAST(year(day) AS VARCHAR) || CAST(month(day) AS VARCHAR) AS part FROM l)
+SELECT dl_code || '_' || CAST(year(day) AS VARCHAR) || CAST(month(day) AS VARCHAR) AS part, count(*) AS n FROM k GROUP BY 1
+UNION ALL SELECT part, count(*) AS n FROM fresh WHERE part NOT IN (SELECT part FROM have) GROUP BY 1""")
 add("scd4_as_of", lambda s, f: B.as_of(_history(s, f), "2024-01-10 12:00:00").select("user_id", "event_type"),
     _HIST_SQL + " SELECT user_id, event_type FROM k WHERE day <= DATE '2024-01-10' AND (nxt IS NULL OR nxt > DATE '2024-01-10')")
 add("src10_read_current", lambda s, f: _count(B.read_current(_history(s, f)), "event_type"), _HIST_SQL + " SELECT event_type, count(*) AS n FROM h WHERE iscurrent = 1 GROUP BY 1")
@@ -354,9 +393,56 @@ def _read_back(s, f):
 
 
 add("src1_read_tape", lambda s, f: _count(_read_back(s, f), "AS1", "AS8", "AS25"), TAPE_SQL + "SELECT AS1, AS8, AS25, count(*) AS n FROM tape GROUP BY ALL")
-add("src6_column_cap", lambda s, f: (lambda d: _count(d.select(F.lit(len(d.columns)).cast("long").alias("n_columns"), "AS2"), "n_columns", "AS2"))(
-        tapes.finish_tape(tape(s, f).select(*TAPE_FIELDS), TAPE_FIELDS, None, ragged="mark", max_cols=10)),
-    TAPE_SQL + "SELECT CAST(10 AS BIGINT) AS n_columns, AS2, count(*) AS n FROM tape GROUP BY ALL")
+def _limited(s, f):
+    """Ten columns of the tape as fields, the others as values of the surplus."""
+    d = tapes.finish_tape(tape(s, f).select(*TAPE_FIELDS), TAPE_FIELDS, None, ragged="mark", max_cols=10)
+    kept = d.select(F.lit("kept").alias("side"), F.explode(F.array(*[F.lit(c) for c in d.columns if c != V.SURPLUS])).alias("field"))
+    return _count(kept, "side", "field").unionByName(tapes.surplus_fields(d).select(F.lit("surplus").alias("side"), "field", "n"))
+
+
+add("src6_column_cap", _limited, TAPE_SQL + " SELECT * FROM (" + " UNION ALL ".join(
+    [f"SELECT 'kept' AS side, '{c}' AS field, count(*) AS n FROM tape" for c in TAPE_FIELDS[:10]]
+    + [f"SELECT 'surplus' AS side, '{c}' AS field, count({c}) AS n FROM tape" for c in TAPE_FIELDS[10:]]) + ") WHERE n > 0")
+
+
+def _mixed_headers(s, f):
+    """Two tapes: one with the fields in reverse order and an unknown one."""
+    folder, t = scratch_path(s, "mixed"), _fixed_dates(tape(s, f)).select(*TAPE_FIELDS)
+    k = F.substring("AS2", 5, 1).cast("int") % 2
+    t.where(k == 0).coalesce(2).write.option("header", True).option("emptyValue", "").csv(folder)
+    t.where(k == 1).withColumn("XX1", F.lit("x")).select("XX1", *reversed(TAPE_FIELDS)).coalesce(2).write.mode("append").option("header", True).option("emptyValue", "").csv(folder)
+    return tapes.read_tape(s, folder, file_keys=False)
+
+
+def _per_file(s, f):
+    v = V.validate(_mixed_headers(s, f), SME.rules, AS_OF)
+    unknown = F.exists("qc_errors", lambda e: e["reason"] == "unknown_field")
+    return _count(v.select("AS2", "AS25", unknown.alias("unknown"), F.size("qc_errors").alias("n_errors")), "AS2", "AS25", "unknown", "n_errors")
+
+
+add("src1_mixed_headers", _per_file, TAPE_SQL + f""" SELECT AS2, AS25, CAST(substr(AS2, 5, 1) AS INTEGER) % 2 = 1 AS unknown,
+  CAST({_ERR_N} + CAST(substr(AS2, 5, 1) AS INTEGER) % 2 AS BIGINT) AS n_errors, count(*) AS n FROM tape GROUP BY ALL""")
+
+
+def _failing_files(s, f):
+    """A tape in compressed files beside an empty file and copies of which the end is cut off."""
+    folder = scratch_path(s, "failing")
+    tape(s, f).select(*TAPE_FIELDS[:5]).repartition(3).write.option("header", True).option("compression", "gzip").csv(folder)
+    whole = s.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    where = s._jvm.org.apache.hadoop.fs.Path
+    store = where(folder).getFileSystem(s._jsparkSession.sessionState().newHadoopConf())
+    for r in whole.select("path", F.expr("substring(content, 1, CAST(length / 2 AS INT))").alias("half")).collect():
+        out = store.create(where(f"{folder}/cut-{r['path'].rsplit('/', 1)[-1]}"))
+        out.write(bytearray(r["half"]))
+        out.close()
+    store.create(where(f"{folder}/empty.csv")).close()
+    v = V.validate(tapes.read_tape(s, folder, file_keys=False), {c: SME.rules[c] for c in TAPE_FIELDS[:5]}, AS_OF)
+    kind = F.when(F.startswith("filename", F.lit("cut-")), "cut").when(F.col("filename") == "empty.csv", "empty").otherwise("whole")
+    return _count(v.select(kind.alias("kind"), F.try_element_at(F.filter("qc_errors", lambda e: e["field"] == "file"), F.lit(1))["reason"].alias("reason")), "kind", "reason")
+
+
+add("val5_file_failures", _failing_files, """SELECT 'whole' AS kind, CAST(NULL AS VARCHAR) AS reason, count(*) AS n FROM lineitem
+UNION ALL SELECT 'cut', 'unreadable_file', CAST(3 AS BIGINT) UNION ALL SELECT 'empty', 'empty_file', CAST(1 AS BIGINT)""")
 _FILES_SQL = """WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'bad' ELSE 'DEAL' || CAST(o_custkey % 5 AS VARCHAR) || '_' || strftime(o_orderdate, '%Y_%m_%d') END
   || '_loans' || CASE WHEN o_orderkey % 7 = 0 THEN '_Labeled0M' ELSE '' END || '.csv' AS filename FROM orders)"""
 
@@ -441,7 +527,7 @@ def _merged_bronze(s, f):
     path = scratch_path(s, "history")
     for part in _history_parts(s, f):
         sinks.merge_bronze(part, path, ["user_id"])
-    return s.read.parquet(path).select(*_HCOLS)
+    return tapes.read_bronze(s, path).select(*_HCOLS)
 
 
 add("snk2_merge_bronze_table", _merged_bronze, _HIST_SQL + " SELECT * FROM h")
@@ -506,7 +592,7 @@ add("set3_concatenate_cutoffs", _two_panels, PANEL_SQL + "SELECT CAST(reporting_
 def _loaded(s, f):
     target = scratch_path(s, "load")
     load_tape(_fixed_dates(tape(s, f)), SME, target, AS_OF)
-    silver = s.read.parquet(f"{target}/silver/loan_info")
+    silver = read_snapshot(s, f"{target}/silver/loan_info")
     return silver.groupBy("dl_code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("AS3").alias("n_loans"))
 
 
@@ -514,6 +600,25 @@ _LOAD_SQL = TAPE_SQL + f""", good AS (SELECT * FROM tape WHERE {_ERR_N} = 0)
 SELECT dl_code, count(DISTINCT AS3) AS n_loans FROM good GROUP BY 1"""
 add("flow_load_tape", lambda s, f: _loaded(s, f).drop("n"), _LOAD_SQL)
 
+
+def _reloaded(s, f):
+    """A tape with errors, then the corrected tape of two of its deals, then one without deal and date."""
+    target = scratch_path(s, "reload")
+    first = _fixed_dates(tape(s, f)).withColumn("filename", F.concat("dl_code", F.lit(".csv")))
+    mended = first.where("dl_code IN ('DEAL1', 'DEAL2')").withColumn("AS16", F.lit("1000AA")).withColumn("AS27", F.lit("1"))
+    nameless = first.where("dl_code = 'DEAL3'").select(F.lit(None).cast("string").alias("dl_code"), F.lit(None).cast("string").alias("pcd"), *TAPE_FIELDS, F.lit("other.csv").alias("filename"))
+    for t in (first, mended, nameless):
+        good, bad = V.split_clean_dirty(written(V.validate(t, SME.rules, AS_OF), "annotated"))
+        sinks.write_quarantine(good, bad, target)
+    side = lambda x: sinks.read_quarantine(s, target, x).select(F.lit(x).alias("side"), "filename")
+    return _count(side("clean").unionByName(side("dirty")), "side", "filename")
+
+
+_ERR_MENDED = " + ".join(f"coalesce(CAST({c} AS INTEGER), 0)" for a, _, c in _ROW_ERRORS if a not in ("AS16", "AS27"))
+add("snk4_reload", _reloaded, TAPE_SQL + f""", r AS (SELECT dl_code || '.csv' AS filename, CASE WHEN dl_code IN ('DEAL1', 'DEAL2') THEN {_ERR_MENDED} ELSE {_ERR_N} END AS e FROM tape
+  UNION ALL SELECT 'other.csv', {_ERR_N} FROM tape WHERE dl_code = 'DEAL3')
+SELECT CASE WHEN e = 0 THEN 'clean' ELSE 'dirty' END AS side, filename, count(*) AS n FROM r GROUP BY ALL""")
+
 # ---- facilities ----------------------------------------------------------------------------------
 _FAC = {
     "gross_revenue_eur": "sum(l_extendedprice)", "energy_cost_eur": "sum(l_extendedprice * l_discount)",
@@ -807,7 +912,21 @@ def _streamed_bronze(s, f):
     folder, path = _stream_source(s, f, True), scratch_path(s, "stream-bronze")
     src = stream.stream_tapes(s, folder, [*_EV, "dl_code"], max_files=1, file_keys=False).withColumnRenamed("day", "pcd").drop("filename")
     stream.stream_bronze(src.withColumn("user_id", F.col("user_id").cast("long")), path, ["dl_code", "user_id"], scratch_path(s, "stream-checkpoint"), ["event_type"])
-    return s.read.parquet(path).where("iscurrent = 1").select("user_id", "event_type")
+    return tapes.read_bronze(s, path).where("valid_to IS NULL OR valid_to > valid_from").select(*_HCOLS)
+
+
+add("str2_stream_bronze", _streamed_bronze, _HIST_SQL + " SELECT * FROM h")
+
+
+def _streamed_mixed(s, f):
+    """Events as files that arrive with their fields in two orders."""
+    folder, out = scratch_path(s, "arriving"), scratch_path(s, "streamed")
+    e = table(s, f, "events").select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    for i, cols in enumerate((["user_id", "event_type", "day"], ["day", "user_id", "event_type"])):
+        e.where(F.pmod("user_id", F.lit(2)) == i).select(*cols).coalesce(2).write.mode("append").option("header", True).csv(folder)
+    keep = lambda df, _: df.select("user_id", "event_type", "day").write.mode("append").parquet(out)
+    stream.stream_tape_files(s, folder, keep, scratch_path(s, "checkpoint"), max_files=2, file_keys=False)
+    return _count(s.read.parquet(out), "day", "event_type")
 
 
-add("str2_stream_bronze", _streamed_bronze, _HIST_SQL + " SELECT user_id, event_type FROM h WHERE iscurrent = 1")
+add("str1_stream_mixed_headers", _streamed_mixed, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
