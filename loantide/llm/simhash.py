@@ -2,9 +2,10 @@
 
 Fingerprints of 64 bits are mapped to 32 counts of set bits, one per two-bit segment. The Manhattan distance of two
 count vectors never exceeds the Hamming distance of the fingerprints. The grid divides the 32 counts into
-``GROUPS`` runs; within a Manhattan distance of ``d`` at least ``GROUPS - d`` runs are equal, so two fingerprints
-within reach share a cell of at least one choice of ``GROUPS - d`` runs. Cells are joined, the Manhattan distance
-of the whole vectors filters, and the Hamming distance decides.
+``g`` runs; within a Manhattan distance of ``d`` at least ``g - d`` runs are equal, so two fingerprints
+within reach share a cell of at least one choice of ``g - d`` runs. Cells are joined, the Manhattan distance
+of the whole vectors filters, and the Hamming distance decides. More runs make more and finer cells: ``runs_for`` takes as
+many as the number of distinct fingerprints needs for unrelated ones to meet rarely, so the joins grow with the rows.
 
 A cell never emits all its pairs. First every member is checked against the cell's smallest fingerprint, and the
 links found are contracted to components. Then only cells that still hold several components are looked at, and in
@@ -33,7 +34,9 @@ from loantide.session import written
 
 SHINGLE = 4
 MAX_BITS = 4
-GROUPS = 7
+LEAST_RUNS, MOST_RUNS = 8, 16
+#: Entropy of the number of set bits among two random ones.
+COUNT_BITS = 1.5
 SEED = 42
 #: Row b: the eight bits of byte value b, lowest first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -83,6 +86,15 @@ def _manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(unary(a).bitwiseXOR(unary(b)))
 
 
+def runs_for(prints: int, max_bits: int = MAX_BITS) -> int:
+    """The fewest runs with which few cells (at most about a quarter) hold unrelated fingerprints: cells grow in number with
+    the runs, and unrelated pairs with the square of the fingerprints."""
+    for g in range(max(LEAST_RUNS, max_bits + 1), MOST_RUNS):
+        if 4 * prints <= 2 ** (COUNT_BITS * 32 * (g - max_bits) / g):
+            return g
+    return MOST_RUNS
+
+
 def _grid(max_bits: int, groups: int) -> list[int]:
     """Masks over the packed counts: each keeps one choice of ``groups - max_bits`` runs of segments."""
     cuts = [32 * i // groups for i in range(groups + 1)]
@@ -108,9 +120,9 @@ def _near(a: str, b: str, max_bits: int) -> Column:
     return bound & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= max_bits)
 
 
-def link(prints: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> DataFrame:
+def link(prints: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None) -> DataFrame:
     """``node, component`` over ``prints`` (``fp`` distinct, ``node`` its long label); nodes alone are not returned."""
-    grid = cells(prints, max_bits, groups)
+    grid = cells(prints, max_bits, runs_for(prints.count(), max_bits) if groups is None else groups)
     # cells with one member take no part
     heads = grid.groupBy("grid", "cell").agg(F.min(F.struct("node", "fp", "counts")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heads = heads.select("grid", "cell", F.col("head.node").alias("head_node"), F.col("head.fp").alias("head_fp"), F.col("head.counts").alias("head_counts"))
@@ -133,7 +145,7 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> D
     return components(first.unionByName(second))
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int = GROUPS) -> DataFrame:
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None) -> DataFrame:
     """``doc_id, key, fp, c, component_id`` of every row: ``c`` labels its component over links of at most ``max_bits`` by a
     fingerprint, ``component_id`` by the smallest doc_id in it (null without one; components that repeat an id share it)."""
     rows = written(fingerprints(docs), "fingerprints")
