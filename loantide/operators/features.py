@@ -6,13 +6,13 @@ implementations of the same methods.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loantide.functions.nulls import fill_missing
 from loantide.operators.history import DATE
@@ -37,14 +37,36 @@ TARGET = "default_in_3m"
 LAST_TRAIN_YEAR = 2024
 
 
+def label_ids(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``column, label, id``: the alphabetical place of each label of each column, from 0; null is a label of its own.
+
+    No column is gathered: the distinct labels are cut into sorted ranges, and the sizes of a column's earlier ranges (a row
+    for each range and column) give a range its offset.
+    """
+    spark = df.sparkSession
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(NULL_LABEL)).alias("label")) for c in cols])).alias("x")
+    labels = df.select(pairs).select("x.*").distinct()
+    ranges = labels.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "column", "label").sortWithinPartitions("column", "label")
+    # the number holds the range above bit 33 and the place in it below; written, so that later reads agree
+    placed = written(ranges.withColumn("at", F.monotonically_increasing_id()), "labels").withColumn("part", F.shiftright("at", 33))
+    sizes = placed.groupBy("column", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("column", "part", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(offsets, ["column", "part"]).select("column", "label", (F.col("at") - F.col("first") + F.col("before")).alias("id"))
+
+
 def encode_categoricals(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Alphabetical label ids in place of text; null is a label of its own (FEA2)."""
+    """Alphabetical label ids in place of text; null is a label of its own (FEA2).
+
+    The dictionary is a table, joined column by column: Spark broadcasts a small one and shuffles a large one.
+    """
     present = [c for c in cols if c in df.columns]
-    filled = df.select(*[F.coalesce(F.col(c), F.lit(NULL_LABEL)).alias(c) if c in present else F.col(c) for c in df.columns])
-    out = [f"_{c}_id" for c in present]
-    model = StringIndexer(inputCols=present, outputCols=out, stringOrderType="alphabetAsc", handleInvalid="keep").fit(filled)
-    indexed = model.transform(filled)
-    return indexed.select(*[F.col(f"_{c}_id").cast("int").alias(c) if c in present else F.col(c) for c in df.columns])
+    ids = written(label_ids(df, present), "dictionary") if present else None
+    out = df
+    for c in present:
+        mine = ids.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("id").cast("int").alias("_id"))
+        out = out.join(mine, F.coalesce(out[c].cast("string"), F.lit(NULL_LABEL)) == F.col("_label"), "left").drop(c, "_label").withColumnRenamed("_id", c)
+    return out.select(*df.columns)
 
 
 def standardise(train: DataFrame, df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -64,15 +86,15 @@ def assemble(df: DataFrame, cols: Sequence[str], name: str = "features") -> Data
     return VectorAssembler(inputCols=list(cols), outputCol=name, handleInvalid="keep").transform(fill_missing(df, list(cols)))
 
 
-def time_split(df: DataFrame, last_train_year: int = LAST_TRAIN_YEAR, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Train up to a year and test after it; without later rows, the latest dates are the test set (SEQ10)."""
-    any_later = df.agg(F.max(F.col("obs_year") > last_train_year)).scalar()
+def time_split(df: DataFrame, last_train_year: int | None = LAST_TRAIN_YEAR, fraction: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Train up to a year and test after it; with ``last_train_year`` None the latest dates, beyond ``fraction`` of the rows, are the test set (SEQ10)."""
+    if last_train_year is not None:
+        late = F.coalesce(F.col("obs_year") > last_train_year, F.lit(False))
+        return df.where(~late), df.where(late)
     # the first date whose rows reach beyond the fraction, over one row per date
     day = F.datediff(F.col(DATE), F.lit("1970-01-01").cast("date"))
     threshold = df.agg(F.percentile(day, F.lit(fraction))).scalar()
-    marked = df.withColumn("_later", any_later).withColumn("_threshold", threshold)
-    late = F.when(F.col("_later"), F.col("obs_year") > last_train_year).otherwise(day > F.col("_threshold"))
-    split = marked.withColumn("_late", late).drop("_later", "_threshold")
+    split = df.withColumn("_late", F.coalesce(day > threshold, F.lit(False)))
     return split.where("NOT _late").drop("_late"), split.where("_late").drop("_late")
 
 
@@ -110,13 +132,36 @@ def fit_mlp(train: DataFrame, width: int, iterations: int = 100, seed: int = 42)
     ).fit(train)
 
 
+PLATT_STEPS = 12
+
+
+def fit_platt(df: DataFrame, label: str = "label", score: str = "score", steps: int = PLATT_STEPS) -> tuple[float, float]:
+    """Slope and intercept of the sigmoid that maps scores to probabilities (MDL3).
+
+    Newton steps of a fixed number over sums in built-in functions: the driver gets five numbers a step. The rows are
+    first counted by score and label. The targets are smoothed, (N+1)/(N+2) for positives and 1/(N+2) for negatives, so that
+    separable scores have a finite fit.
+    """
+    counts = written(df.groupBy(F.col(score).cast("double").alias("s"), (F.col(label) == 1).alias("y")).agg(F.count(F.lit(1)).alias("n")), "score-counts")
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("y"), F.col("n"))), F.lit(0)).alias("p"), F.coalesce(F.sum(F.when(~F.col("y"), F.col("n"))), F.lit(0)).alias("q")).first()
+    target = F.when(F.col("y"), (total["p"] + 1.0) / (total["p"] + 2.0)).otherwise(1.0 / (total["q"] + 2.0))
+    a, b = 0.0, math.log((total["p"] + 1.0) / (total["q"] + 1.0))
+    for _ in range(steps):
+        p = 1.0 / (1.0 + F.exp(-(F.lit(a) * F.col("s") + F.lit(b))))
+        gap, bend = F.col("n") * (target - p), F.col("n") * p * (1.0 - p)
+        r = counts.agg(*[F.coalesce(F.sum(x), F.lit(0.0)).alias(k) for k, x in (("ga", gap * F.col("s")), ("gb", gap), ("haa", bend * F.col("s") * F.col("s")), ("hab", bend * F.col("s")), ("hbb", bend))]).first()
+        det = r["haa"] * r["hbb"] - r["hab"] * r["hab"]
+        if det <= 1e-12 * max(r["haa"] * r["hbb"], 1e-300):  # one score only, or saturated: the intercept alone
+            a, b = a, b + (r["gb"] / r["hbb"] if r["hbb"] > 1e-12 else 0.0)
+        else:
+            a, b = a + (r["ga"] * r["hbb"] - r["gb"] * r["hab"]) / det, b + (r["gb"] * r["haa"] - r["ga"] * r["hab"]) / det
+    return a, b
+
+
 def calibrate(held_out: DataFrame, scored: DataFrame) -> DataFrame:
     """Sigmoid calibration of ``score``, fitted on rows that neither trained nor test the model (MDL3)."""
-    line = Pipeline(stages=[
-        VectorAssembler(inputCols=["score"], outputCol="_score"),
-        LogisticRegression(labelCol="label", featuresCol="_score", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r"),
-    ]).fit(held_out.select("label", "score"))
-    return line.transform(scored).withColumn("score", vector_to_array("_p")[1]).drop("_score", "_p", "_y", "_r")
+    a, b = fit_platt(held_out)
+    return scored.withColumn("score", 1.0 / (1.0 + F.exp(-(F.lit(a) * F.col("score") + F.lit(b)))))
 
 
 def score(model, df: DataFrame) -> DataFrame:

@@ -146,9 +146,10 @@ def capture_rate(df: DataFrame, label: str = "label", score: str = "score", perc
 def horizon_curve(
     df: DataFrame, label: str = "label", score: str = "score", months: str = "months_to_default", horizons: int = 6
 ) -> DataFrame:
-    """Average precision of each lead time against all negatives (MET9).
+    """Average precision of each lead time against all negatives, with its rows and positives (MET9).
 
-    Counts per score come before the horizons are multiplied out. Few rows or no positives give 0.
+    Counts per score come before the horizons are multiplied out. Without positives there is no value; ``enough`` says
+    whether more than 10 rows and a positive stand behind it.
     """
     h = F.sequence(F.lit(1), F.lit(horizons))
     m = F.col(months)
@@ -168,19 +169,21 @@ def horizon_curve(
     per_horizon = _ranked(counts, ["horizon"]).groupBy("horizon").agg(
         *_rank_aggs()[2:3], (F.max("pos_total") + F.max("neg_total")).alias("n"), F.max("pos_total").alias("p")
     )
-    value = F.when((F.col("n") > 10) & (F.col("p") > 0), F.col("avg_precision")).otherwise(0.0)
     every = df.sparkSession.range(1).select(F.explode(h).alias("horizon"))
-    return every.join(per_horizon, "horizon", "left").select(
-        "horizon", F.coalesce(value, F.lit(0.0)).alias("pr_auc")
-    )
+    return every.join(per_horizon, "horizon", "left").select("horizon", *_with_counts(10))
+
+
+def _with_counts(least: int) -> list[Column]:
+    n, p = F.coalesce("n", F.lit(0)), F.coalesce("p", F.lit(0))
+    return [F.when(p > 0, F.col("avg_precision")).alias("pr_auc"), n.alias("n"), p.alias("n_positive"), ((n > least) & (p > 0)).alias("enough")]
 
 
 def slice_metric(df: DataFrame, by: str, label: str = "label", score: str = "score", min_rows: int = 50) -> DataFrame:
-    """Average precision per slice with more than ``min_rows`` rows and a positive (MET10)."""
+    """Average precision of every slice, with its rows and positives; ``enough``: more than ``min_rows`` rows and a positive (MET10)."""
     out = _ranked(by_score(df, label, score, [by]), [by]).groupBy(by).agg(
         _rank_aggs()[2], (F.max("pos_total") + F.max("neg_total")).alias("n"), F.max("pos_total").alias("p")
     )
-    return out.where((F.col("n") > min_rows) & (F.col("p") > 0)).select(by, F.col("avg_precision").alias("pr_auc"))
+    return out.select(by, *_with_counts(min_rows))
 
 
 def token_accuracy(df: DataFrame, label: str = "label", ranked: str = "top3", loss: str = "loss") -> DataFrame:

@@ -84,10 +84,10 @@ def encode_steps(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
 
 
 def build_sequences(dynamic: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
-    """One row per loan (SEQ5).
+    """One row per loan and ``window`` of 24 consecutive steps, counted from 0 (SEQ5).
 
-    Only the first 24 steps enter the collected array, so its size is fixed; the final
-    state, flags and years are aggregates over the whole history.
+    A longer history has further windows, so no month is lost and every array has a fixed size; the final
+    state, flags and years are those of the loan's whole history, in each of its windows. One partitioning by loan serves all.
     """
     w = by_loan()
     prev = F.lag("arrears_bucket").over(w)
@@ -97,24 +97,28 @@ def build_sequences(dynamic: DataFrame, edges: dict[str, list[float]]) -> DataFr
         F.row_number().over(w).alias("_t"),
         F.coalesce(cured, F.lit(False)).alias("_cured"),
     )
-    kept = F.sort_array(F.collect_list(F.when(F.col("_t") <= MAX_STEPS, F.struct("_t", "step", "event"))))
-    loans = steps.groupBy(KEY).agg(
-        kept.alias("_steps"),
-        F.max_by("event", "_t").alias("final_state"),
-        F.max("_cured").alias("had_cure"),
-        F.coalesce(F.max("default_crr_flag"), F.lit(False)).alias("had_default"),
-        F.min(F.year(DATE)).alias("obs_year_min"),
-        F.max(F.year(DATE)).alias("obs_year_max"),
+    parts = steps.groupBy(KEY, F.floor((F.col("_t") - 1) / MAX_STEPS).cast("int").alias("window")).agg(
+        F.sort_array(F.collect_list(F.struct("_t", "step", "event"))).alias("_steps"),
+        F.max(F.struct("_t", "event")).alias("_last"),
+        F.max("_cured").alias("_cured"),
+        F.coalesce(F.max("default_crr_flag"), F.lit(False)).alias("_default"),
+        F.min(F.year(DATE)).alias("_first_year"),
+        F.max(F.year(DATE)).alias("_last_year"),
     )
+    loan = Window.partitionBy(KEY)
     n = F.size("_steps")
     tokens = F.concat(
         F.flatten(F.transform("_steps", lambda s: s["step"])),
         F.array_repeat(F.lit(PAD), (F.lit(MAX_STEPS) - n) * STEP_WIDTH),
     )
-    return loans.select(
-        KEY, tokens.alias("seq_tokens"), n.alias("seq_len"),
+    return parts.select(
+        KEY, "window", tokens.alias("seq_tokens"), n.alias("seq_len"),
         F.transform("_steps", lambda s: s["event"]).alias("event_seq"),
-        "final_state", "had_cure", "had_default", "obs_year_min", "obs_year_max",
+        F.max("_last").over(loan)["event"].alias("final_state"),
+        F.max("_cured").over(loan).alias("had_cure"),
+        F.max("_default").over(loan).alias("had_default"),
+        F.min("_first_year").over(loan).alias("obs_year_min"),
+        F.max("_last_year").over(loan).alias("obs_year_max"),
     )
 
 
@@ -143,7 +147,7 @@ def attention_mask(seq: DataFrame) -> DataFrame:
 
 
 def next_event(seq: DataFrame) -> DataFrame:
-    """Target of each step: the event one step later, ignored at the end (WIN12)."""
+    """Target of each step: the event one step later, ignored at the end of a window (WIN12)."""
     target = F.transform(
         _positions(),
         lambda i: F.when(i < F.least(F.col("seq_len"), F.lit(MAX_STEPS)) - 1, _event_at(F.least(i + 1, F.lit(MAX_STEPS - 1)))).otherwise(IGNORE),
@@ -151,9 +155,14 @@ def next_event(seq: DataFrame) -> DataFrame:
     return seq.withColumn("targets", target)
 
 
+def _draw(seed: int, *unit: Column) -> Column:
+    """A fixed pseudo-random number of 32 bits per loan and unit, from an MD5: the same on every run, partitioning and engine."""
+    text = F.concat_ws(":", F.col(KEY), *[u.cast("bigint") for u in unit], F.lit(seed))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
 def _drawn(seed: int, unit: Column) -> Column:
-    """A fixed pseudo-random choice per loan and unit: the same on every run and partitioning."""
-    return F.pmod(F.xxhash64(F.col(KEY), unit.cast("int"), F.lit(seed)), F.lit(100)) < MASK_PERCENT
+    return F.pmod(_draw(seed, F.col("window"), unit), F.lit(100)) < MASK_PERCENT
 
 
 def _with_masked(seq: DataFrame, chosen) -> DataFrame:
@@ -179,15 +188,21 @@ def mask_patches(seq: DataFrame, size: int = 4, seed: int = 42) -> DataFrame:
     )
 
 
-def oot_split(seq: DataFrame, year: int = 2024, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Out-of-time split; a seeded 80/20 split by loan when no later loans exist (SEQ9)."""
-    later = F.col("obs_year_min") > year
-    any_later = F.coalesce(seq.agg(F.max(later)).scalar(), F.lit(False))
-    in_80 = F.pmod(F.xxhash64(F.col(KEY), F.lit(seed)), F.lit(1000)) < 800
-    marked = seq.withColumn("_any_later", any_later)
-    train = marked.where(F.when(F.col("_any_later"), F.col("obs_year_max") <= year).otherwise(in_80))
-    test = marked.where(F.when(F.col("_any_later"), later).otherwise(~in_80))
-    return train.drop("_any_later"), test.drop("_any_later")
+def oot_parts(seq: DataFrame, year: int = 2024) -> DataFrame:
+    """``part`` by time (SEQ9): ``train`` ends by the year, ``test`` begins after it, ``straddling`` loans have both sides."""
+    part = F.when(F.col("obs_year_max") <= year, "train").when(F.col("obs_year_min") > year, "test").otherwise("straddling")
+    return seq.withColumn("part", part)
+
+
+def share_parts(seq: DataFrame, percent: int = 80, seed: int = 42) -> DataFrame:
+    """``part`` by loan: about ``percent`` of a hundred loans train, the others test; for data without later loans (SEQ9)."""
+    return seq.withColumn("part", F.when(F.pmod(_draw(seed), F.lit(100)) < percent, "train").otherwise("test"))
+
+
+def oot_split(seq: DataFrame, year: int | None = 2024, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test sequences (SEQ9): by ``year``, without the loans that straddle it, or by loan if ``year`` is None."""
+    parts = share_parts(seq, seed=seed) if year is None else oot_parts(seq, year)
+    return tuple(parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
 
 
 def transition_matrix(df: DataFrame) -> DataFrame:
@@ -217,12 +232,14 @@ def event_frequency(df: DataFrame) -> DataFrame:
 
 
 def sequence_stats(seq: DataFrame) -> DataFrame:
-    """Counts, rates and lengths of the built sequences (AGG25)."""
-    pct = lambda c: F.round(100.0 * F.count_if(c) / F.count(F.lit(1)), 3)
+    """Counts and rates over the loans, lengths over their windows (AGG25)."""
+    first = F.col("window") == 0
+    pct = lambda c: F.round(100.0 * F.count_if(first & c) / F.count_if(first), 3)
     return seq.agg(
-        F.count(F.lit(1)).alias("total_loans"),
-        F.count_if("had_cure").alias("total_cures"),
-        F.count_if("had_default").alias("total_defaults"),
+        F.count_if(first).alias("total_loans"),
+        F.count(F.lit(1)).alias("total_windows"),
+        F.count_if(first & F.col("had_cure")).alias("total_cures"),
+        F.count_if(first & F.col("had_default")).alias("total_defaults"),
         pct(F.col("had_cure")).alias("cure_rate_pct"),
         pct(F.col("had_default")).alias("default_rate_pct"),
         F.round(F.avg("seq_len"), 2).alias("avg_seq_len"),
@@ -232,4 +249,4 @@ def sequence_stats(seq: DataFrame) -> DataFrame:
 
 
 def length_histogram(seq: DataFrame) -> DataFrame:
-    return seq.groupBy("seq_len").agg(F.count(F.lit(1)).alias("n_loans"))
+    return seq.groupBy("seq_len").agg(F.count(F.lit(1)).alias("n_windows"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loantide.functions.states import ARREARS_STATES
-from loantide.operators import history as H, metrics as M, ranking as R, sequences as S
+from loantide.operators import features as X, history as H, metrics as M, ranking as R, sequences as S
 from loantide.operators.portfolio import distribution, top_share
 
 RNG = random.Random(7)
@@ -75,22 +75,46 @@ def test_sequences(panel, rows):
     assert np.allclose(edges["CLTV"], sorted(set(np.percentile([r[3] for r in rows if 0 < r[3] < 200], range(0, 101, 10)))))
     assert len(edges["DPD"]) == 2 and len(S.VOCAB) == 53
     assert [S.VOCAB[f"{f}_Q0"] for f in S.FEATURES] == [13, 23, 33, 43]
-    seqs = {r.loan_id: r for r in S.next_event(S.mask_events(S.attention_mask(S.build_sequences(panel, edges)))).collect()}
+    seqs = {(r.loan_id, r.window): r for r in S.next_event(S.mask_events(S.attention_mask(S.build_sequences(panel, edges)))).collect()}
+    n_windows = 0
     for loan in {r[0] for r in rows}:
         mine = sorted(x for x in rows if x[0] == loan)
-        s = seqs[loan]
-        n = min(len(mine), 24)
-        events = [S.EVENT_TOKENS[ARREARS_STATES.index(r[2])] for r in mine]
-        assert len(s.seq_tokens) == 120 and s.seq_len == n and list(s.event_seq) == events[:24]
-        assert s.final_state == events[-1] and s.had_default == any(r[6] for r in mine)
-        assert list(s.seq_tokens[n * 5:]) == [0] * (120 - n * 5) and sum(s.attention_mask) == n
-        if mine[0][4] is None:
-            assert s.seq_tokens[2] == S.UNK
-        assert list(s.targets) == [S.VOCAB[e] for e in events[1:n]] + [-100] * (24 - n + 1)
-        for i, label in enumerate(s.labels):
-            masked = label != -100
-            assert s.input_ids[i * 5] == (S.MASK if masked else s.seq_tokens[i * 5])
-            assert not masked or (i < n and label == s.seq_tokens[i * 5])
+        every = [S.EVENT_TOKENS[ARREARS_STATES.index(r[2])] for r in mine]
+        for k in range(0, len(mine), 24):
+            s, part, events = seqs[(loan, k // 24)], mine[k : k + 24], every[k : k + 24]
+            n, n_windows = len(part), n_windows + 1
+            assert len(s.seq_tokens) == 120 and s.seq_len == n and list(s.event_seq) == events
+            assert s.final_state == every[-1] and s.had_default == any(r[6] for r in mine)
+            assert list(s.seq_tokens[n * 5:]) == [0] * (120 - n * 5) and sum(s.attention_mask) == n
+            if part[0][4] is None:
+                assert s.seq_tokens[2] == S.UNK
+            assert list(s.targets) == [S.VOCAB[e] for e in events[1:]] + [-100] * (24 - n + 1)
+            for i, label in enumerate(s.labels):
+                masked = label != -100
+                assert s.input_ids[i * 5] == (S.MASK if masked else s.seq_tokens[i * 5])
+                assert not masked or (i < n and label == s.seq_tokens[i * 5])
+    assert n_windows == len(seqs)
+
+
+def test_label_ids_and_encoding(spark):
+    labels = [f"l{i * 7919 % 5000}" for i in range(5000)] + [None]
+    df = spark.createDataFrame([(i, x, "ab"[i % 2]) for i, x in enumerate(labels)], "id int, c string, d string").repartition(6)
+    got = {r["id"]: (r["c"], r["d"]) for r in X.encode_categoricals(df, ["c", "d", "absent"]).collect()}
+    order = {x: i for i, x in enumerate(sorted({x or X.NULL_LABEL for x in labels}))}
+    assert got == {i: (order[x or X.NULL_LABEL], i % 2) for i, x in enumerate(labels)}
+
+
+def test_platt_fit(spark):
+    rng = np.random.default_rng(1)
+    s = np.round(rng.normal(size=3000), 2)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(1.7 * s - 0.6)))).astype(int)
+    frame = lambda s, y: spark.createDataFrame(list(zip(map(int, y), map(float, s))), "label int, score double")
+    a, b = X.fit_platt(frame(s, y))
+    t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    p = 1 / (1 + np.exp(-(a * s + b)))
+    assert abs(((t - p) * s).sum()) < 1e-6 and abs((t - p).sum()) < 1e-6 and abs(a - 1.7) < 0.3
+    assert all(np.isfinite(X.fit_platt(frame([0.0, 1.0] * 20, [0, 1] * 20))))  # separable
+    assert X.fit_platt(frame([0.5] * 10, [0, 1] * 5))[0] == 0.0  # one score
 
 
 def test_transition_rows_sum_to_one_or_zero(panel):

@@ -159,20 +159,17 @@ SELECT count(*) FILTER (WHERE default_in_3m = 1) AS positives, count(*) FILTER (
 
 
 def _orphans(spark, sf):
+    """Line items against all orders; those of line 7 point to orders that do not exist."""
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("loan_id"))
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("loan_id"), "l_linenumber")
-    early = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("loan_id"))
-    missing = G.orphans(lines, early)
-    none = G.orphans(lines, orders)
-    return plain(missing.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n")).unionByName(
-        none.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))))
+    key = F.when(F.col("l_linenumber") == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey"))
+    lines = table(spark, sf, "lineitem").select(key.alias("loan_id"), "l_linenumber")
+    return plain(G.orphans(lines, orders).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n")))
 
 
 QUERIES["jon2_orphans"] = _orphans
 ORACLE["jon2_orphans"] = """
-SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem
-LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'P') ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL GROUP BY 1
-UNION ALL SELECT CAST(l_linenumber AS BIGINT), count(*) FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey IS NULL GROUP BY 1"""
+SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM (SELECT l_linenumber, CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS k FROM lineitem)
+LEFT JOIN orders ON k = o_orderkey WHERE o_orderkey IS NULL GROUP BY 1"""
 
 EXPECT = K.PanelExpectation(originator="Originator A", servicer="Servicer A", n_cutoffs=80)
 _LATE = "('1-29 DPD', '30-59 DPD', '60-89 DPD', '90+ DPD', 'Defaulted')"
@@ -294,17 +291,18 @@ SELECT count(*) AS n_rows, CAST(min(reporting_date) AS VARCHAR) AS first_date, C
 
 
 def _constraints(spark, sf):
+    """The whole tables; loans in long arrears point to a parent that does not exist."""
     static, dyn = split(panel(spark, sf))
-    parent = static.where("origination_year >= 1976")
-    spec = K.Constraints(("loan_id", "reporting_date"), (("loan_id", parent),),
+    dyn = dyn.withColumn("loan_id", F.when(F.col("days_past_due") > 60, F.concat("loan_id", F.lit("-lost"))).otherwise(F.col("loan_id")))
+    spec = K.Constraints(("loan_id", "reporting_date"), (("loan_id", static),),
                          ("current_balance >= 0 OR current_balance IS NULL", "days_past_due >= 0", "current_balance < 400000"))
     return plain(K.check_constraints(dyn, spec))
 
 
 QUERIES["val14_check_constraints"] = _constraints
-ORACLE["val14_check_constraints"] = PANEL_SQL + SILVER_SQL + """
-SELECT 'primary key loan_id, reporting_date' AS rule, (SELECT count(*) FROM (SELECT 1 FROM dyn GROUP BY loan_id, reporting_date HAVING count(*) > 1)) AS violations
-UNION ALL SELECT 'foreign key loan_id', (SELECT count(*) FROM dyn WHERE loan_id NOT IN (SELECT loan_id FROM static_loans WHERE origination_year >= 1976))
-UNION ALL SELECT 'current_balance >= 0 OR current_balance IS NULL', (SELECT count(*) FROM dyn WHERE current_balance < 0)
-UNION ALL SELECT 'days_past_due >= 0', (SELECT count(*) FROM dyn WHERE days_past_due < 0)
-UNION ALL SELECT 'current_balance < 400000', (SELECT count(*) FROM dyn WHERE NOT current_balance < 400000)"""
+ORACLE["val14_check_constraints"] = PANEL_SQL + SILVER_SQL + """, child AS (SELECT * REPLACE (CASE WHEN days_past_due > 60 THEN loan_id || '-lost' ELSE loan_id END AS loan_id) FROM dyn)
+SELECT 'primary key loan_id, reporting_date' AS rule, (SELECT count(*) FROM (SELECT 1 FROM child GROUP BY loan_id, reporting_date HAVING count(*) > 1)) AS violations
+UNION ALL SELECT 'foreign key loan_id', (SELECT count(*) FROM child WHERE loan_id NOT IN (SELECT loan_id FROM static_loans))
+UNION ALL SELECT 'current_balance >= 0 OR current_balance IS NULL', (SELECT count(*) FROM child WHERE current_balance < 0)
+UNION ALL SELECT 'days_past_due >= 0', (SELECT count(*) FROM child WHERE days_past_due < 0)
+UNION ALL SELECT 'current_balance < 400000', (SELECT count(*) FROM child WHERE NOT current_balance < 400000)"""

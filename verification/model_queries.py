@@ -50,12 +50,35 @@ def _parts(s, f, year):
 
 add("seq10_time_split", lambda s, f: _parts(s, f, 1998),
     "SELECT CAST(obs_year AS BIGINT) AS obs_year, count(*) AS n, CASE WHEN obs_year > 1998 THEN 'test' ELSE 'train' END AS part FROM gold GROUP BY ALL")
-add("seq10_time_split_fallback", lambda s, f: _parts(s, f, 2024), """
+add("seq10_time_split_fallback", lambda s, f: _parts(s, f, None), """
 , q AS (SELECT quantile_cont(datediff('day', DATE '1970-01-01', reporting_date), 0.8) AS t FROM gold)
 SELECT CAST(obs_year AS BIGINT) AS obs_year, count(*) AS n, CASE WHEN datediff('day', DATE '1970-01-01', reporting_date) > (SELECT t FROM q) THEN 'test' ELSE 'train' END AS part
 FROM gold GROUP BY ALL""")
 
 
+def _platt(s, f):
+    """Slope and intercept of the default flag over the loan-to-value ratio."""
+    a, b = X.fit_platt(gold(s, f).where("cltomv_current IS NOT NULL").select(F.col("default_in_3m").alias("label"), (F.col("cltomv_current") / 100.0).alias("score")))
+    return s.range(1).select(F.lit(a).alias("slope"), F.lit(b).alias("intercept"))
+
+
+def _newton_sql(steps: int) -> str:
+    """One common table expression for each step."""
+    out = """, d AS (SELECT cltomv_current / 100.0::DOUBLE AS s, default_in_3m = 1 AS y FROM gold WHERE cltomv_current IS NOT NULL),
+c AS (SELECT count(*) FILTER (WHERE y)::DOUBLE AS p, count(*) FILTER (WHERE NOT coalesce(y, false))::DOUBLE AS q FROM d),
+e AS (SELECT s, CASE WHEN y THEN (p + 1) / (p + 2) ELSE 1 / (q + 2) END AS t FROM d, c),
+n0 AS (SELECT 0.0::DOUBLE AS a, ln((p + 1) / (q + 1)) AS b FROM c)"""
+    for i in range(steps):
+        out += f""",
+h{i} AS (SELECT a, b, sum((t - p) * s) AS ga, sum(t - p) AS gb, sum(p * (1 - p) * s * s) AS haa, sum(p * (1 - p) * s) AS hab, sum(p * (1 - p)) AS hbb
+  FROM (SELECT a, b, s, t, 1 / (1 + exp(-(a * s + b))) AS p FROM e, n{i}) GROUP BY a, b),
+n{i + 1} AS (SELECT a + (ga * hbb - gb * hab) / (haa * hbb - hab * hab) AS a, b + (gb * haa - ga * hab) / (haa * hbb - hab * hab) AS b FROM h{i})"""
+    return out + f" SELECT round(a, 6) AS slope, round(b, 6) AS intercept FROM n{steps}"
+
+
+add("mdl3_platt_fit", _platt, _newton_sql(X.PLATT_STEPS))
+
+
 def _prepared(s, f):
     """Labelled gold features with encoded categories and embeddings, split by time."""
     g = X.encode_categoricals(gold(s, f), X.CATEGORICAL_COLUMNS).withColumnRenamed(X.TARGET, "label")

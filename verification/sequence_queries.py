@@ -49,13 +49,13 @@ STEPS_SQL = BINS_SQL + f""", ev AS (SELECT *, {_EVENT.format('arrears_bucket')}
   row_number() {W} AS t, lag(arrears_bucket) {W} AS pk FROM dyn),
 steps AS (SELECT loan_id, reporting_date, ev, t, pk, arrears_bucket, default_crr_flag,
   [{_EVENT_ID}, {", ".join(_bin(f) for f in _FEATURES)}] AS step FROM ev)"""
-SEQ_SQL = STEPS_SQL + """, seq AS (
-SELECT loan_id, flatten(list(step ORDER BY t) FILTER (WHERE t <= 24)) AS tok, CAST(count(*) FILTER (WHERE t <= 24) AS BIGINT) AS seq_len,
-       list(ev ORDER BY t) FILTER (WHERE t <= 24) AS evs, arg_max(ev, t) AS final_state,
+SEQ_SQL = STEPS_SQL + """, l AS (
+SELECT loan_id, arg_max(ev, t) AS final_state,
        bool_or(coalesce(pk IN ('1-29 DPD', '30-59 DPD', '60-89 DPD', '90+ DPD') AND arrears_bucket = 'Performing', false)) AS had_cure,
        bool_or(default_crr_flag) AS had_default, CAST(min(year(reporting_date)) AS BIGINT) AS obs_year_min,
-       CAST(max(year(reporting_date)) AS BIGINT) AS obs_year_max
-FROM steps GROUP BY loan_id), padded AS (
+       CAST(max(year(reporting_date)) AS BIGINT) AS obs_year_max FROM steps GROUP BY loan_id), win AS (
+SELECT loan_id, CAST((t - 1) // 24 AS BIGINT) AS win, flatten(list(step ORDER BY t)) AS tok, count(*) AS seq_len, list(ev ORDER BY t) AS evs
+FROM steps GROUP BY 1, 2), seq AS (SELECT * FROM win JOIN l USING (loan_id)), padded AS (
 SELECT * EXCLUDE (tok), list_concat(tok, [0 FOR i IN range((24 - seq_len) * 5)]) AS tok FROM seq)"""
 
 add("seq1_fit_bins", lambda d: S.fit_bins(dynamic(d)).select("feature", F.transform("edges", lambda e: F.round(e, 4)).alias("edges")).select("feature", F.size("edges").alias("n_edges"), F.aggregate("edges", F.lit(0.0), lambda a, e: a + e).alias("edge_sum")),
@@ -81,28 +81,37 @@ FROM t GROUP BY id""")
 add("seq4_encode_steps", lambda d: (lambda y: S.encode_steps(y, S.bin_edges(S.fit_bins(y))).select("loan_id", "reporting_date", "event", "step"))(dynamic(d)),
     STEPS_SQL + "SELECT loan_id, CAST(reporting_date AS VARCHAR) AS reporting_date, ev AS event, array_to_string(step, ',') AS step FROM steps")
 add("seq5_build_sequences", sequences, SEQ_SQL + """
-SELECT loan_id, array_to_string(tok, ',') AS seq_tokens, seq_len, array_to_string(evs, ',') AS event_seq, final_state, had_cure,
+SELECT loan_id, win AS "window", array_to_string(tok, ',') AS seq_tokens, seq_len, array_to_string(evs, ',') AS event_seq, final_state, had_cure,
        had_default, obs_year_min, obs_year_max FROM padded""")
-add("fn21_event_json", lambda d: S.event_json(sequences(d)).select("loan_id", "event_seq"),
-    SEQ_SQL + """SELECT loan_id, '["' || array_to_string(evs, '","') || '"]' AS event_seq FROM padded""")
+add("fn21_event_json", lambda d: S.event_json(sequences(d)).select("loan_id", "window", "event_seq"),
+    SEQ_SQL + """SELECT loan_id, win AS "window", '["' || array_to_string(evs, '","') || '"]' AS event_seq FROM padded""")
 add("seq6_attention_mask", lambda d: S.attention_mask(sequences(d)).select(
-        "loan_id", "attention_mask", F.transform("steps", lambda s: F.array_join(s.cast("array<string>"), "-")).alias("steps")),
-    SEQ_SQL + """SELECT loan_id, array_to_string([CASE WHEN i < seq_len THEN 1 ELSE 0 END FOR i IN range(24)], ',') AS attention_mask,
+        "loan_id", "window", "attention_mask", F.transform("steps", lambda s: F.array_join(s.cast("array<string>"), "-")).alias("steps")),
+    SEQ_SQL + """SELECT loan_id, win AS "window", array_to_string([CASE WHEN i < seq_len THEN 1 ELSE 0 END FOR i IN range(24)], ',') AS attention_mask,
   array_to_string([array_to_string(tok[i * 5 + 1:i * 5 + 5], '-') FOR i IN range(24)], ',') AS steps FROM padded""")
-add("win12_next_event", lambda d: S.next_event(sequences(d)).select("loan_id", "targets"),
-    SEQ_SQL + """SELECT loan_id, array_to_string([CASE WHEN i < least(seq_len, 24) - 1 THEN tok[(i + 1) * 5 + 1] ELSE -100 END FOR i IN range(24)], ',') AS targets FROM padded""")
-add("seq7_mask_events", lambda d: S.mask_events(sequences(d)).select("loan_id", "labels", "input_ids"))
-add("seq8_mask_patches", lambda d: S.mask_patches(sequences(d)).select("loan_id", "labels", "input_ids"))
+add("win12_next_event", lambda d: S.next_event(sequences(d)).select("loan_id", "window", "targets"),
+    SEQ_SQL + """SELECT loan_id, win AS "window", array_to_string([CASE WHEN i < least(seq_len, 24) - 1 THEN tok[(i + 1) * 5 + 1] ELSE -100 END FOR i IN range(24)], ',') AS targets FROM padded""")
 
 
-def _split(d, year):
-    train, test = S.oot_split(sequences(d), year)
-    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).select("loan_id", "part")
+def _draw_sql(*unit: str) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(['loan_id', *unit, '42'])})), 1, 8))::BIGINT % 100"
 
 
-add("seq9_oot_split", lambda d: _split(d, 1998), SEQ_SQL + """
-SELECT loan_id, 'train' AS part FROM seq WHERE obs_year_max <= 1998 UNION ALL SELECT loan_id, 'test' FROM seq WHERE obs_year_min > 1998""")
-add("seq9_oot_split_fallback", lambda d: _split(d, 2024))
+def _masked_sql(chosen: str) -> str:
+    """``chosen`` is a condition on step i."""
+    at = chosen.replace("{i}", "(j // 5)")
+    return SEQ_SQL + f"""SELECT loan_id, win AS "window", array_to_string([CASE WHEN {chosen.replace("{i}", "i")} THEN tok[i * 5 + 1] ELSE -100 END FOR i IN range(24)], ',') AS labels,
+  array_to_string([CASE WHEN j % 5 = 0 AND {at} THEN 4 ELSE tok[j + 1] END FOR j IN range(120)], ',') AS input_ids FROM padded"""
+
+
+add("seq7_mask_events", lambda d: S.mask_events(sequences(d)).select("loan_id", "window", "labels", "input_ids"),
+    _masked_sql(f"({{i}} < seq_len AND {_draw_sql('win', '{i}')} < 15)"))
+add("seq8_mask_patches", lambda d: S.mask_patches(sequences(d)).select("loan_id", "window", "labels", "input_ids"),
+    _masked_sql(f"({{i}} < seq_len AND {{i}} // 4 < greatest(seq_len // 4, 1) AND {_draw_sql('win', '({i} // 4)')} < 15)"))
+add("seq9_oot_split", lambda d: S.oot_parts(sequences(d), 1998).select("loan_id", "window", "part"), SEQ_SQL + """
+SELECT loan_id, win AS "window", CASE WHEN obs_year_max <= 1998 THEN 'train' WHEN obs_year_min > 1998 THEN 'test' ELSE 'straddling' END AS part FROM seq""")
+add("seq9_oot_split_fallback", lambda d: S.share_parts(sequences(d)).select("loan_id", "window", "part"), SEQ_SQL + f"""
+SELECT loan_id, win AS "window", CASE WHEN {_draw_sql()} < 80 THEN 'train' ELSE 'test' END AS part FROM seq""")
 add("agg24_transition_matrix", lambda d: S.transition_matrix(d), f"""
 , c AS (SELECT {_EVENT.format('p')} AS f, {_EVENT.format('b')} AS t FROM (SELECT arrears_bucket AS b, lag(arrears_bucket) {W} AS p FROM panel) WHERE p IS NOT NULL),
  s AS (SELECT unnest(['PERF', 'DPD1', 'DPD2', 'DPD3', 'DPD4', 'DFLT', 'CHOF', 'RDMD']) AS x),
@@ -110,11 +119,12 @@ add("agg24_transition_matrix", lambda d: S.transition_matrix(d), f"""
 SELECT from_state, to_state, n, round(CASE WHEN sum(n) OVER (PARTITION BY from_state) > 0 THEN n / sum(n) OVER (PARTITION BY from_state) ELSE 0 END, 6) AS probability FROM n""")
 add("agg25_event_frequency", S.event_frequency, f"SELECT {_EVENT.format('arrears_bucket')} AS event, count(*) AS n FROM panel GROUP BY 1")
 add("agg25_sequence_stats", lambda d: S.sequence_stats(sequences(d)), SEQ_SQL + """
-SELECT count(*) AS total_loans, count(*) FILTER (WHERE had_cure) AS total_cures, count(*) FILTER (WHERE had_default) AS total_defaults,
-       round(100.0::DOUBLE * count(*) FILTER (WHERE had_cure) / count(*), 3) AS cure_rate_pct,
-       round(100.0::DOUBLE * count(*) FILTER (WHERE had_default) / count(*), 3) AS default_rate_pct,
+SELECT count(*) FILTER (WHERE win = 0) AS total_loans, count(*) AS total_windows, count(*) FILTER (WHERE win = 0 AND had_cure) AS total_cures,
+       count(*) FILTER (WHERE win = 0 AND had_default) AS total_defaults,
+       round(100.0::DOUBLE * count(*) FILTER (WHERE win = 0 AND had_cure) / count(*) FILTER (WHERE win = 0), 3) AS cure_rate_pct,
+       round(100.0::DOUBLE * count(*) FILTER (WHERE win = 0 AND had_default) / count(*) FILTER (WHERE win = 0), 3) AS default_rate_pct,
        round(avg(seq_len), 2) AS avg_seq_len, min(seq_len) AS min_seq_len, max(seq_len) AS max_seq_len FROM seq""")
-add("agg25_length_histogram", lambda d: S.length_histogram(sequences(d)), SEQ_SQL + "SELECT seq_len, count(*) AS n_loans FROM seq GROUP BY 1")
+add("agg25_length_histogram", lambda d: S.length_histogram(sequences(d)), SEQ_SQL + "SELECT seq_len, count(*) AS n_windows FROM seq GROUP BY 1")
 add("jon12_attach_labels", lambda d: G.attach_labels(sequences(d).select("loan_id", "seq_len"), P.loan_labels(gold(d))).select("loan_id", "label"),
     SEQ_SQL + """SELECT s.loan_id, CAST(coalesce(l.label, 0) AS BIGINT) AS label FROM seq s
 LEFT JOIN (SELECT loan_id, max(default_in_3m) AS label FROM gold GROUP BY 1) l ON s.loan_id = l.loan_id""")
@@ -180,9 +190,10 @@ add_scored("met8_capture_rate", M.capture_rate, """, q AS (SELECT quantile_cont(
 SELECT round((SELECT t FROM q), 6) AS threshold, round(sum(CASE WHEN score >= (SELECT t FROM q) THEN label ELSE 0 END) / greatest(sum(label), 1)::DOUBLE, 6) AS capture_rate FROM scored""")
 add_scored("met9_horizon_curve", M.horizon_curve,
     ", e AS (SELECT h, score, label FROM scored, range(1, 7) t(h) WHERE label = 0 OR months_to_default = h)" + _ranked_sql("e", "h") + f"""
-SELECT CAST(grp AS BIGINT) AS horizon, round({_AP}, 6) AS pr_auc FROM r GROUP BY grp""")
-add_scored("met10_slice_metric", lambda d: M.slice_metric(d, "slice"), _ranked_sql("scored", "slice") + f"""
-SELECT grp AS slice, round({_AP}, 6) AS pr_auc FROM r GROUP BY grp HAVING max(p + n) > 50 AND max(p) > 0""")
+SELECT CAST(grp AS BIGINT) AS horizon, round({_AP}, 6) AS pr_auc, CAST(max(p + n) AS BIGINT) AS n, CAST(max(p) AS BIGINT) AS n_positive, max(p + n) > 10 AND max(p) > 0 AS enough FROM r GROUP BY grp""")
+add_scored("met10_slice_metric", lambda d: M.slice_metric(d.withColumn("slice", F.concat_ws("-", "slice", F.when(F.col("id") % 97 == 0, "rare"))), "slice"),
+    ", few AS (SELECT *, slice || CASE WHEN id % 97 = 0 THEN '-rare' ELSE '' END AS part FROM scored)" + _ranked_sql("few", "part") + f"""
+SELECT grp AS slice, CASE WHEN max(p) > 0 THEN round({_AP}, 6) END AS pr_auc, CAST(max(p + n) AS BIGINT) AS n, CAST(max(p) AS BIGINT) AS n_positive, max(p + n) > 50 AND max(p) > 0 AS enough FROM r GROUP BY grp""")
 
 
 def _runs(spark, sf):
