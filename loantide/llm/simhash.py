@@ -28,13 +28,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loantide.llm.common import map_arrow, text_key, whole_texts
+from loantide.llm.common import map_arrow, partitions, text_key, whole_texts
 from loantide.llm.components import components
 from loantide.session import written
 
 SHINGLE = 4
 MAX_BITS = 4
-LEAST_RUNS, MOST_RUNS = 8, 16
+LEAST_RUNS, MOST_RUNS = 9, 16
 #: Entropy of the number of set bits among two random ones.
 COUNT_BITS = 1.5
 SEED = 42
@@ -109,7 +109,8 @@ def _signed(x: int) -> int:
 def cells(prints: DataFrame, max_bits: int, groups: int) -> DataFrame:
     """``cell, counts_in_cell, fp, node`` for every choice of runs."""
     masks = F.array(*[F.lit(_signed(m)) for m in _grid(max_bits, groups)])
-    t = prints.withColumn("counts", _counts(F.col("fp")))
+    # narrow rows, dealt out before each becomes many
+    t = prints.repartition(partitions(prints.sparkSession)).withColumn("counts", _counts(F.col("fp")))
     t = t.select("fp", "node", "counts", F.posexplode(masks).alias("grid", "mask"))
     return t.select("grid", F.col("counts").bitwiseAND(F.col("mask")).alias("cell"), "fp", "node", "counts")
 
