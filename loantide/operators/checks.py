@@ -1,7 +1,9 @@
 """Declarative data-quality checks (VAL10 to VAL15, SET1).
 
 A check is data: an id, a section and a violation expression. Checks that need the
-same shape of input share one aggregation, so a suite costs one scan per shape.
+same shape of input share one aggregation. The panel suite reads the panel twice: once by cut-off, combined before the
+shuffle, and once by loan, where one shuffle serves the checks over a loan and those over neighbouring rows. Whether a
+text varies is decided by a 64-bit hash of it, since a minimum of text would turn the hash aggregation into a sort.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loantide.operators.history import DATE, KEY, lagged, step_compliance
+from loantide.operators.history import DATE, KEY, by_loan, lagged, step_compliance
 from loantide.operators.panels import orphans
 from loantide.functions.states import (
     ARREARS_STATES, DAYS_PAST_DUE, DELINQUENT_STATES, EPC_LABELS, NHG_CAP, PERFORMING_STATUSES,
@@ -23,7 +25,7 @@ class Check:
     """``shape`` is row, pool, lagged or loan.
 
     row and lagged count rows that satisfy ``violation``; loan counts loans whose aggregate
-    does; pool is one aggregate that is true when violated.
+    does; pool is one aggregate over the table with a row per cut-off that is true when violated.
     """
 
     id: str
@@ -55,23 +57,24 @@ class PanelExpectation:
 
 
 def panel_checks(x: PanelExpectation) -> list[Check]:
-    """The panel suite, except A03 and A04, which do not read row values."""
+    """The panel suite, except A03, A04 and G01, which are no expression over rows, loans or cut-offs."""
     late = _in(DELINQUENT_STATES)
     active_pair = f"arrears_bucket IN {late} AND prev_bucket IN {late}"
-    one_value = "count(DISTINCT {0}) <> 1"
+    one_value = "min({0}_lo) IS NULL OR min({0}_lo) <> max({0}_hi)"
     varies = "max({0}) <> min({0})"
+    text_varies = varies.format("CASE WHEN {0} IS NOT NULL THEN xxhash64({0}) END")
     lo, hi = x.balance_range
     C = Check
     return [
-        C("A01", "panel has rows", "pool", "count(*) = 0"),
-        C("A02", "expected number of cut-offs", "pool", f"count(DISTINCT {DATE}) <> {x.n_cutoffs}"),
+        C("A01", "panel has rows", "pool", "coalesce(sum(n), 0) = 0"),
+        C("A02", "expected number of cut-offs", "pool", f"count({DATE}) <> {x.n_cutoffs}"),
         C("B01", "currency constant", "row", f"currency <> '{x.currency}'"),
         C("B02", "country constant", "row", f"country <> '{x.country}'"),
         C("B03", "originator constant", "row", f"originator_name <> '{x.originator}'"),
         C("B04", "servicer constant", "row", f"servicer_name <> '{x.servicer}'"),
-        C("B05", "one closing date", "pool", "min(closing_date) IS NULL OR min(closing_date) <> max(closing_date)"),
-        C("B06", "one transaction name", "pool", "min(transaction_name) IS NULL OR min(transaction_name) <> max(transaction_name)"),
-        C("B07", "one transaction identifier", "pool", "min(esma_transaction_identifier) IS NULL OR min(esma_transaction_identifier) <> max(esma_transaction_identifier)"),
+        C("B05", "one closing date", "pool", one_value.format("closing_date")),
+        C("B06", "one transaction name", "pool", one_value.format("transaction_name")),
+        C("B07", "one transaction identifier", "pool", one_value.format("esma_transaction_identifier")),
         C("B08", "closing date is ISO", "row", r"NOT CAST(closing_date AS STRING) RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'"),
         C("C01", "arrears state known", "row", f"arrears_bucket NOT IN {_in(ARREARS_STATES)}"),
         C("C02", "days past due known", "row", f"days_past_due NOT IN {_in(sorted(set(DAYS_PAST_DUE)))}"),
@@ -91,10 +94,10 @@ def panel_checks(x: PanelExpectation) -> list[Check]:
           f"NOT (country = '{x.country}' AND currency = '{x.currency}' AND originator_name = '{x.originator}')"),
         C("D01", "origination year constant", "loan", varies.format("origination_year")),
         C("D02", "original balance constant", "loan", varies.format("original_balance")),
-        C("D03", "province constant", "loan", varies.format("province")),
-        C("D04", "guarantee flag constant", "loan", varies.format("nhg_flag")),
+        C("D03", "province constant", "loan", text_varies.format("province")),
+        C("D04", "guarantee flag constant", "loan", text_varies.format("nhg_flag")),
         C("D05", "legal maturity constant", "loan", varies.format("legal_maturity_months")),
-        C("D06", "interest-only flag constant", "loan", varies.format("interest_only_flag")),
+        C("D06", "interest-only flag constant", "loan", text_varies.format("interest_only_flag")),
         C("D07", "scheduled payment constant", "loan", "max(scheduled_monthly_payment) - min(scheduled_monthly_payment) > 0.01"),
         C("E01", "dates increase", "lagged", f"prev_reporting_date IS NOT NULL AND {DATE} <= prev_reporting_date"),
         C("E02", "seasoning grows by one", "lagged", "seasoning_months - prev_seasoning <> 1"),
@@ -114,12 +117,11 @@ def panel_checks(x: PanelExpectation) -> list[Check]:
         C("F10", "defaulted is in foreclosure", "row", "performing_status = 'Defaulted' AND foreclosure_flag <> 'Y'"),
         C("F11", "90+ carries the default flag", "row",
           "arrears_bucket IN ('90+ DPD', 'Defaulted', 'Charged-Off') AND default_crr_flag <> 'Y'"),
-        C("G01", "closed pool", "loan", f"min({DATE}) > max(_pool_start)"),
         C("G02", "closed loans stay closed", "lagged", "prev_status IN ('Redeemed', 'Charged-Off')"),
         C("H01", "first cut-off mostly performing", "pool",
-          f"count_if({DATE} = _pool_start AND performing_status = 'Non-defaulted') < {x.first_non_defaulted} * count_if({DATE} = _pool_start)"),
-        C("H02", "last cut-off has defaults", "pool", f"count_if({DATE} = _pool_end AND performing_status = 'Defaulted') = 0"),
-        C("H03", "some loans left the pool", "pool", "count_if(performing_status IN ('Redeemed', 'Charged-Off')) = 0"),
+          f"min_by(performing, {DATE}) < {x.first_non_defaulted} * min_by(n, {DATE})"),
+        C("H02", "last cut-off has defaults", "pool", f"max_by(defaulted, {DATE}) = 0"),
+        C("H03", "some loans left the pool", "pool", "sum(gone) = 0"),
     ]
 
 
@@ -134,43 +136,47 @@ def _long(wide: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return wide.select(F.explode(F.array(*[entry(c) for c in checks])).alias("c")).select("c.*")
 
 
-def _counted(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Row checks count rows; pool checks count 1 when their aggregate holds."""
-    aggs = [
-        F.count_if(F.expr(c.violation)).alias(c.id)
-        if c.shape != "pool"
-        else F.expr(f"CAST(({c.violation}) AS INT)").alias(c.id)
-        for c in checks
-    ]
-    return _long(df.agg(*aggs), checks)
-
-
-# Columns that the lagged checks read besides the lagged ones.
-_LAG_INPUT = [KEY, DATE, "current_balance", "arrears_amount", "performing_status", "arrears_bucket", "seasoning_months",
-              "remaining_term_months", "interest_only_flag", "scheduled_monthly_payment"]
+# What the pool checks need of each cut-off; of texts the hashes of their values.
+_ONE_VALUE = ("closing_date", "transaction_name", "esma_transaction_identifier")
+_OF_CUTOFF = {
+    "n": "count(*)", "performing": "count_if(performing_status = 'Non-defaulted')", "defaulted": "count_if(performing_status = 'Defaulted')",
+    "gone": "count_if(performing_status IN ('Redeemed', 'Charged-Off'))",
+    **{f"{c}_{end}": f"{f}(CASE WHEN {c} IS NOT NULL THEN xxhash64(CAST({c} AS STRING)) END)" for c in _ONE_VALUE for end, f in (("lo", "min"), ("hi", "max"))},
+}
+# Columns that the checks by loan read besides the lagged ones.
+_LOAN_INPUT = [KEY, DATE, "current_balance", "arrears_amount", "performing_status", "arrears_bucket", "seasoning_months", "remaining_term_months",
+               "interest_only_flag", "scheduled_monthly_payment", "origination_year", "original_balance", "province", "nhg_flag", "legal_maturity_months"]
 
 
 def run_panel_checks(panel: DataFrame, expect: PanelExpectation) -> DataFrame:
-    """(check_id, name, section, violations, status) for the whole suite, in four scans (VAL10)."""
+    """(check_id, name, section, violations, status) for the whole suite, in two scans (VAL10)."""
     checks = panel_checks(expect)
-    shaped = lambda *shapes: [c for c in checks if c.shape in shapes]
-    start = panel.agg(F.min(DATE)).scalar()
-    end = panel.agg(F.max(DATE)).scalar()
-    dated = panel.withColumn("_pool_start", start).withColumn("_pool_end", end)
-
+    shaped = lambda shape: [c for c in checks if c.shape == shape]
     width = Check("A03", "expected number of columns", "pool", f"{len(panel.columns)} <> {expect.n_columns}")
-    flat = _counted(dated, [*shaped("row", "pool"), width])
-
-    per_loan = dated.groupBy(KEY).agg(*[F.expr(c.violation).alias(c.id) for c in shaped("loan")])
-    loan = _long(per_loan.agg(*[F.count_if(c.id).alias(c.id) for c in shaped("loan")]), shaped("loan"))
+    unique = Check("A04", "one row per loan and cut-off", "lagged", "")
+    closed = Check("G01", "closed pool", "loan", "")
 
-    moves = _counted(lagged(panel.select(*_LAG_INPUT)), shaped("lagged"))
-
-    unique = Check("A04", "one row per loan and cut-off", "loan", "")
-    repeated = panel.groupBy(DATE, KEY).agg(F.count(F.lit(1)).alias("n"))
-    dup = _long(repeated.agg(F.count_if(F.col("n") > 1).alias("A04")), [unique])
-
-    return with_status(flat.unionByName(loan).unionByName(moves).unionByName(dup))
+    by_date = panel.groupBy(DATE).agg(
+        *[F.expr(e).alias(c) for c, e in _OF_CUTOFF.items()], *[F.count_if(F.expr(c.violation)).alias(c.id) for c in shaped("row")]
+    )
+    pool = [*shaped("pool"), width]
+    flat = by_date.agg(*[F.sum(c.id).alias(c.id) for c in shaped("row")], *[F.expr(f"CAST(({c.violation}) AS INT)").alias(c.id) for c in pool])
+
+    moves = lagged(panel.select(*_LOAN_INPUT))
+    same = lambda k: F.coalesce(F.lag(F.struct(DATE), k).over(by_loan()).eqNullSafe(F.struct(DATE)), F.lit(False))
+    moves = moves.withColumn("_second", same(1) & ~same(2))  # of a repeated loan and cut-off
+    by_row = shaped("lagged")
+    per_loan = moves.groupBy(KEY).agg(
+        F.min(DATE).alias("_first"), F.count_if("_second").alias("A04"),
+        *[F.expr(c.violation).alias(c.id) for c in shaped("loan")], *[F.count_if(F.expr(c.violation)).alias(c.id) for c in by_row],
+    )
+    # one row per first cut-off: the loans of the earliest one are the closed pool
+    firsts = per_loan.groupBy("_first").agg(
+        F.count("_first").alias("_n"), *[F.count_if(c.id).alias(c.id) for c in shaped("loan")], *[F.sum(c.id).alias(c.id) for c in [unique, *by_row]]
+    )
+    loans = [*shaped("loan"), unique, *by_row]
+    sums = firsts.agg(*[F.sum(c.id).alias(c.id) for c in loans], (F.sum("_n") - F.min_by("_n", "_first")).alias("G01"))
+    return with_status(_long(flat, [*shaped("row"), *pool]).unionByName(_long(sums, [*loans, closed])))
 
 
 def with_status(results: DataFrame) -> DataFrame:

@@ -16,7 +16,11 @@ SNAPSHOT_DIMENSIONS = (
 )
 SNAPSHOT_MEASURES = ("borrower_annual_income", "original_balance", "current_interest_rate_pct")
 CONCENTRATION_DIMENSIONS = ("province", "economic_region_nuts3", "origination_year")
-
+SNAPSHOT_COLUMNS = tuple(dict.fromkeys([
+    *SNAPSHOT_DIMENSIONS, *SNAPSHOT_MEASURES, *CONCENTRATION_DIMENSIONS, "nhg_flag", "buy_to_let_flag", "self_employed_flag", "interest_only_flag",
+    "oltomv_original", "loan_to_income", "forbearance_flag", "restructuring_flag", "construction_deposit_flag", "epc_label",
+    "primary_energy_demand_kwh_m2", "current_balance",
+]))
 
 # Columns of the sections that group by date, as named in the shared table.
 _COMPOSITION = ("n_loans", "performing", "defaulted", "redeemed", "charged_off")
@@ -28,13 +32,15 @@ _ACTIVE = {
 
 
 def portfolio_report(panel: DataFrame, first: str, last: str) -> dict[str, DataFrame]:
-    """Every section as a table. The panel is read a handful of times, not once per section.
+    """Every section as a table. The panel is read four times, not once per section.
 
-    Two shared tables are written to the shared folder when the report is built: one row per
-    cut-off and one row per loan. The sections that follow from them read those.
+    Three shared tables are written to the shared folder when the report is built: one row per
+    cut-off, one row per loan, and the rows of the first cut-off with the columns of the snapshot sections.
+    The sections that follow from them read those; only the roll rates read the panel.
     """
     by_date = written(P.cutoff_measures(panel), "report-dates")
     loans = written(P.loan_outcomes(panel, first, last), "report-loans")
+    pool = written(P.at_cutoff(panel, first).select(*SNAPSHOT_COLUMNS), "report-pool")
     on = lambda d, c: F.sum(F.when(F.col(DATE) == F.lit(d).cast("date"), F.col(c))) / 1e9
     n_loans = loans.agg(F.count(F.lit(1))).scalar()
     overview = by_date.agg(
@@ -48,12 +54,12 @@ def portfolio_report(panel: DataFrame, first: str, last: str) -> dict[str, DataF
     out = {
         "01_pool_overview": overview,
         "02_monthly_composition": by_date.select(DATE, *_COMPOSITION, change.alias("change")),
-        "03_to_06_distributions": P.distributions(panel, SNAPSHOT_DIMENSIONS, first),
-        "03_to_06_quantiles": P.quantile_table(panel, SNAPSHOT_MEASURES, first),
-        "07_risk_markers": P.risk_markers(panel, first),
+        "03_to_06_distributions": P.distributions(pool, SNAPSHOT_DIMENSIONS, None),
+        "03_to_06_quantiles": P.quantile_table(pool, SNAPSHOT_MEASURES, None),
+        "07_risk_markers": P.risk_markers(pool, None),
         "08_arrears_trajectory": by_date.select(DATE, *shares),
-        "09_vintage_profile": P.vintage_profile(panel, first),
-        "10_energy_profile": P.epc_profile(panel, first),
+        "09_vintage_profile": P.vintage_profile(pool, None),
+        "10_energy_profile": P.epc_profile(pool, None),
         "11_exit_accounting": exits,
         "12_headline_rates": P.rates_of(exits, by_date.agg(F.max("defaulted_pct")).scalar()),
         **{
@@ -62,12 +68,12 @@ def portfolio_report(panel: DataFrame, first: str, last: str) -> dict[str, DataF
         },
         "16_roll_rates": H.roll_rates(panel),
         "17_vintage_outcomes": P.vintages_of(loans),
-        "18_top_regions": P.top_exposure(panel, "economic_region_nuts3", 10, first),
-        "18_top_10": P.top_k_share(panel, 10, first),
-        "18_top_100": P.top_k_share(panel, 100, first),
-        "18_top_1_pct": P.top_share(panel, 0.01, first),
+        "18_top_regions": P.top_exposure(pool, "economic_region_nuts3", 10, None),
+        "18_top_10": P.top_k_share(pool, 10, None),
+        "18_top_100": P.top_k_share(pool, 100, None),
+        "18_top_1_pct": P.top_share(pool, 0.01, None),
         "19_loss_given_default": P.losses_of(loans),
     }
     for dim in CONCENTRATION_DIMENSIONS:
-        out[f"18_concentration_{dim}"] = P.hhi(panel, dim, first)
+        out[f"18_concentration_{dim}"] = P.hhi(pool, dim, None)
     return out
