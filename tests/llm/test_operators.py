@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -372,6 +373,26 @@ def test_link_finds_every_pair(spark):
     assert {v: got.get(v, v) for v in signed} == group
 
 
+def test_link_among_many_random_prints(spark):
+    """10^5 unrelated fingerprints and planted groups: links as by brute force, with cells sized by their number."""
+    rng = np.random.default_rng(5)
+    noise = np.unique(rng.integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    planted = np.unique(np.array([int(s) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for s in noise[:40] for _ in range(5)], dtype=np.uint64))
+    every = np.unique(np.concatenate([noise, planted]))
+    # only pairs with a planted end can be this near: two random ones are with a chance of 4e-14
+    near = {(int(a), int(b)) for a in planted for b in every[np.bitwise_count(every ^ a) <= 4] if a != b}
+    signed = lambda v: int(v) - (int(v) >> 63 << 64)
+    group = {signed(v): signed(v) for e in near for v in e}
+    while any(group[signed(a)] != group[signed(b)] for a, b in near):
+        for a, b in near:
+            a, b = signed(a), signed(b)
+            group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame(pa.table({"fp": every.view(np.int64)})).withColumn("node", F.col("fp"))
+    assert {x.node: x.component for x in simhash.link(df).collect()} == group
+    sizes = [simhash.runs_for(n) for n in (1, 10**5, 10**7, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == simhash.LEAST_RUNS
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (100, 101), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(e, "a long, b long")).collect()}

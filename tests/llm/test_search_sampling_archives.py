@@ -191,8 +191,8 @@ def test_archive_and_read(pages, min_bytes):
 def test_round_trip_over_many_files(spark, pages, tmp_path, compression):
     path = str(tmp_path / "w")
     rows = pages.select(F.concat(F.lit("<urn:"), F.monotonically_increasing_id().cast("string"), F.lit(">")).alias("record_id"), F.lit("response").alias("warc_type"), F.col("url").alias("target_uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    warc.write_warc(rows, path, compression=compression, file_bytes=20_000)
-    got = warc.read_warc(spark, path, partition_bytes=30_000)
+    warc.write_warc(rows, path, compression=compression, file_bytes=5_000)
+    got = warc.read_warc(spark, path, partition_bytes=8_000)
     assert got.rdd.getNumPartitions() > 2 and len(list(tmp_path.glob("w/*.warc*"))) > 4
     seen = Counter((r.target_uri, bytes(r.payload), r.payload_length) for r in got.where("warc_type = 'response'").collect())
     clean = lambda u: u and u.replace("\r", "%0D").replace("\n", "%0A")
@@ -200,7 +200,7 @@ def test_round_trip_over_many_files(spark, pages, tmp_path, compression):
     # predicates on headers are evaluated by the reader, with the same rows as Spark's own filter
     some = warc.read_warc(spark, path, ["target_uri", "read_length"]).where(F.col("target_uri").startswith("http://a/1") & F.col("target_uri").isin("http://a/1", "http://a/12"))
     plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "StringStartsWith" in plan and "In(target_uri" in plan
+    assert "Filter" not in plan.replace("RuntimeFilters", "")  # nothing is left for Spark to filter
     assert sorted(tuple(r) for r in some.collect()) == [("http://a/1", 8), ("http://a/12", 9)]
 
 
