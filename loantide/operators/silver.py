@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from loantide.functions.dates import coerce_date, coerce_integer, coerce_number
 from loantide.functions.nulls import null_no_data
-from loantide.templates.classes import Template
+from loantide.templates.classes import DEAL_TYPES, Template
 from loantide.templates.rules import AMORTISATION_FIELDS
 
 GENERAL = ("dl_code", "pcd_year", "pcd_month")
@@ -80,6 +80,11 @@ def distinct_dimension(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def deal_details(current: DataFrame) -> DataFrame:
+    """Deal rows with their types, without repeated rows (CLN3, PRJ3); fields that are absent are skipped."""
+    return distinct_dimension(cast_types(current, DEAL_TYPES))
+
+
 def restrict(df: DataFrame, allowed: Iterable[str]) -> DataFrame:
     """Columns of a taxonomy that are present (PRJ4)."""
     ok = set(allowed)

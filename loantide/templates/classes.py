@@ -194,6 +194,19 @@ AUTO_TYPES = _typed(
     string="2-6 8-10 15 16 18-21 29 33 36 41 44-46 48 54 55 57 74",
 )
 
+# Types of the deal details that are no text.
+DEAL_TYPES = {
+    **dict.fromkeys((
+        "Primary Income", "Revenue", "Original Principal Balance", "Current Principal Balance", "Purchase Price", "Payment Due", "Balloon Amount",
+        "Down Payment Amount", "Current Interest Rate", "Current Interest Rate Margin", "Interest Rate Cap", "Interest Rate Floor",
+        "Percentage Of Prepayments Allowed Per Year", "Prepayment Fee", "Cumulative Prepayments", "Original Loan-To-Value",
+        "Original Valuation Amount", "Original Residual Value Of Vehicle", "Option To Buy Price", "Securitised Residual Value",
+        "Updated Residual Value Of Vehicle", "Arrears Balance", "Default Amount", "Allocated Losses", "Residual Value Losses",
+        "Cumulative Recoveries", "Sale Price", "Deposit Amount",
+    ), "double"),
+    **dict.fromkeys(("Original Term", "Interest Rate Reset Interval", "Number Of Payments Before Securitisation", "Number Of Days In Arrears"), "int"),
+}
+
 _sme = parse_rules("AS", SME_ASSETS)
 _sme_coll = parse_rules("CS", SME_COLLATERAL)
 _sme_bonds = parse_rules("BS", SME_BONDS)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loantide.operators import history as H, metrics as M, panels as G, portfolio as P, sequences as S
+from loantide.session import scratch_path
+from loantide.sources.sinks import write_sequences
 from verification.bindings import PANEL_SQL, panel, table
 from verification.history_queries import SILVER_SQL, W, dynamic, gold
 from verification.portfolio_queries import on_panel
@@ -83,6 +85,19 @@ add("seq4_encode_steps", lambda d: (lambda y: S.encode_steps(y, S.bin_edges(S.fi
 add("seq5_build_sequences", sequences, SEQ_SQL + """
 SELECT loan_id, win AS "window", array_to_string(tok, ',') AS seq_tokens, seq_len, array_to_string(evs, ',') AS event_seq, final_state, had_cure,
        had_default, obs_year_min, obs_year_max FROM padded""")
+
+
+def _stored(d):
+    """Sequences through the table on disk, and the codec of its files."""
+    path = scratch_path(d.sparkSession, "sequences")
+    write_sequences(S.event_json(sequences(d)), path)
+    back = d.sparkSession.read.parquet(path)
+    return back.groupBy("final_state", F.endswith(F.col("_metadata.file_name"), F.lit(".snappy.parquet")).alias("snappy")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("seq_len").alias("steps"), F.sum(F.aggregate("seq_tokens", F.lit(0), lambda a, t: a + t)).alias("token_sum"))
+
+
+add("snk6_write_sequences", _stored, SEQ_SQL + """SELECT final_state, true AS snappy, count(*) AS n, CAST(sum(seq_len) AS BIGINT) AS steps,
+  CAST(sum(list_sum(tok)) AS BIGINT) AS token_sum FROM padded GROUP BY final_state""")
 add("fn21_event_json", lambda d: S.event_json(sequences(d)).select("loan_id", "window", "event_seq"),
     SEQ_SQL + """SELECT loan_id, win AS "window", '["' || array_to_string(evs, '","') || '"]' AS event_seq FROM padded""")
 add("seq6_attention_mask", lambda d: S.attention_mask(sequences(d)).select(

@@ -231,6 +231,21 @@ add("cln3_cast_types", lambda s, f: S.clean(tape(s, f), SME).agg(
        count({_nb('AS51')}) AS as51 FROM tape""", 2)
 
 
+def _deal_rows(s, f):
+    """Details per customer as text, each row twice; some amounts and terms are no numbers."""
+    k = F.col("c_custkey")
+    d = table(s, f, "customer").select(
+        F.concat(F.lit("D"), k.cast("string")).alias("dl_code"), F.col("c_mktsegment").alias("Employment Status"),
+        F.when(k % 7 == 0, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("Primary Income"),
+        F.when(k % 5 == 0, "12.5").otherwise((k % 360).cast("string")).alias("Original Term"))
+    return d.unionByName(d)
+
+
+add("cln3_deal_details", lambda s, f: S.deal_details(_deal_rows(s, f)), """
+SELECT 'D' || CAST(c_custkey AS VARCHAR) AS dl_code, c_mktsegment AS "Employment Status", CASE WHEN c_custkey % 7 <> 0 THEN round(c_acctbal, 2) END AS "Primary Income",
+  CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 360 AS BIGINT) END AS "Original Term" FROM customer""")
+
+
 def _bronze(s, f):
     return B.to_bronze(tape(s, f), ["dl_code", "AS3"])
 
