@@ -126,12 +126,16 @@ def cures(df: DataFrame, include_defaulted: bool = False) -> DataFrame:
     )
 
 
-def step_compliance(df: DataFrame, col: str, lo: float, hi: float, sign: int = 1) -> DataFrame:
-    """Percent of rows whose step from the previous period lies in [lo, hi]; first rows count (WIN8)."""
+def step_ok(col: str, lo: float, hi: float, sign: int = 1) -> Column:
+    """1.0 if the step from the previous period lies in [lo, hi], else 0.0; first rows count."""
     prev = F.lag(col).over(by_loan())
     step = (F.col(col) - prev) * sign
-    ok = F.when(prev.isNull() | step.between(lo, hi), 1.0).otherwise(0.0)
-    return df.select(ok.alias("_ok")).agg(F.round(100.0 * F.avg("_ok"), 2).alias("compliance_pct"))
+    return F.when(prev.isNull() | step.between(lo, hi), 1.0).otherwise(0.0)
+
+
+def step_compliance(df: DataFrame, col: str, lo: float, hi: float, sign: int = 1) -> DataFrame:
+    """Percent of rows whose step from the previous period lies in [lo, hi] (WIN8)."""
+    return df.select(step_ok(col, lo, hi, sign).alias("_ok")).agg(F.round(100.0 * F.avg("_ok"), 2).alias("compliance_pct"))
 
 
 def _streak(df: DataFrame, hit: Column, name: str) -> DataFrame:
