@@ -162,6 +162,60 @@ add("snk4_split_clean_dirty", _clean_dirty, TAPE_SQL + f"""
 SELECT CASE WHEN {_ERR_N} = 0 THEN 'clean' ELSE 'dirty' END AS side, dl_code, count(*) AS n FROM tape GROUP BY ALL""")
 add("val1_errors_per_row", lambda s, f: _count(validated(s, f, tape_=_fixed_dates(tape(s, f))).select(F.size("qc_errors").alias("n_errors")), "n_errors"),
     TAPE_SQL + f"SELECT CAST({_ERR_N} AS BIGINT) AS n_errors, count(*) AS n FROM tape GROUP BY ALL")
+
+
+# Tapes of other classes, with the kinds of rules that the first one lacks: field, its text, and (reason, condition) of the rules it can break.
+_CLASS_TAPES = {
+    "esma_auto": [
+        ("AUTL1", "CASE WHEN l_linenumber = 7 THEN repeat('x', 30) ELSE 'L' || CAST(l_orderkey AS STRING) END", [("too_long", "l_linenumber = 7")]),
+        ("AUTL6", "CASE WHEN l_linenumber = 6 THEN 'soon' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END", [("not_a_date", "l_linenumber = 6")]),
+        ("AUTL11", "CASE WHEN l_linenumber = 1 THEN '12' WHEN l_linenumber = 2 THEN 'ND1' ELSE '1999' END", [("regex_mismatch", "l_linenumber = 1")]),
+        ("AUTL13", "l_returnflag", [("unallowed_value", "l_returnflag <> 'N'")]),
+        ("AUTL26", "CASE WHEN l_linenumber = 2 THEN '1.5' ELSE CAST(l_orderkey AS STRING) END",
+         [("not_an_integer", "l_linenumber = 2"), ("above_max", "l_linenumber <> 2 AND l_orderkey > 9999")]),
+        ("AUTL48", "CAST(l_linenumber * 20 AS STRING)", [("above_max", "l_linenumber > 5")]),
+        ("AUTL69", "CASE WHEN l_linenumber <> 3 THEN '5' END", [("null_not_allowed", "l_linenumber = 3")]),
+        ("AUTL70", "CASE WHEN l_linestatus = 'O' THEN 'GONE' ELSE 'PERF' END", [("unallowed_value", "l_linestatus = 'O'")]),
+    ],
+    "consumer_assets": [
+        ("AN1", "CASE WHEN l_linenumber = 7 THEN '2031-01-31' WHEN l_linenumber = 6 THEN '2011' ELSE '2020-06' END",
+         [("above_max", "l_linenumber = 7"), ("below_min", "l_linenumber = 6")]),
+        ("AN7", "CASE WHEN l_linenumber = 1 THEN 'X' WHEN l_linenumber = 2 THEN 'ND' ELSE 'Y' END", [("unallowed_value", "l_linenumber = 1")]),
+        ("AN16", "CAST(l_suppkey % 12 AS STRING)", [("unallowed_value", "l_suppkey % 12 > 9")]),
+        ("AN19", "CAST(l_linenumber AS STRING)", [("unallowed_value", "l_linenumber > 6")]),
+        ("AN26", "CASE WHEN l_linenumber <> 4 THEN CAST(l_quantity AS STRING) END", [("null_not_allowed", "l_linenumber = 4")]),
+        ("AN28", "CAST(l_linenumber + 2 AS STRING)", [("unallowed_value", "l_linenumber > 6")]),
+        ("AN51", "CAST(CAST(l_shipdate AS DATE) AS STRING)", [("below_min", "true")]),
+    ],
+}
+
+
+def _class_errors(cls):
+    def run(s, f):
+        t = table(s, f, "lineitem").select(*[F.expr(e).alias(c) for c, e, _ in _CLASS_TAPES[cls]])
+        return V.error_counts(V.validate(t, TEMPLATES[cls].rules, AS_OF))
+    return run
+
+
+for _cls, _fields in _CLASS_TAPES.items():
+    add(f"val1_{_cls}_error_counts", _class_errors(_cls), "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS field, '{r}' AS reason, count(*) AS n FROM lineitem WHERE {cond}" for c, _, broken in _fields for r, cond in broken) + ") WHERE n > 0")
+
+
+def _class_silver(s, f):
+    """Two of the three classes through their silver types: consumer flags and numbers, lease flags that stay text."""
+    parts = []
+    for cls, cols in (("consumer_assets", ("AN7", "AN26")), ("esma_auto", ("AUTL13", "AUTL48"))):
+        t = table(s, f, "lineitem").select(*[F.expr(e).alias(c) for c, e, _ in _CLASS_TAPES[cls] if c in cols])
+        d = S.clean(t, TEMPLATES[cls])
+        parts.append(d.groupBy(F.lit(cls).alias("class"), F.col(cols[0]).cast("string").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.sum(cols[1]).alias("amount")))
+    return parts[0].unionByName(parts[1])
+
+
+add("cln3_other_classes", _class_silver, """
+SELECT 'consumer_assets' AS class, CASE l_linenumber WHEN 1 THEN 'false' WHEN 2 THEN NULL ELSE 'true' END AS flag, count(*) AS n,
+  round(sum(CASE WHEN l_linenumber <> 4 THEN l_quantity END), 6) AS amount FROM lineitem GROUP BY ALL
+UNION ALL SELECT 'esma_auto', l_returnflag, count(*), round(sum(l_linenumber * 20.0::DOUBLE), 6) FROM lineitem GROUP BY ALL""")
 add("val2_null_blank", lambda s, f: tape(s, f).agg(*[
     F.count(V.null_blank(F.col(c), m)).alias(f"{c}_{m}".lower()) for c in ("AS8", "AS16", "AS51") for m in ("pattern", "prefix")]),
     TAPE_SQL + "SELECT " + ", ".join(
