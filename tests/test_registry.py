@@ -1,6 +1,8 @@
 """The registered queries: names, SQL and a sample run on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -51,3 +53,14 @@ def test_report_sections_equal_the_single_operators(spark):
         a, b = plain(report[name]), plain(df)
         assert sorted(a.columns) == sorted(b.columns), name
         assert rows_of(a.columns, [tuple(r) for r in a.collect()]) == rows_of(b.columns, [tuple(r) for r in b.collect()]), name
+
+
+@pytest.mark.parametrize("absent", ["loantide.llm", "corpus_pipeline", "public_tokenizers", "xxhash"])
+def test_entry_without_the_optional_part(absent):
+    """The other queries are there whichever part or library of the optional operators is absent."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') or n == 'pipeline' for n in e.queries()))"
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    n, optional = out.stdout.split()
+    assert int(n) > 190 and optional == "False"
