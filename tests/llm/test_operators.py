@@ -120,6 +120,22 @@ def test_window_entropy(spark):
         assert got == pytest.approx(h)
 
 
+def test_secret_alphabets(spark):
+    """Random strings of each alphabet are found, names and paths are not; an allow-listed stretch suppresses only what touches it."""
+    r = random.Random(11)
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (up + "234567", low + dig, low + up, low + up + dig, low + up + dig + "+/", "0123456789abcdef"):
+        some = [("".join(r.choice(alphabet) for _ in range(24)),) for _ in range(500)]
+        assert spark.createDataFrame(some, "s string").where(secrets.is_random(F.col("s"))).count() >= 450
+    names = "configuration management element identifier request handler response factory builder abstract connection database transaction service manager default controller".split()
+    make = ["_".join, "/".join, "-".join, lambda w: "_".join(w).upper(), lambda w: "".join(x.title() for x in w), lambda w: w[0] + "2" + "".join(w[1:])]
+    some = [(f([r.choice(names) for _ in range(4)]),) for f in make for _ in range(200)]
+    assert spark.createDataFrame(some, "s string").where(secrets.is_random(F.col("s"))).count() <= 0.02 * len(some)
+    secret = "x9Kq2LmZ7vTb4RwY8pNd3Q"
+    for s, found in ((secret, True), ("example" + secret, True), (secret[:11] + "example" + secret[11:], False), ("123e4567-e89b-12d3-a456-426614174000", False), ("1" * 40, False)):
+        assert spark.createDataFrame([(s,)], "s string").select(secrets.is_random(F.col("s"))).first()[0] is found
+
+
 def luhn(d):
     return sum(v - 9 if (v := int(x) * (1 + i % 2)) > 9 else v for i, x in enumerate(reversed(d))) % 10 == 0
 
