@@ -10,9 +10,9 @@ else the failure arc and then the root's.
 
 Neither the model nor the corpus is ever in one place. Documents form blocks of bounded size. Each block sends its
 distinct words and bigram keys with their training counts to buckets by key, packed as arrays; a bucket sums them
-over all blocks and returns to each block the totals of its own entries (a bigram key that no other block sends
-needs no answer). Each block then builds the part of the automaton that its documents can reach, and scores
-them. The result is that of the whole automaton. Words are compared as such; bigrams by 64-bit hashes of their words.
+over all blocks and returns to each block the totals of its own entries in their order, without the entries, which
+the block finds again in its texts (a bigram key that no other block sends has one bit for an answer). Each block then
+builds the part of the automaton that its documents can reach, and scores them. The result is that of the whole automaton. Words are compared as such; bigrams by 64-bit hashes of their words.
 
 Defined results: a null text is the empty text, one end token; a null doc_id is hashed as the empty text; repeated
 rows count and are scored as often as they occur; without training tokens every token has the probability of an
@@ -46,10 +46,8 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def bigram_keys(hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each token and the one before it (the start of the text before the first)."""
-    before = np.empty_like(hashes)
-    before[0], before[1:] = _START, hashes[:-1]
+def bigram_keys(before: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each token and the one before it, from their hashes."""
     x = (before ^ (before >> np.uint64(32))) * _M1 + hashes
     x ^= x >> np.uint64(29)
     x *= _M2
@@ -67,38 +65,53 @@ def _from_planes(b: bytes, kind) -> np.ndarray:
 
 
 class _Block:
-    """Training counts of a block's words and bigrams, zero for what only held-out documents have."""
+    """Words and bigram keys of a block's texts, with their training counts (zero for what only held-out texts have)."""
 
     def __init__(self):
-        self.words: Counter = Counter()
-        self.keys: list[np.ndarray] = []
-        self.train: list[np.ndarray] = []
-        self.hashes: dict[bytes, int] = {}
+        self.ids: dict[bytes, int] = {}
+        self.texts: list[np.ndarray] = []
+        self.train: list[bool] = []
 
     def add(self, text: str, train: bool) -> int:
-        t, hashes = tokens(text), self.hashes
-        for w in set(t).difference(hashes):
-            hashes[w] = xxhash.xxh3_64_intdigest(w)
-        if train:
-            self.words.update(t)
-        self.keys.append(bigram_keys(np.fromiter(map(hashes.__getitem__, t), np.uint64, len(t))))
-        self.train.append(np.full(len(t), train))
+        t, ids = tokens(text), self.ids
+        for w in set(t).difference(ids):
+            ids[w] = len(ids)
+        self.texts.append(np.fromiter(map(ids.__getitem__, t), np.int64, len(t)))
+        self.train.append(train)
         return len(t)
 
+    def numbers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens in order: word, word before it (``len(ids)`` at a start), whether it is for training; and each word's hash."""
+        lengths = [len(x) for x in self.texts]
+        word = np.concatenate(self.texts)
+        before = np.r_[0, word[:-1]]
+        before[np.r_[0, np.cumsum(lengths)[:-1]]] = len(self.ids)
+        return word, before, np.repeat(np.array(self.train, bool), lengths), np.fromiter(map(xxhash.xxh3_64_intdigest, self.ids), np.uint64, len(self.ids))
+
+    def words_by_bucket(self, hashes: np.ndarray, bits: int) -> list[tuple[int, bytes, int]]:
+        """``bucket, word, id`` in order."""
+        return sorted((h >> (64 - bits), w, i) for h, (w, i) in zip(hashes.tolist(), self.ids.items()))
+
     def rows(self, block: int, bits: int) -> Iterator[tuple]:
-        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate(self.train), len(keys)).astype(np.uint32)
-        shift = np.uint64(64 - bits)
-        of_key = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-        edges = np.searchsorted(of_key, np.arange((1 << bits) + 1))
-        by: dict[int, list[bytes]] = defaultdict(list)
-        for w, h in self.hashes.items():
-            by[h >> (64 - bits)].append(w)
+        word, before, train, hashes = self.numbers()
+        keys, inverse = np.unique(bigram_keys(np.r_[hashes, _START][before], hashes[word]), return_inverse=True)
+        counts = np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
+        n = np.bincount(word[train], minlength=len(self.ids)).tolist()
+        edges = _edges(keys, bits)
+        by: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
+        for r, w, i in self.words_by_bucket(hashes, bits):
+            by[r].append((w, n[i]))
         for r in range(1 << bits):
             a, b = edges[r], edges[r + 1]
             if b > a or r in by:
                 some = by.get(r, [])
-                yield block, r, b" ".join(some), np.array([self.words[w] for w in some], np.uint32).tobytes(), len(some), _planes(keys[a:b]), _planes(counts[a:b])
+                yield block, r, b" ".join(w for w, _ in some), _planes(np.array([c for _, c in some], np.uint32)), len(some), _planes(keys[a:b]), _planes(counts[a:b])
+
+
+def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket's keys start among sorted ones, and the end."""
+    of_key = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    return np.searchsorted(of_key, np.arange((1 << bits) + 1))
 
 
 _PACKED = "block long, r int, words binary, n binary, n_words int, keys binary, c binary"
@@ -126,27 +139,36 @@ def _counts(bits: int):
     return run
 
 
+_ANSWER = "block long, r int, n binary, n_keys int, shared binary, c binary, n_tokens long, n_known long"
+
+
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: sums over all blocks, returned to each row's block; its words and tokens once."""
+    """One bucket: sums over all blocks, returned to each block in the order of its words and keys; the bucket's words and tokens once."""
+    # the end token is the empty word: one word that joins to the empty text
     words = [x.split(b" ") if n else [] for x, n in zip(rows["words"], rows["n_words"])]
-    if words:
-        # the end token is the empty word: a bucket row that holds it alone joins to the empty text
-        words = [[END] if n == 1 and not x else w for w, x, n in zip(words, rows["words"], rows["n_words"])]
     total: Counter = Counter()
     for some, n in zip(words, rows["n"]):
-        for w, c in zip(some, np.frombuffer(n, np.uint32).tolist()):
+        for w, c in zip(some, _from_planes(n, np.uint32).tolist()):
             total[w] += c
     keys = [_from_planes(k, np.uint64) for k in rows["keys"]]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    # exact below 2^53
     sums = np.bincount(inverse, np.concatenate([_from_planes(c, np.uint32) for c in rows["c"]]), len(every)).astype(np.uint64)
-    shared, at, out = np.bincount(inverse, minlength=len(every)) > 1, 0, []
-    known = sum(c > 0 for c in total.values())
-    for i, (block, text, some, k) in enumerate(zip(rows["block"], rows["words"], words, keys)):
-        mine = inverse[at : at + len(k)]
-        mine, at = mine[shared[mine]], at + len(k)
-        n = np.array([total[w] for w in some], np.uint64).tobytes()
-        out.append((block, text, n, len(some), _planes(every[mine]), _planes(sums[mine]), 0 if i else sum(total.values()), 0 if i else known))
-    return pd.DataFrame(out, columns=["block", "words", "n", "n_words", "keys", "c", "n_tokens", "n_known"])
+    shared, at = np.bincount(inverse, minlength=len(every)) > 1, 0
+    of_block: dict[int, list[tuple[list[bytes], np.ndarray]]] = defaultdict(list)
+    for block, some, k in zip(rows["block"], words, keys):
+        of_block[block].append((some, inverse[at : at + len(k)]))
+        at += len(k)
+    known, out = sum(c > 0 for c in total.values()), []
+    for i, (block, parts) in enumerate(of_block.items()):
+        # a block may come in parts: its order is that of all its words and keys
+        some, mine = parts[0] if len(parts) == 1 else (sorted(set().union(*[w for w, _ in parts])), np.unique(np.concatenate([m for _, m in parts])))
+        answered = shared[mine]
+        out.append((
+            block, int(rows["r"].iloc[0]), _planes(np.array([total[w] for w in some], np.uint64)), len(mine), np.packbits(answered).tobytes(), _planes(sums[mine[answered]]),
+            0 if i else sum(total.values()), 0 if i else known,
+        ))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in _ANSWER.split(", ")])
 
 
 class Automaton:
@@ -166,38 +188,35 @@ class Automaton:
         return total
 
 
-def _scorer(n: int, v: int, texts: int, mu: float):
+def _scorer(n: int, v: int, texts: int, mu: float, bits: int):
     norm = n + 0.5 * (v + 1)
 
     def run(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
-        count: dict[bytes, int] = {}
-        for text, c, many in zip(back["words"], back["n"], back["n_words"]):
-            if many:
-                count.update(zip([END] if many == 1 and not text else text.split(b" "), np.frombuffer(c, np.uint64).tolist()))
-        ids: dict[bytes, int] = {w: i for i, w in enumerate(count)}
-        c = list(count.values())
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in ids), np.uint64, len(ids))
-        read = [np.fromiter(map(ids.__getitem__, tokens(t)), np.int64) for t in docs["text"]]
+        back = back.sort_values("r")
+        block = _Block()
+        for t, held in zip(docs["text"], docs["held_out"]):
+            block.add(t, not held)
+        word, before, train, hashes = block.numbers()
+        c = np.empty(len(block.ids) + 1)
+        c[[i for _, _, i in block.words_by_bucket(hashes, bits)]] = np.concatenate([_from_planes(x, np.uint64) for x in back["n"]])
+        c[-1] = 0
         # bigrams of the block: own training counts, replaced by totals where other blocks know them
-        start = len(ids)
-        keys = np.concatenate([bigram_keys(hashes[x]) for x in read])
-        pairs = np.concatenate([np.r_[start, x[:-1]] for x in read]) * (start + 1) + np.concatenate(read)
-        train = np.repeat(~docs["held_out"].to_numpy(dtype=bool), [len(x) for x in read])
-        every, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        sums = np.bincount(inverse, train, len(every)).astype(np.int64)
-        shared = np.concatenate([_from_planes(k, np.uint64) for k in back["keys"]])
-        sums[np.searchsorted(every, shared)] = np.concatenate([_from_planes(k, np.uint64) for k in back["c"]]).astype(np.int64)
-        p = (np.array([*c, 0], dtype=np.float64) + 0.5) / norm
-        context = np.array([*c, texts], dtype=np.float64)
-        seen = sums > 0
-        state, word = np.divmod(pairs[first[seen]], start + 1)
-        weight = np.log10((sums[seen] + mu * p[word]) / (context[state] + mu))
-        root = np.log10(p)
-        model = Automaton(root.tolist(), np.log10(mu / (context + mu)).tolist(), dict(zip((state * (start + 1) + word).tolist(), weight.tolist())))
-        known = np.array(c) > 0
+        every, inverse = np.unique(bigram_keys(np.r_[hashes, _START][before], hashes[word]), return_inverse=True)
+        sums = np.bincount(inverse[train], minlength=len(every)).astype(np.int64)
+        shared = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=k) for x, k in zip(back["shared"], back["n_keys"])]).astype(bool)
+        sums[shared] = np.concatenate([_from_planes(x, np.uint64) for x in back["c"]]).astype(np.int64)
+        p = (c + 0.5) / norm
+        context = np.r_[c[:-1], texts]
+        seen = np.flatnonzero(sums)
+        one = np.empty(len(every), np.int64)
+        one[inverse] = np.arange(len(inverse))  # any token with the key
+        state, arc = before[one[seen]], word[one[seen]]
+        weight = np.log10((sums[seen] + mu * p[arc]) / (context[state] + mu))
+        root, known, start = np.log10(p), c > 0, len(block.ids)
+        model = Automaton(root.tolist(), np.log10(mu / (context + mu)).tolist(), dict(zip((state * (start + 1) + arc).tolist(), weight.tolist())))
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": [len(x) for x in read], "n_known": [int(known[x].sum()) for x in read],
-            "train_tokens": n, "base_score": [float(root[x].sum()) for x in read], "score": [model.score(x.tolist(), start) for x in read],
+            "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": [len(x) for x in block.texts], "n_known": [int(known[x].sum()) for x in block.texts],
+            "train_tokens": n, "base_score": [float(root[x].sum()) for x in block.texts], "score": [model.score(x.tolist(), start) for x in block.texts],
         })
 
     return run
@@ -221,8 +240,8 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU)
     bits = max(0, (int(total) // BUCKET_CHARS).bit_length())
     t = t.select("doc_id", "text", "held_out", F.xxhash64("split", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(parts))).alias("block"))
     packed = map_arrow(t, _counts(bits), _PACKED)
-    back = packed.groupBy("r").applyInPandas(_totals, "block long, words binary, n binary, n_words int, keys binary, c binary, n_tokens long, n_known long")
+    back = packed.groupBy("r").applyInPandas(_totals, _ANSWER)
     back = written(back, "totals")
     n, v = back.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return t.groupBy("block").cogroup(back.drop("n_tokens", "n_known").groupBy("block")).applyInPandas(_scorer(int(n), int(v), int(texts), mu), schema)
+    return t.groupBy("block").cogroup(back.drop("n_tokens", "n_known").groupBy("block")).applyInPandas(_scorer(int(n), int(v), int(texts), mu, bits), schema)
