@@ -88,24 +88,26 @@ class _Block:
         before[np.r_[0, np.cumsum(lengths)[:-1]]] = len(self.ids)
         return word, before, np.repeat(np.array(self.train, bool), lengths), np.fromiter(map(xxhash.xxh3_64_intdigest, self.ids), np.uint64, len(self.ids))
 
-    def words_by_bucket(self, hashes: np.ndarray, bits: int) -> list[tuple[int, bytes, int]]:
-        """``bucket, word, id`` in order."""
-        return sorted((h >> (64 - bits), w, i) for h, (w, i) in zip(hashes.tolist(), self.ids.items()))
+    def order(self, hashes: np.ndarray) -> np.ndarray:
+        """The words by hash, so that those of a bucket stand together; different words with one hash by their bytes."""
+        order = np.argsort(hashes, kind="stable")
+        h = hashes[order]
+        if (h[1:] == h[:-1]).any():
+            words = list(self.ids)
+            order = np.array(sorted(range(len(words)), key=lambda i: (hashes[i], words[i])))
+        return order
 
     def rows(self, block: int, bits: int) -> Iterator[tuple]:
         word, before, train, hashes = self.numbers()
         keys, inverse = np.unique(bigram_keys(np.r_[hashes, _START][before], hashes[word]), return_inverse=True)
         counts = np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
-        n = np.bincount(word[train], minlength=len(self.ids)).tolist()
-        edges = _edges(keys, bits)
-        by: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-        for r, w, i in self.words_by_bucket(hashes, bits):
-            by[r].append((w, n[i]))
+        order, words = self.order(hashes), list(self.ids)
+        n = np.bincount(word[train], minlength=len(words)).astype(np.uint32)[order]
+        of_keys, of_words, order = _edges(keys, bits), _edges(hashes[order], bits), order.tolist()
         for r in range(1 << bits):
-            a, b = edges[r], edges[r + 1]
-            if b > a or r in by:
-                some = by.get(r, [])
-                yield block, r, b" ".join(w for w, _ in some), _planes(np.array([c for _, c in some], np.uint32)), len(some), _planes(keys[a:b]), _planes(counts[a:b])
+            a, b, c, d = of_keys[r], of_keys[r + 1], of_words[r], of_words[r + 1]
+            if b > a or d > c:
+                yield block, r, b" ".join([words[i] for i in order[c:d]]), _planes(n[c:d]), d - c, _planes(keys[a:b]), _planes(counts[a:b])
 
 
 def _edges(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -162,7 +164,7 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     known, out = sum(c > 0 for c in total.values()), []
     for i, (block, parts) in enumerate(of_block.items()):
         # a block may come in parts: its order is that of all its words and keys
-        some, mine = parts[0] if len(parts) == 1 else (sorted(set().union(*[w for w, _ in parts])), np.unique(np.concatenate([m for _, m in parts])))
+        some, mine = parts[0] if len(parts) == 1 else (sorted(set().union(*[w for w, _ in parts]), key=lambda w: (xxhash.xxh3_64_intdigest(w), w)), np.unique(np.concatenate([m for _, m in parts])))
         answered = shared[mine]
         out.append((
             block, int(rows["r"].iloc[0]), _planes(np.array([total[w] for w in some], np.uint64)), len(mine), np.packbits(answered).tobytes(), _planes(sums[mine[answered]]),
@@ -188,7 +190,7 @@ class Automaton:
         return total
 
 
-def _scorer(n: int, v: int, texts: int, mu: float, bits: int):
+def _scorer(n: int, v: int, texts: int, mu: float):
     norm = n + 0.5 * (v + 1)
 
     def run(docs: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
@@ -198,8 +200,7 @@ def _scorer(n: int, v: int, texts: int, mu: float, bits: int):
             block.add(t, not held)
         word, before, train, hashes = block.numbers()
         c = np.empty(len(block.ids) + 1)
-        c[[i for _, _, i in block.words_by_bucket(hashes, bits)]] = np.concatenate([_from_planes(x, np.uint64) for x in back["n"]])
-        c[-1] = 0
+        c[np.r_[block.order(hashes), -1]] = np.r_[np.concatenate([_from_planes(x, np.uint64) for x in back["n"]]), 0]
         # bigrams of the block: own training counts, replaced by totals where other blocks know them
         every, inverse = np.unique(bigram_keys(np.r_[hashes, _START][before], hashes[word]), return_inverse=True)
         sums = np.bincount(inverse[train], minlength=len(every)).astype(np.int64)
@@ -214,9 +215,11 @@ def _scorer(n: int, v: int, texts: int, mu: float, bits: int):
         weight = np.log10((sums[seen] + mu * p[arc]) / (context[state] + mu))
         root, known, start = np.log10(p), c > 0, len(block.ids)
         model = Automaton(root.tolist(), np.log10(mu / (context + mu)).tolist(), dict(zip((state * (start + 1) + arc).tolist(), weight.tolist())))
+        lengths = np.array([len(x) for x in block.texts])
+        starts = np.cumsum(lengths) - lengths  # no text is without a token
         return pd.DataFrame({
-            "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": [len(x) for x in block.texts], "n_known": [int(known[x].sum()) for x in block.texts],
-            "train_tokens": n, "base_score": [float(root[x].sum()) for x in block.texts], "score": [model.score(x.tolist(), start) for x in block.texts],
+            "doc_id": docs["doc_id"].astype("Int64"), "held_out": docs["held_out"], "n_tokens": lengths, "n_known": np.add.reduceat(known[word].astype(np.int64), starts),
+            "train_tokens": n, "base_score": np.add.reduceat(root[word], starts), "score": [model.score(x.tolist(), start) for x in block.texts],
         })
 
     return run
@@ -244,4 +247,4 @@ def score_texts(docs: DataFrame, held_out: Column | None = None, mu: float = MU)
     back = written(back, "totals")
     n, v = back.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return t.groupBy("block").cogroup(back.drop("n_tokens", "n_known").groupBy("block")).applyInPandas(_scorer(int(n), int(v), int(texts), mu, bits), schema)
+    return t.groupBy("block").cogroup(back.drop("n_tokens", "n_known").groupBy("block")).applyInPandas(_scorer(int(n), int(v), int(texts), mu), schema)

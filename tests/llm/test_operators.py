@@ -100,6 +100,32 @@ def test_lm_scores(docs, texts):
     assert got.count() == len(texts)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_lm_blocks_in_parts(bits):
+    """A block that comes to a bucket in parts gets the answer in the order of all its words and keys."""
+    def packed(block, some):
+        one = lm._Block()
+        for t in some:
+            one.add(t, True)
+        return list(one.rows(block, bits))
+
+    names = ["block", "r", "words", "n", "n_words", "keys", "c"]
+    mine, others = [prose(i, 40) for i in range(6)], [prose(i, 40) for i in range(4, 9)]
+    scores = []
+    for parts in ([mine], [mine[:2], mine[2:5], mine[5:]]):
+        rows_ = lm.pd.DataFrame([r for part in parts for r in packed(1, part)] + packed(2, others), columns=names)
+        back = lm.pd.concat([lm._totals(x) for _, x in rows_.groupby("r")])
+        n, v = int(back["n_tokens"].sum()), int(back["n_known"].sum())
+        docs = lm.pd.DataFrame({"doc_id": range(6), "text": mine, "held_out": False})
+        scores.append(lm._scorer(n, v, 11, lm.MU)(docs, back[back["block"] == 1]))
+    every = [lm.tokens(t) for t in mine + others]
+    one, two = Counter(w for t in every for w in t), Counter(p for t in every for p in zip([None, *t[:-1]], t))
+    p = lambda w: (one[w] + 0.5) / (sum(one.values()) + 0.5 * (len(one) + 1))
+    want = [sum(math.log10((two[h, w] + lm.MU * p(w)) / ((11 if h is None else one[h]) + lm.MU)) for h, w in zip([None, *t[:-1]], t)) for t in every[:6]]
+    for s in scores:
+        assert s["score"].tolist() == pytest.approx(want) and s["n_known"].tolist() == [len(t) for t in every[:6]]
+
+
 def test_secret_scan(docs, texts):
     found = {(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256): r.spans for r in secrets.digest(secrets.secret_scan(docs)).collect()}
     for i, t in texts:
