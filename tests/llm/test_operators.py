@@ -294,6 +294,40 @@ def test_passages(docs):
     assert all(got[i].n_links == 0 and got[i].class_id == i for i in (4, 5, 6, 7, 10, 11, 14, 16)) and got[None].class_id is None
 
 
+def test_passages_link_every_pair(spark):
+    """All pairs of a table by brute force: common lines, passages between them, changed passages, copies, ids of several rows."""
+    r = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(60)]
+    fresh = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    line, one, two = fresh(14), fresh(80), fresh(60)
+    changed = lambda w: [x for v in w for x in ((v,) if r.random() < 0.85 else r.choice(((), ("new",), (v, "more"))))]
+    rows = [(100 + i, [*fresh(30), *line, *fresh(30)]) for i in range(40)] + [(200 + i, [*fresh(25 + i), *one, *fresh(20)]) for i in range(10)]
+    # the seeds of a passage of two texts occur in bits elsewhere
+    rows += [(300 + i, [*fresh(20), *two[i * 5 : i * 5 + 12], *fresh(30)]) for i in range(10)]
+    rows += [(i, [*fresh(20), *two, *fresh(20)]) for i in (900, 901)]
+    rows += [(400 + i, [*fresh(15), *changed(one), *fresh(10), *line]) for i in range(12)] + [(450 + i, [*changed(line * 4), *fresh(20)]) for i in range(8)]
+    rows += [(500, rows[45][1]), (501, rows[45][1]), (502, one[:30]), (503, one[:30]), (201, two), (504, ["x"] * 90), (505, ["x"] * 70)]
+    got = {x.doc_id: x for x in passages.fuzzy_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")).collect()}
+    rows = [(i, [v.encode() for v in w]) for i, w in rows]
+    links, spans = set(), {}
+    for k, (i, x) in enumerate(rows):
+        for j, y in rows[:k]:
+            a, b, v, w = (i, j, x, y) if i > j else (j, i, y, x)
+            for s, e, t, f in passages.passages_of(v, w, common_seeds(v, w)) if i != j and min(len(x), len(y)) >= passages.MIN_WORDS else ():
+                links.add((a, b))
+                spans.setdefault(a, set()).update(range(s, e))
+                spans.setdefault(b, set()).update(range(t, f))
+    wanted = Counter(i for pair in links for i in pair)
+    assert {(901, 900), (209, 200), (501, 500), (900, 201)} <= links and (503, 502) not in links
+    assert {i: x.n_links for i, x in got.items()} == {i: wanted[i] for i in got}
+    assert {i: x.n_shared_words for i, x in got.items()} == {i: len(spans.get(i, ())) for i in got}
+    root = {i: i for i in got}
+    for _ in range(len(root)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {i: x.class_id for i, x in got.items()} == root
+
+
 def test_chains_equal_the_quadratic_optimum():
     r = random.Random(9)
     for _ in range(100):
