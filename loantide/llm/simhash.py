@@ -124,11 +124,11 @@ def _near(a: str, b: str, max_bits: int) -> Column:
 def link(prints: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None) -> DataFrame:
     """``node, component`` over ``prints`` (``fp`` distinct, ``node`` its long label); nodes alone are not returned."""
     grid = cells(prints, max_bits, runs_for(prints.count(), max_bits) if groups is None else groups)
-    # cells with one member take no part
-    heads = grid.groupBy("grid", "cell").agg(F.min(F.struct("node", "fp", "counts")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    heads = heads.select("grid", "cell", F.col("head.node").alias("head_node"), F.col("head.fp").alias("head_fp"), F.col("head.counts").alias("head_counts"))
-    # one row per cell, written: both sides of the join are then exchanges, and a hot cell can be split
-    shared = written(grid.join(written(heads, "heads"), ["grid", "cell"]), "cells")
+    # every member gets its cell's smallest one in the same shuffle; cells with one member take no part
+    by = W.partitionBy("grid", "cell")
+    headed = grid.drop("counts").withColumn("head", F.min(F.struct("node", "fp")).over(by)).withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1")
+    shared = headed.select("grid", "cell", "node", "fp", F.col("head.node").alias("head_node"), F.col("head.fp").alias("head_fp"))
+    shared = written(shared.withColumn("counts", _counts(F.col("fp"))).withColumn("head_counts", _counts(F.col("head_fp"))), "cells")
     h = shared.select("node", F.struct("fp", "counts").alias("x"), "head_node", F.struct(F.col("head_fp").alias("fp"), F.col("head_counts").alias("counts")).alias("y"))
     first = h.where("node <> head_node").where(_near("x", "y", max_bits)).select(F.col("node").alias("a"), F.col("head_node").alias("b"))
     merged = components(first)

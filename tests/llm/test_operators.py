@@ -287,6 +287,28 @@ def test_plan_places_every_count():
     assert max(p for _, p in filled) < 64
 
 
+def test_simhash_cells_get_their_heads_in_one_shuffle(spark, monkeypatch):
+    """A large group of near copies: right components, and the cells' members are dealt out once, without a join to their heads."""
+    r = random.Random(41)
+    fps = [r.getrandbits(63) for _ in range(30)]
+    fps += [fps[0] ^ (1 << i) for i in range(60)] + [fps[0] ^ (1 << i) ^ (1 << (i + 7)) for i in range(50)]
+    plans, kept = {}, simhash.written
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    got = {x.node: x.component for x in simhash.link(spark.createDataFrame([(f, f) for f in fps], "fp long, node long")).collect()}
+    root = {f: f for f in fps}
+    near = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= simhash.MAX_BITS]
+    for _ in range(3):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {f: c for f, c in root.items() if any(f in x for x in near)}
+    assert "Join" not in plans["cells"]
+
+
 def test_passages(docs):
     got = {r.doc_id: r for r in passages.fuzzy_passages(docs).collect()}
     assert got[1].class_id == got[2].class_id == got[3].class_id == 1 and got[2].spans == "0:300"
