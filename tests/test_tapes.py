@@ -420,3 +420,15 @@ def test_loads_of_collateral_and_amortisation(spark, tmp_path):
     load_tape(amort, none(TEMPLATES["sme_amortisation"]), str(tmp_path / "a"), "2025-01-01")
     got = read_snapshot(spark, str(tmp_path / "a/silver/amortisation"))
     assert sorted((str(r["DATE_VALUE"]), r["DOUBLE_VALUE"]) for r in got.collect()) == [("2021-01-31", 10.5), ("2022-01-31", 5.0)]
+
+
+def test_mixed_headers_are_written_by_as_many_tasks_as_the_table_has(spark, tmp_path):
+    from verification.tape_queries import _mixed_headers
+
+    spark.range(0, 400, 1, 12).selectExpr(
+        "id l_orderkey", "id % 60 l_partkey", "id % 10 l_suppkey", "CAST(id % 7 + 1 AS INT) l_linenumber", "2.0D l_quantity", "3.5D l_extendedprice", "0.1D l_discount",
+        "0.02D l_tax", "substr('RAN', CAST(id % 3 + 1 AS INT), 1) l_returnflag", "'O' l_linestatus", "DATE '1996-03-05' l_shipdate",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions() > 2
+    got = _mixed_headers(spark, str(tmp_path))
+    assert got.count() == 400 and len(got.inputFiles()) > 4
