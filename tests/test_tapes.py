@@ -432,3 +432,23 @@ def test_mixed_headers_are_written_by_as_many_tasks_as_the_table_has(spark, tmp_
     assert spark.read.parquet(f"{tmp_path}/lineitem.parquet").rdd.getNumPartitions() > 2
     got = _mixed_headers(spark, str(tmp_path))
     assert got.count() == 400 and len(got.inputFiles()) > 4
+
+
+def test_rows_told_by_a_digest_are_those_that_grouping_tells(spark):
+    rows = [("a", None, 0.0, 1), (None, "a", -0.0, 1), ("a", None, -0.0, 1), ("1:a", "", 2.5, None), ("1:a", None, 2.5, None), ("1:a", "", 2.5, None),
+            ("a~", "b", float("nan"), 2), ("a", "~b", float("nan"), 2), ("a", "~b", float("nan"), 2), (None, None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, v double, n int")
+    told = lambda d: sorted(map(str, d.collect()))
+    plain = told(df.dropDuplicates())
+    assert len(plain) == 7
+    for lead, together in (((), False), (("x",), False), (("x", "n"), True)):
+        assert told(S.distinct_dimension(df, lead, together)) == plain
+    nested = df.select(F.array("x").alias("a"), "n")  # without an exact text: compared as it is
+    assert told(S.distinct_dimension(nested, ("n",))) == told(nested.dropDuplicates())
+
+
+def test_counting_distinct_rows_shuffles_no_whole_rows(spark):
+    df = spark.range(10).select(*[F.concat(F.lit(f"c{i}-"), F.col("id").cast("string")).alias(f"c{i}") for i in range(20)])
+    plan = S.distinct_dimension(df, ["c0"]).groupBy("c0").count()._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanged and not any("c7#" in line for line in exchanged) and "keys=[c0#" in plan and "c7#" not in plan.split("HashAggregate")[1]
