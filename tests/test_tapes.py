@@ -452,3 +452,31 @@ def test_counting_distinct_rows_shuffles_no_whole_rows(spark):
     plan = S.distinct_dimension(df, ["c0"]).groupBy("c0").count()._jdf.queryExecution().executedPlan().toString()
     exchanged = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanged and not any("c7#" in line for line in exchanged) and "keys=[c0#" in plan and "c7#" not in plan.split("HashAggregate")[1]
+
+
+def _shuffled(monkeypatch, write):
+    """Hints that ``write`` puts on DataFrames."""
+    from pyspark.sql.classic.dataframe import DataFrame as Rows
+    hints, hint = [], Rows.hint
+    monkeypatch.setattr(Rows, "hint", lambda df, name, *cols: hints.append((len(df.columns), name)) or hint(df, name, *cols))
+    write()
+    return hints
+
+
+def test_quarantine_is_written_where_its_rows_are(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(str(i), str(i - 5), f"f{i % 3}.csv") for i in range(20)], "AS2 string, AS3 string, filename string")
+    clean, dirty = V.split_clean_dirty(V.validate(df, RULES, "2025-01-01"))
+    assert _shuffled(monkeypatch, lambda: sinks.write_quarantine(clean, dirty, f"{tmp_path}/q")) == []
+    sides = {x: sinks.read_quarantine(spark, f"{tmp_path}/q", x).count() for x in ("clean", "dirty")}
+    assert sides == {"clean": 15, "dirty": 5}
+
+
+def test_bronze_gathers_rows_before_it_adds_columns(spark, tmp_path, monkeypatch):
+    rows = [(f"D{i % 2}", "2020-01-31" if i % 3 else None, str(i), "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "dl_code string, pcd string, AS3 string, AS4 string")
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    make = lambda **more: B.to_bronze(df, ["AS3"], recorded="2020-02-01", **more)
+    sinks.write_bronze(make(), one)
+    assert _shuffled(monkeypatch, lambda: sinks.write_bronze(make(gather=True), two, gather=False)) == [(5, "rebalance")]
+    a, b = (sorted(map(str, spark.read.parquet(p).collect())) for p in (one, two))
+    assert a == b and len(a) == 12
