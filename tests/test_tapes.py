@@ -333,6 +333,17 @@ def test_columns_beyond_the_limit_are_kept_and_reported(spark, tmp_path):
     assert "AS3" not in df.columns and df.where("_surplus IS NULL").count() == 1
 
 
+def test_surplus_is_made_once_and_plain_text_is_not_repaired(spark):
+    rows = [("a", "x\\u0041\\u00e9"), ("b", "\ufeffy\u0000"), ("c", None), ("d", "p\\q"), ("e", "")]
+    raw = spark.createDataFrame(rows, "AS1 string, AS2 string")
+    df = tapes.finish_tape(raw, ["AS1", "AS2"], None, ragged="mark", max_cols=1)
+    assert {r["AS1"]: r["_surplus"] for r in df.collect()} == {
+        "a": '{"AS2":"xA\u00e9"}', "b": '{"AS2":"y"}', "c": None, "d": '{"AS2":"p\\\\q"}', "e": '{"AS2":""}'}
+    counts = tapes.surplus_fields(df)
+    assert [tuple(r) for r in counts.collect()] == [("AS2", 4)]
+    assert counts._jdf.queryExecution().optimizedPlan().toString().lower().count("structstojson") == 1
+
+
 def test_reloads_leave_nothing_behind(spark, tmp_path):
     target, small = str(tmp_path / "out"), replace(TEMPLATES["sme_assets"], rules=RULES, keys=("AS1",), loan_key="AS2", types={}, topics={"loan_info": (2, 6)}, general=(1, 1))
 
