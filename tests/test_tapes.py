@@ -491,3 +491,15 @@ def test_bronze_gathers_rows_before_it_adds_columns(spark, tmp_path, monkeypatch
     assert _shuffled(monkeypatch, lambda: sinks.write_bronze(make(gather=True), two, gather=False)) == [(5, "rebalance")]
     a, b = (sorted(map(str, spark.read.parquet(p).collect())) for p in (one, two))
     assert a == b and len(a) == 12
+
+
+def test_distinct_rows_in_ranges_are_shuffled_once(spark, tmp_path):
+    rows = [(y, m, x, z) for y in (2019, 2020, None) for m in (1, 2, None) for x in ("a", None) for z in (0.0, -0.0, None)]
+    df = spark.createDataFrame(rows * 3, "pcd_year int, pcd_month int, AS1 string, AS2 double")
+    one = S.distinct_dimension(df, ranges=("pcd_year", "pcd_month"))
+    key = lambda d: sorted(map(str, (r.asDict() for r in d.withColumn("AS2", F.col("AS2") + 0.0).collect())))
+    assert key(one) == key(df.dropDuplicates()) and one.columns == df.columns and one.count() == 36
+    assert one._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    for replace_ in (False, True):
+        sinks.write_silver(one, str(tmp_path / "t"), replace=replace_, gather=False)
+    assert key(spark.read.parquet(str(tmp_path / "t")).select(*df.columns)) == key(df.dropDuplicates())
