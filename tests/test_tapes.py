@@ -503,3 +503,14 @@ def test_distinct_rows_in_ranges_are_shuffled_once(spark, tmp_path):
     for replace_ in (False, True):
         sinks.write_silver(one, str(tmp_path / "t"), replace=replace_, gather=False)
     assert key(spark.read.parquet(str(tmp_path / "t")).select(*df.columns)) == key(df.dropDuplicates())
+
+
+def test_all_pairs_compare_only_rows_that_share_their_ids(spark):
+    rows = [("L1", 1.0, "2020-01-01", 1.0, "2020-02-01"), ("L2", 1.0, "2020-01-01", 2.0, None), ("L2", 2.0, "2020-01-01", 3.0, "2020-02-01"),
+            (None, 0.0, "2020-01-01", -0.0, "2020-01-01"), (None, -0.0, "2020-01-01", None, None), ("L3", None, "2020-01-01", None, None)]
+    df = spark.createDataFrame(rows, "AS3 string, AS150 double, AS151 string, AS152 double, AS153 string")
+    want = {(i, str(d), b + 0.0) for i, b1, d1, b2, d2 in rows for b in (b1, b2) for d in (d1, d2) if b is not None and d is not None}
+    long = S.amortisation_long(df, "all")
+    assert sorted(map(str, ((r[0], str(r[1]), r[2] + 0.0) for r in long.collect()))) == sorted(map(str, want))
+    alone = long._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in alone and alone.count("Aggregate") == 1
