@@ -135,3 +135,15 @@ def test_rank_metrics_with_ties_and_hot_score(spark):
 def test_single_class_has_no_auc(spark):
     r = M.rank_metrics(spark.createDataFrame([(1, 0.2), (1, 0.4)], "label int, score double")).first()
     assert r.auc_roc is None and r.ks is None
+
+
+def test_scaling_reads_the_training_rows_once(spark):
+    from loantide.operators import features as X
+
+    train = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, 5.0)], "a double, b double")
+    test = spark.createDataFrame([(5.0, 6.0), (None, None)], "a double, b double")
+    measured = X.moments(train, ["a", "b"])
+    for df, want in ((train, [(-1.0, 0.0), (1.0, 0.0), (None, 0.0)]), (test, [(3.0, 1.0), (None, None)])):
+        alone, shared = X.standardise(train, df, ["a", "b"]), X.standardise(train, df, ["a", "b"], measured)
+        assert [tuple(r) for r in alone.collect()] == [tuple(r) for r in shared.collect()] == want
+        assert not any("stddev" in x._jdf.queryExecution().optimizedPlan().toString() for x in (alone, shared))
