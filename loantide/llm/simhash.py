@@ -142,8 +142,12 @@ def link(prints: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None)
     x = open_cells.where("c <> top").select("grid", "cell", F.struct("node", "fp", "counts", "c").alias("x"))
     y = open_cells.select("grid", "cell", F.struct("node", "fp", "counts", "c").alias("y"), (F.col("c") == F.col("top")).alias("in_top"))
     pairs = x.join(y, ["grid", "cell"]).where((F.col("x.c") != F.col("y.c")) & (F.col("in_top") | (F.col("x.node") > F.col("y.node"))))
-    second = pairs.where(_near("x", "y", max_bits)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return components(first.unionByName(second))
+    second = pairs.where(_near("x", "y", max_bits)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    # the second links tie components of the first, whose labels are their smallest nodes
+    tied = components(second)
+    moved = merged.join(tied.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+    alone = tied.join(merged, "node", "left_anti")
+    return moved.select("node", F.coalesce("to", "component").alias("component")).unionByName(alone.select("node", "component"))
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, groups: int | None = None) -> DataFrame:

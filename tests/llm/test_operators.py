@@ -503,3 +503,37 @@ def test_empty_tables(docs):
     for df in (lines.dedup_lines(none), lm.score_texts(none), secrets.secret_scan(none), pii.find_pii(none), packing.pack(none, path), passages.fuzzy_passages(none),
                quality.judge(none), simhash.near_duplicates(none), simhash.one_of_each(none)):
         assert df.count() == 0
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from loantide.llm import components as C
+
+    tables = []
+    monkeypatch.setattr(C, "written", lambda df, name: tables.append(name) or df.localCheckpoint())
+    stars = [(1, 2), (3, 1), (1, 3), (1, 1), (10, 11), (None, 4)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10} and tables == ["edges"]
+    tables.clear()
+    assert not components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() and tables == ["edges"]
+    chain = [(i, i + 1) for i in range(40)]
+    assert {r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()} == {0}
+
+
+def test_link_ties_first_components_by_second_links(spark, monkeypatch):
+    seen = []
+    real = simhash.components
+    monkeypatch.setattr(simhash, "components", lambda e: seen.append(e) or real(e))
+    r = random.Random(5)
+    fps = {0}
+    while len(fps) < 60:  # a walk: neighbours within reach, far ones not
+        fps.add(r.choice(sorted(fps)) ^ (1 << r.randrange(63)) ^ (1 << r.randrange(63)))
+    prints = spark.createDataFrame([(x, x) for x in fps], "fp long, node long")
+    got = {x.node: x.component for x in simhash.link(prints).collect()}
+    want = {x: x for x in fps}
+    for _ in fps:
+        want = {a: min(want[b] for b in fps if bin(a ^ b).count("1") <= 4) for a in fps}
+    assert {x: got.get(x, x) for x in fps} == want
+    # ends of the second links are components of the first
+    first = {x.node: x.component for x in real(seen[0]).collect()}
+    assert all(first.get(v, v) == v for x in seen[1].collect() for v in x)
+
