@@ -99,3 +99,20 @@ def test_amortisation_step_agrees_with_closed_form(spark):
     assert value(spark, F.abs(step - loanmath.annuity_balance(p, r, n, F.lit(1), io))) < 1e-6
     assert value(spark, loanmath.next_balance(p, r, pay, io, F.lit("90+ DPD"))) == 200000.0
     assert value(spark, loanmath.next_balance(p, r, pay, io, F.lit("Redeemed"))) == 0.0
+
+
+def test_validate_splits_methods_that_the_jvm_does_not_compile(spark):
+    from loantide.operators.validate import validate
+    from loantide.session import METHOD_LIMIT
+    from loantide.templates.rules import Rule
+
+    tape = spark.createDataFrame([("x",), (None,)], "A1 string")
+    rules = {"A1": Rule("A1", "string", False)}
+    before = spark.conf.get(METHOD_LIMIT)
+    try:
+        for named, used in (("65535", "8000"), ("20000", "20000")):
+            spark.conf.set(METHOD_LIMIT, named)
+            assert [r.qc_ok for r in validate(tape, rules, "2000-01-01").orderBy("A1").collect()] == [False, True]
+            assert spark.conf.get(METHOD_LIMIT) == used
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
