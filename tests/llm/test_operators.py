@@ -384,6 +384,37 @@ def test_chains_are_cut_at_unrelated_words():
         assert any(s <= at and at + 41 <= e for s, e, _, _ in passages.passages_of(x, y, common_seeds(x, y))), gap
 
 
+def test_far_runs_need_no_texts(spark, monkeypatch):
+    """A pair of short common runs that no chain can join is not aligned; one whose runs lie close is, and so is one run that grows."""
+    fresh = lambda n, _c=iter(range(10**6)): [f"u{next(_c)}" for _ in range(n)]
+    one, two, half, rest = fresh(7), fresh(9), fresh(21), fresh(21)
+    text = lambda *parts: " ".join(w for p in parts for w in p)
+    far = [text(fresh(60), one, fresh(200), two, fresh(60)) for _ in range(3)]
+    near = [text(fresh(20), half, fresh(9 + i), rest, fresh(20)) for i in range(2)]  # 42 of 51 and 52 words
+    pairs = []
+    keep = passages.written
+    monkeypatch.setattr(passages, "written", lambda df, name: (pairs.append(keep(df, name)), pairs[-1])[1] if name == "pairs" else keep(df, name))
+    got = passages.passages(spark.createDataFrame(list(enumerate([*far, *near])), "doc_id long, text string")).collect()
+    assert sorted((r.a, r.b) for r in pairs[0].collect()) == [(4, 3)]
+    assert {(r.a, r.b) for r in got} == {(4, 3)}
+
+
+def test_can_chain_errs_to_keep():
+    """Runs of random pairs: whenever a chain holds anchors of two runs, ``can_chain`` says so, for sizes that are too large as well."""
+    r, joined = random.Random(8), 0
+    for _ in range(600):
+        runs = [(r.randint(0, 150), r.randint(0, 150), r.randint(passages.K, 30)) for _ in range(r.randint(2, 4))]
+        at = {(a + i, b + i): k for k, (a, b, n) in enumerate(runs) for i in range(n - passages.K + 1)}
+        want = any(len({at[p] for p in c}) > 1 for c in passages.chains(passages.thinned(list(at))))
+        joined += want
+        row = lambda i, more=0: np.array([[x[i] + more for x in runs]])
+        assert passages.can_chain(row(0), row(1), row(2))[0] or not want
+        assert passages.can_chain(row(0), row(1), row(2, 4))[0] or not want
+    assert joined > 50
+    far = [np.array([x]) for x in ([10, 400], [10, 20], [9, 9])]
+    assert not passages.can_chain(*far)[0]
+
+
 def test_seeds_find_changed_passages():
     """Of planted passages with a run of K equal words, all are found that still agree in 0.8, as by comparing place by place."""
     r = random.Random(22)
