@@ -1,5 +1,6 @@
 """Readers, validation, silver and history on small fixtures."""
 
+import datetime
 import gzip
 from dataclasses import replace
 
@@ -14,6 +15,7 @@ from loantide.sources.snapshots import ConcurrentUpdate, read_snapshot, replace_
 from loantide.streaming import tapes as stream
 from loantide.templates import TEMPLATES
 from loantide.templates.rules import Rule
+from verification import tape_queries
 
 RULES = {
     "AS1": Rule("AS1", "datetime", False, min="2012-01-01", max="2030-12-31"),
@@ -514,3 +516,31 @@ def test_all_pairs_compare_only_rows_that_share_their_ids(spark):
     assert sorted(map(str, ((r[0], str(r[1]), r[2] + 0.0) for r in long.collect()))) == sorted(map(str, want))
     alone = long._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" in alone and alone.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("opens", [True, False])
+def test_starts_of_files_are_copied_in_pieces(spark, tmp_path, monkeypatch, opens):
+    """Halves, a whole file and nothing, of files longer than a piece; by tasks, or by the driver where Python cannot open the store."""
+    monkeypatch.setattr(tapes, "_opens", lambda path: opens)
+    data = bytes(range(256)) * (3 * tapes.BLOCK // 256) + b"end"
+    files = []
+    for name, size in (("half.gz", len(data) // 2), ("whole.gz", len(data)), ("none.gz", 0)):
+        (tmp_path / name).write_bytes(data)
+        files.append((f"file:{tmp_path}/{name}", f"{tmp_path}/cut-{name}", size))
+    tapes.copy_starts(spark, files)
+    for _, target, size in files:
+        with open(target, "rb") as f:
+            assert f.read() == data[:size]
+
+
+def test_failing_files_hold_no_content_in_rows(spark, monkeypatch, tmp_path):
+    """The cut copies of ``val5_file_failures`` are made without reading a file into a row."""
+    made = []
+    copy = tapes.copy_starts
+    monkeypatch.setattr(tapes, "copy_starts", lambda s, files: made.extend(files) or copy(s, files))
+    li = [(i, 1, i % 10, i % 7 + 1, 1.0, 2.0, 0.0, 0.0, "N", "O", datetime.date(1998, 1, 1)) for i in range(1000)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate date"
+    spark.createDataFrame(li, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["kind"], r["reason"]): r["n"] for r in tape_queries.QUERIES["val5_file_failures"](spark, str(tmp_path)).collect()}
+    assert got == {("whole", None): 1000, ("cut", "unreadable_file"): 3, ("empty", "empty_file"): 1}
+    assert len(made) == 3 and all(size > 0 for _, _, size in made)
