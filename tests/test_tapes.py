@@ -544,3 +544,47 @@ def test_failing_files_hold_no_content_in_rows(spark, monkeypatch, tmp_path):
     got = {(r["kind"], r["reason"]): r["n"] for r in tape_queries.QUERIES["val5_file_failures"](spark, str(tmp_path)).collect()}
     assert got == {("whole", None): 1000, ("cut", "unreadable_file"): 3, ("empty", "empty_file"): 1}
     assert len(made) == 3 and all(size > 0 for _, _, size in made)
+
+
+def test_quarantine_in_one_pass(spark, tmp_path):
+    """``sides`` has the rows of ``split_clean_dirty``, file errors and lacking keys included; with it rows are evaluated once."""
+    seen = spark.sparkContext.accumulator(0)
+    look = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+    rows = [("2020-01-31", "a", "D1", "f1", None), ("2020-01-31", None, "D1", "f1", None), ("2020-13", "b", "D2", "f2", None), ("2020-01-31", "c", None, "f2", None),
+            (None, None, None, "f3", "empty_file")]
+    raw = spark.createDataFrame(rows, f"AS1 string, AS2 string, dl_code string, filename string, {V.FILE_ERROR} string").withColumn(V.FIELDS, F.array(F.lit("AS1"), F.lit("AS2")))
+    annotated = V.validate(raw, {c: RULES[c] for c in ("AS1", "AS2")}, "2025-01-01")
+    clean, dirty = V.split_clean_dirty(annotated, ["dl_code"])
+    both = V.sides(annotated, ["dl_code"])
+    key = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    assert key(both.where("side = 'clean'").select(*clean.columns)) == key(clean) and clean.count() == 1
+    assert key(both.where("side = 'dirty'").drop("side")) == key(dirty) and dirty.count() == 4
+    assert both.where("side = 'clean'").where(F.col(V.ERRORS).isNotNull()).count() == 0
+    one, two = f"{tmp_path}/one", f"{tmp_path}/two"
+    sinks.write_quarantine(clean, dirty, one)
+    looked = annotated.withColumn("AS2", look("AS2"))
+    load = sinks.write_quarantine(*V.split_clean_dirty(looked, ["dl_code"]), two, V.sides(looked, ["dl_code"]))
+    assert seen.value == len(rows)
+    for side in ("clean", "dirty"):
+        a, b = (sinks.read_quarantine(spark, p, side) for p in (one, two))
+        assert key(a) == key(b) and a.columns == b.columns
+    # a later load of the file takes its place; what the first one wrote can still be read by its name
+    sinks.write_quarantine(clean.limit(0), dirty.withColumn("filename", F.lit("f1")), two)
+    assert sinks.read_quarantine(spark, two, "clean").count() == 0
+    assert key(sinks.read_clean(spark, two, load, clean.schema)) == key(clean)
+    assert sinks.read_clean(spark, two, snapshots.new_load(), clean.schema).count() == 0
+
+
+def test_few_sides_are_written_without_a_sort(spark, tmp_path):
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    df = spark.range(1000).select(F.concat(F.lit("f"), F.col("id") % 3).alias("filename"), F.when(F.col("id") % 2 == 0, "clean").otherwise("dirty").alias("side"), "id")
+    with snapshots._open_writers(spark, 4):
+        assert int(spark.conf.get(name)) >= 4
+    replace_units(df.coalesce(1), f"{tmp_path}/t", ["filename"], ["side"], gather=False)
+    assert spark.conf.get(name) == before
+    store = spark._jsparkSession.sharedState().statusStore().executionsList()
+    written_ = [store.apply(i).physicalPlanDescription() for i in range(store.size())]
+    mine = [p for p in written_ if f"{tmp_path}/t/data" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert mine and all("Sort" not in p for p in mine)
+    assert read_snapshot(spark, f"{tmp_path}/t").count() == 1000
