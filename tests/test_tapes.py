@@ -588,3 +588,17 @@ def test_few_sides_are_written_without_a_sort(spark, tmp_path):
     mine = [p for p in written_ if f"{tmp_path}/t/data" in p and "InsertIntoHadoopFsRelationCommand" in p]
     assert mine and all("Sort" not in p for p in mine)
     assert read_snapshot(spark, f"{tmp_path}/t").count() == 1000
+
+
+def test_load_stages_no_copy_of_the_annotated_tape(spark, tmp_path, monkeypatch):
+    """The quarantine is the only copy of all rows: bronze starts from its clean side."""
+    from loantide import session
+
+    names, path = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: names.append(name) or path(s, name))
+    rows = [("D1", "2020-01-31", "2020-01-31", f"L{i}") for i in range(4)] + [("D1", "2020-01-31", "2020-13", "L9")]
+    load_tape(spark.createDataFrame(rows, "dl_code string, pcd string, AS1 string, AS3 string"), TEMPLATES["sme_assets"], str(tmp_path), "2025-01-01")
+    assert names == ["touched"]
+    assert sinks.read_quarantine(spark, f"{tmp_path}/quarantine", "clean").count() == 4
+    assert sinks.read_quarantine(spark, f"{tmp_path}/quarantine", "dirty").count() == 1
+    assert read_snapshot(spark, f"{tmp_path}/bronze").count() == 4
